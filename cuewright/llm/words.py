@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 #: What the tokenizers' pattern means in Python's re, for texts without ODD characters: there \d is all of
 #: \p{N}, other word characters but _ are all of \p{L}, and \s is Unicode white space.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Numbers that are no digits, and the separators that only Python counts as white space.
-ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]")
+#: Numbers that are no digits, the separators that only Python counts as white space, and, as searching for a
+#: long list of characters is slow, all characters beyond the basic plane.
+ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(chr(c)) for c in range(1 << 16) if unicodedata.category(chr(c)) in ("Nl", "No")) + "\U00010000-\U0010ffff]")
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
