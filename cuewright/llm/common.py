@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder, with the lineage cut there; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows written once, as a table in the shared folder, and read from there; survives lost executors.
+
+    Unlike ``checkpoint()`` this forgets the estimated size, which through many joins becomes a number of
+    millions of digits. The table goes when the application's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -31,6 +31,8 @@ GROUPS = 64
 BROADCAST_IDS = 1_000_000
 #: Points of a bucket that one R-tree holds; larger buckets are searched in blocks of this many.
 TREE = 2048
+#: Rounds of comparing a bucket's members with one of them, for buckets of more than this many members.
+ROUNDS, SMALL = 3, 8
 REMEMBERED = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -306,18 +308,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     # buckets with the same members are one
     met = checkpointed(met.groupBy("members", "lead", "node").agg(F.count(F.lit(1)).alias("times")).drop("times"))
-    star = met.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = checkpointed(verified(star))
-    labels = connected_components(edges)
-    # pairs with the first member are decided; the others matter where they are in different components
     of_set = Window.partitionBy("members", "lead")
-    open_ = (
-        met.filter("lead != node")
-        .join(labels, "node", "left")
-        .withColumn("comp", F.coalesce("comp", "node"))
-        .withColumns({"least": F.min("comp").over(of_set), "most": F.max("comp").over(of_set), "size": F.count(F.lit(1)).over(of_set)})
-        .filter("least != most")
-    )
+
+    def undecided(labels: DataFrame) -> DataFrame:
+        """Members of buckets in which different components meet; comp is a lone node's own name."""
+        rows = met.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = rows.withColumns({"least": F.min("comp").over(of_set), "most": F.max("comp").over(of_set), "size": F.count(F.lit(1)).over(of_set)})
+        return rows.filter("least != most").select("members", "lead", "node", "comp", "size")
+
+    # In each round every member is compared with one: the first by a hash that the round sets. A large group of
+    # near copies joins up in a few rounds, each linear in its size, and its buckets need no look at their pairs.
+    edges = checkpointed(verified(met.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
+    labels = connected_components(edges)
+    for turn in range(1, ROUNDS + 1):
+        rows_left = undecided(labels).filter(F.col("size") > SMALL)
+        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).over(of_set)
+        pairs = rows_left.withColumn("one", one).filter(F.col("one.comp") != F.col("comp"))
+        pairs = pairs.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+        more = checkpointed(verified(pairs))
+        if not more.head(1):
+            break
+        edges = edges.unionByName(more)
+        labels = connected_components(edges)
+    open_ = undecided(labels).filter("lead != node OR size > 2")
     open_ = checkpointed(open_.select("members", "lead", "node", "comp", F.ceil(F.col("size") / TREE).cast("int").alias("blocks")))
     if open_.head(1):
         dealt = (
