@@ -1,15 +1,188 @@
-"""Registered queries of the alignment operators."""
+"""Registered queries of the alignment operators over the driver's tables, with their SQL.
+
+Events stand for cues and frames of one job per user, texts for lyrics, embeddings for audio samples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cuewright.functions.text import match_key_native
+from cuewright.functions.timecode import srt_time
+from cuewright.operators import activity, intervals, timing
+from cuewright.plans.demo import demo
+from cuewright.sources.lines import split_cues
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text", (F.col("n_chars") / 10.0).alias("duration"))
+
+
+def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), (F.row_number().over(order) - 1).cast("long").alias("cue_idx"), start.alias("start"), (start + F.col("value")).alias("end")
+    )
+
+
+def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), (F.row_number().over(order) - 1).cast("long").alias("frame"), (F.col("value") >= 30).alias("active")
+    )
+
+
+def demo_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo(_texts(spark, sf_dir))
+
+
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = split_cues(_texts(spark, sf_dir), None, compatibility=False)
+    return cues.select("job_id", F.col("cue_idx").cast("long").alias("cue_idx"), "text", match_key_native(F.col("text")).alias("match_key"))
+
+
+def overlap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.bound_overlaps(_cues(spark, sf_dir)).withColumn("end_code", srt_time(F.col("end") - F.floor(F.col("start") / 86400) * 86400))
+
+
+def polish_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.polish(_cues(spark, sf_dir))
+
+
+def polish_singing_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timing.polish_singing(timing.bound_overlaps(_cues(spark, sf_dir)), lead=0.1)
+
+
+def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = _cues(spark, sf_dir)
+    shuffled = cues.withColumns({"start": F.col("start") - F.when(F.col("cue_idx") % 5 == 4, 2_000_000.0).otherwise(0.0), "source_idx": F.floor(F.col("cue_idx") / 2)})
+    return timing.reject_out_of_order(shuffled).select("job_id", "cue_idx", "rejected")
+
+
+def activity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = activity.runs(activity.remove_short_runs(activity.fill_short_gaps(_mask(spark, sf_dir), 1), 2))
+    return runs.filter("active").select("job_id", "first", "last", "n")
+
+
+def waveform_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), F.posexplode("embedding").alias("sample_idx", "value"))
+    return activity.waveform(samples, 8).select("job_id", F.col("bin").cast("long").alias("bin"), F.round("peak", 6).alias("peak"))
+
+
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of a text's lines from units of 40 letters each, a second long."""
+    texts = _texts(spark, sf_dir)
+    lines = split_cues(texts, None, compatibility=False)
+    cues = intervals.char_spans(lines.withColumn("key", match_key_native(F.col("text"))), F.col("key"), "cue_idx")
+    total = cues.groupBy("job_id").agg(F.max("hi").alias("n"))
+    units = total.select("job_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / 40).cast("int") - 1))).alias("unit_idx")).select(
+        "job_id", "unit_idx", (F.col("unit_idx") * 40).alias("lo"), F.least(F.col("unit_idx") * 40 + 40, "n").alias("hi"), F.col("unit_idx").cast("double").alias("start"), (F.col("unit_idx") + 1.0).alias("end")
+    )
+    times = intervals.overlap_times(cues, units)
+    return times.select("job_id", F.col("cue_idx").cast("long").alias("cue_idx"), F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"))
+
+
+CUES = """cues AS (
+    SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS cue_idx,
+        epoch_us(ts) / 1e6::DOUBLE AS "start", epoch_us(ts) / 1e6::DOUBLE + value AS "end" FROM events
+)"""
+BOUND = """bound AS (
+    SELECT job_id, cue_idx, "start", CASE WHEN "end" > lead("start") OVER w THEN greatest("start", lead("start") OVER w) ELSE "end" END AS "end"
+    FROM cues WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+)"""
+LINES = r"""parts AS (
+    SELECT doc_id AS job_id, n_chars / 10.0::DOUBLE AS duration, string_split(text, chr(10)) AS ls FROM documents
+), raw AS (
+    SELECT job_id, duration, generate_subscripts(ls, 1) AS pos, trim(regexp_replace(unnest(ls), '\s+', ' ', 'g')) AS text FROM parts
+), lines AS (
+    SELECT job_id, duration, row_number() OVER (PARTITION BY job_id ORDER BY pos) - 1 AS cue_idx, text FROM raw WHERE text <> ''
+), keyed AS (
+    SELECT *, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS match_key FROM lines
+)"""
+
+
+def _code(seconds: str) -> str:
+    ms = f"greatest(0, round_even(({seconds}) * 1000, 0)::BIGINT)"
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+SQL = {
+    "demo_srt": f"""
+        WITH {LINES}, slots AS (
+            SELECT *, cue_idx * duration / count(*) OVER w AS a, least(duration, (cue_idx + 1) * duration / count(*) OVER w) AS b
+            FROM lines WINDOW w AS (PARTITION BY job_id)
+        )
+        SELECT job_id, string_agg((cue_idx + 1) || chr(10) || {_code("a")} || ' --> ' || {_code("b")} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_idx) || chr(10) AS srt
+        FROM slots GROUP BY job_id""",
+    "split_lines": f"WITH {LINES} SELECT job_id, cue_idx, text, match_key FROM keyed",
+    "overlap_bounds": f"""WITH {CUES}, {BOUND} SELECT *, {_code('"end" - floor("start" / 86400) * 86400')} AS end_code FROM bound""",
+    "polish_cues": f"""
+        WITH {CUES}, early AS (SELECT job_id, cue_idx, greatest(0, "start" - 0.08::DOUBLE) AS s, "end" AS e FROM cues)
+        SELECT job_id, cue_idx, s AS "start", CASE WHEN lead(s) OVER w IS NULL THEN greatest(e + 0.3::DOUBLE, s + 0.5::DOUBLE)
+            ELSE least(greatest(e + 0.3::DOUBLE, s + 0.5::DOUBLE), greatest(s, lead(s) OVER w - 0.02::DOUBLE)) END AS "end"
+        FROM early WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)""",
+    "polish_singing_cues": f"""
+        WITH {CUES}, {BOUND}, flagged AS (
+            SELECT *, "end" - "start" > 10 AS long, greatest(0, greatest(0, "start") - 0.1::DOUBLE) AS early FROM bound
+        ), shown AS (
+            SELECT *, CASE WHEN lag("end") OVER w IS NOT NULL AND NOT lag(long) OVER w THEN greatest(early, lag("end") OVER w) ELSE early END AS s
+            FROM flagged WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+        ), wanted AS (
+            SELECT *, CASE WHEN long THEN s ELSE "end" END AS trusted, lead(s) OVER w AS after FROM shown WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+        ), held AS (
+            SELECT *, greatest(greatest(least(trusted + 0.5::DOUBLE, s + 10), trusted), s + 0.5::DOUBLE) AS want FROM wanted
+        )
+        SELECT job_id, cue_idx, s AS "start", CASE WHEN after IS NULL THEN want ELSE least(want, greatest(s,
+            CASE WHEN "end" <= after - 0.08::DOUBLE AND after - 0.08::DOUBLE > s THEN after - 0.08::DOUBLE ELSE after END)) END AS "end" FROM held""",
+    "out_of_order": f"""
+        WITH {CUES}, runs AS (
+            SELECT job_id, cue_idx, cue_idx // 2 AS run, "start" - CASE WHEN cue_idx % 5 = 4 THEN 2000000.0 ELSE 0.0 END::DOUBLE AS s FROM cues
+        ), firsts AS (SELECT job_id, run, min(s) AS f FROM runs GROUP BY ALL), judged AS (
+            SELECT *, f < coalesce(max(f) OVER (PARTITION BY job_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 0.25::DOUBLE AS rejected FROM firsts
+        )
+        SELECT job_id, cue_idx, rejected FROM runs JOIN judged USING (job_id, run)""",
+    "activity_segments": """
+        WITH m AS (
+            SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value >= 30 AS active FROM events
+        ), i1 AS (SELECT *, frame - row_number() OVER (PARTITION BY job_id, active ORDER BY frame) AS g FROM m
+        ), r1 AS (SELECT *, count(*) OVER (PARTITION BY job_id, active, g) AS n, min(frame) OVER (PARTITION BY job_id, active, g) AS lo,
+                max(frame) OVER (PARTITION BY job_id, active, g) AS hi, max(frame) OVER (PARTITION BY job_id) AS top FROM i1
+        ), filled AS (SELECT job_id, frame, active OR (n <= 1 AND lo > 0 AND hi < top) AS active FROM r1
+        ), i2 AS (SELECT *, frame - row_number() OVER (PARTITION BY job_id, active ORDER BY frame) AS g FROM filled)
+        SELECT job_id, min(frame) AS "first", max(frame) AS "last", count(*) AS n FROM i2 WHERE active GROUP BY job_id, g HAVING count(*) >= 2""",
+    "waveform_peaks": """
+        WITH s AS (
+            SELECT vec_id AS job_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n FROM embeddings
+        ), b AS (SELECT job_id, least(7, i * 8 // n) AS bin, max(abs(v)) AS peak FROM s GROUP BY ALL
+        ), p AS (SELECT job_id, quantile_cont(peak, 0.98) AS q FROM b GROUP BY job_id)
+        SELECT job_id, bin, round(CASE WHEN q > 0 THEN least(1.0, peak / q) ELSE peak END, 6) AS peak FROM b JOIN p USING (job_id)""",
+    "overlap_join": f"""
+        WITH {LINES}, spans AS (
+            SELECT job_id, cue_idx, sum(length(match_key)) OVER w - length(match_key) AS lo, sum(length(match_key)) OVER w AS hi
+            FROM keyed WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+        ), t AS (SELECT job_id, max(hi) AS n FROM spans GROUP BY job_id
+        ), units AS (SELECT job_id, n, unnest(range(0, greatest(1, ceil(n / 40))::BIGINT)) AS u FROM t
+        ), pieces AS (
+            SELECT s.job_id, s.cue_idx, u, u + (greatest(lo, u * 40) - u * 40) * (1.0::DOUBLE / (least(u * 40 + 40, n) - u * 40)) AS a,
+                u + (least(hi, u * 40 + 40) - u * 40) * (1.0::DOUBLE / (least(u * 40 + 40, n) - u * 40)) AS b
+            FROM spans s JOIN units USING (job_id) WHERE greatest(lo, u * 40) < least(hi, least(u * 40 + 40, n))
+        ), times AS (SELECT job_id, cue_idx, round(arg_min(a, u), 6) AS start_s, round(arg_max(b, u), 6) AS end_s FROM pieces GROUP BY ALL)
+        SELECT spans.job_id, spans.cue_idx, start_s, end_s FROM spans LEFT JOIN times USING (job_id, cue_idx)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = [demo_srt, split_lines, overlap_bounds, polish_cues, polish_singing_cues, out_of_order, activity_segments, waveform_peaks, overlap_join]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
