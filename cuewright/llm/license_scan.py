@@ -9,6 +9,7 @@ least its priority is suppressed.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,9 @@ FORMS = [
     (r"licen[sc]ed? (?:as|with|by) (?:{name})", 4, 0.85),
 ]
 
+#: A name with a version stands for itself.
+VERSIONED = [(r"(?:{name})(?: licen[sc]e)?", 3, 0.85)]
+
 #: Whole sentences of licence texts: (label, keyword, pattern, priority, confidence).
 SENTENCES = [
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 9, 1.0),
@@ -111,7 +115,7 @@ def rules() -> list[dict]:
         # a longer name outranks a shorter one in the same form, so "cc by nc" is not also "cc by"
         {"label": label, "key": key, "regex": rf"(?<!\S){form.format(name=name)}(?!\S)", "rank": 100 * rank + min(len(name), 99), "conf": conf}
         for label, (key, name) in FAMILIES.items()
-        for form, rank, conf in FORMS
+        for form, rank, conf in FORMS + VERSIONED * bool(re.search(r"-\d", label))
     ] + [{"label": a, "key": k, "regex": rf"(?<!\S){r}(?!\S)", "rank": 100 * p + 50, "conf": c} for a, k, r, p, c in SENTENCES]
     return sorted(found, key=lambda r: (-r["rank"], r["label"], r["regex"]))
 
@@ -121,6 +125,7 @@ RULE_TYPE = "array<struct<label:string,key:string,regex:string,rank:int,conf:dou
 GATES = [
     "licen", "spdx", "copyright", "permission", "redistribut", "proprietary", "domain", "reserved", "compliance", "encumbered", "warranty",
     "released", "distributed", "available", "published", "terms", "governed", "covered", "protected",
+    "gpl", "mpl", "apache", "bsd", "general public", "mozilla",
 ]
 
 

@@ -60,7 +60,7 @@ def count_words(texts: DataFrame, split: Callable[[str], list[str]], most: int =
 def frequent(counts: DataFrame, most: int) -> DataFrame:
     """The words at least as frequent as the lowest power of two that leaves at most ``most`` of them."""
     levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()  # at most 63
-    total, least = 0, 63
+    total, least = 0, 62
     for row in sorted(levels, key=lambda r: -r.level):
         if (total := total + row.k) > most:
             break
