@@ -44,14 +44,18 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, float], bytes_: list[float]):
         self.pieces, self.bytes = pieces, bytes_
-        self.widest = max(map(len, pieces), default=1)
+        self.letters: dict[str, float] = {}
+        self.widest: dict[str, int] = {}  # by the first three letters
+        for piece in pieces:
+            if len(piece) > 2:
+                self.widest[piece[:3]] = max(len(piece), self.widest.get(piece[:3], 0))
 
     def word(self, word: str) -> float:
         """log of the summed probability of all segmentations of the mark and the word.
 
         A letter may also be spelled by the pieces of its bytes, so every word has a segmentation.
         """
-        s, get, widest, exp, log = MARK + word, self.pieces.get, self.widest, math.exp, math.log
+        s, get, widest, letters, exp, log = MARK + word, self.pieces.get, self.widest.get, self.letters, math.exp, math.log
         n = len(s)
         reach: list[list[float]] = [[] for _ in range(n + 1)]
         at = 0.0
@@ -64,11 +68,14 @@ class Lattice:
                     top = max(terms)
                     at = top + log(sum([exp(t - top) for t in terms]))
                 reach[i] = []
-            for j in range(i + 1, min(n, i + widest) + 1):
+            for j in range(i + 1, min(n, i + max(2, widest(s[i : i + 3], 0))) + 1):
                 lp = get(s[i:j])
                 if lp is not None:
                     reach[j].append(at + lp)
-            reach[i + 1].append(at + sum([self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass")]))
+            letter = letters.get(s[i])
+            if letter is None:
+                letter = letters[s[i]] = sum([self.bytes[b] for b in s[i].encode("utf-8", "surrogatepass")])
+            reach[i + 1].append(at + letter)
         top = max(reach[n])
         return top + log(sum([exp(t - top) for t in reach[n]]))
 
