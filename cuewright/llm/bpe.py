@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import checkpointed, let
+from cuewright.llm.common import checkpointed, let, small_batches
 from cuewright.llm.words import count_words, frequent, splitter
 
 #: The rank map is cut into this many small maps by the crc32 of the bytes, as Spark searches a map from its start.
@@ -144,6 +144,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(ranks_path)
     table = rank_literal(ranks)
     split = splitter(pattern)

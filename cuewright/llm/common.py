@@ -51,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Smaller Arrow batches for this session: whole texts are large rows, and each task holds some batches twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression once inside a higher-order function."""
     return F.transform(F.array(value), body)[0]

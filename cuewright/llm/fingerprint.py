@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import shuffle_partitions
+from cuewright.llm.common import shuffle_partitions, small_batches
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 754974721)
@@ -178,6 +178,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
+    small_batches(spark)
     n = buckets or 8 * parts
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []

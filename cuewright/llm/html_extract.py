@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import checkpointed
+from cuewright.llm.common import checkpointed, small_batches
 
 #: Hosts up to this many are broadcast with their paths; more are joined by shuffle, with pages salted.
 BROADCAST_HOSTS, SALTS = 100_000, 64
@@ -235,6 +235,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     * Repeated rows are extracted each for itself. An empty table gives an empty result; further columns are
       ignored.
     """
+    small_batches(pages.sparkSession)
     paths = checkpointed(host_paths(pages, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if paths.count() <= broadcast_hosts:

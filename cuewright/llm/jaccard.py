@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import checkpointed, shuffle_partitions
+from cuewright.llm.common import checkpointed, shuffle_partitions, small_batches
 from cuewright.llm.components import connected_components
 
 GROUPS = 64
@@ -33,7 +33,7 @@ BROADCAST_IDS = 1_000_000
 TREE = 2048
 #: Rounds of comparing a bucket's members with one of them, for buckets of more than this many members.
 ROUNDS, SMALL = 3, 8
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -172,7 +172,7 @@ def _bucketed(k: int, seed: int, num: int, den: int):
                 node = (xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63)
                 if node in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 100_000:
                     seen.add(node)
                 b = buckets(s, num, den)
                 names.append(b)
@@ -270,6 +270,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * An empty table gives an empty result; further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     for seed in range(16):
         points = checkpointed(rows.mapInArrow(_points(k, seed), "doc_id long, n long, node long, check long, vec binary"))
         classes = checkpointed(

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import checkpointed, held_fold
+from cuewright.llm.common import checkpointed, held_fold, small_batches
 from cuewright.llm.words import count_words, frequent
 
 #: Frequent words sent to every worker (some 200 bytes each there).
@@ -144,6 +144,7 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     * An empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(model_path, "rb") as f:
         model = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

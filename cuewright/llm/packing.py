@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.llm.common import small_batches
+
 LINEAR, QUADRATIC = 1.0, 1 / 512
 #: Tokens to be packed in a block.
 BLOCK_TOKENS = 1_000_000
@@ -155,4 +157,5 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = 1024, end_id: int = 0
         if rows:
             yield emit()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(packed, PIECES)

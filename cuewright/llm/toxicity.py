@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import held_fold
+from cuewright.llm.common import held_fold, small_batches
 
 ORDER, DISCOUNT = 5, 0.75
 #: Rows of each class that the counts may use, and rows for the logistic fit: the classifier's bounded sample.
 MOST_ROWS, MOST_FIT = 40_000, 20_000
 #: Words whose ratio a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 START, STOP = "\x02", "\x03"
 FOLDS, HELD, FIT = 5, 0, 4
 FEATURES = 5
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     with the smallest hashes of their ids are used.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     marked = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull())
