@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-Merges are folded by Spark's higher-order functions over the bytes of distinct words, with the ranks as a
-literal map. The words that make up most of the corpus are counted over all documents and encoded once; this
+Merges are folded by Spark's higher-order functions over the bytes of distinct words, with the ranks of pairs as
+a literal map. The words that make up most of the corpus are counted over all documents and encoded once; this
 bounded table goes to the workers, which replace words by ids. Words that are not in it are encoded by the
 same fold where they stand, once for each document, so texts are never shuffled. Decoding concatenates the
 binary pieces of the ids.
@@ -13,7 +13,7 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import checkpointed, let, small_batches
 from cuewright.llm.words import count_words, frequent, splitter
 
-#: The rank map is cut into this many small maps by the crc32 of the bytes, as Spark searches a map from its start.
-SLOTS = 1 << 15
 #: A word of more bytes than this goes through a heap instead of the fold, which takes quadratic time.
 LONG_WORD = 400
 #: At most this many words are encoded ahead and sent to every worker (some 100 bytes each there).
@@ -38,67 +36,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f))}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+def pair_table(ranks: dict[bytes, int]) -> tuple[Column, Column, int]:
+    """The ranks of all joinable pairs as two literals: where the row of a left id begins, and the rows, laid into each other.
+
+    The pair of ids a, b is at place begin[a] + b, as a * base + rank; the third value is the base.
+    """
+    base = max(ranks.values()) + 1
+    partners: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        slots[zlib.crc32(key.encode()) % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+        for k in range(1, len(piece)):
+            if (left := ranks.get(piece[:k])) is not None and (right := ranks.get(piece[k:])) is not None:
+                partners.setdefault(left, {})[right] = rank
+    room = 4 * sum(map(len, partners.values())) + 1
+    taken = np.zeros(room + base, bool)
+    begin: list[int | None] = [None] * base
+    table: list[int | None] = [None] * (room + base)
+    offset, rng = 0, random.Random(0)
+    for left, row in sorted(partners.items(), key=lambda x: -len(x[1])):
+        rights = np.fromiter(row, np.int64, len(row))
+        while taken[offset + rights].any():
+            offset = rng.randrange(room)
+        taken[offset + rights] = True
+        begin[left] = offset
+        for right, rank in row.items():
+            table[offset + right] = left * base + rank
+        offset = rng.randrange(room)
+    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+    return literal(begin, "array<int>"), literal(table, "array<bigint>"), base
+
+
+def fold_merges(words: Column, table: tuple[Column, Column, int]) -> Column:
+    """The ids of each of ``words``, an array of arrays of the ids of single bytes.
+
+    State of a word: its pieces, and the rank of each piece joined with the next (null where there is none). Each
+    step merges the leftmost pair of the lowest rank, which is the new piece's id, and looks up the two ranks that
+    it changes.
+    """
+    begins, places, base = table
 
+    def rank(pairs: tuple[Column, Column], left: Column, right: Column) -> Column:
+        begin, place = pairs
+        return let(F.get(place, F.get(begin, left) + right) - left.cast("long") * base, lambda x: F.when((x >= 0) & (x < base), x.cast("int")))
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of a word: an array<int> column. Pieces are hexadecimal bytes.
+    def join(*parts: Column) -> Column:
+        return F.flatten(F.array(*parts))  # faster than concat
 
-    State: the pieces, and the rank of each piece joined with the next (null where there is none). Each step
-    merges the leftmost pair of the lowest rank and looks up the two ranks that it changes.
-    """
+    def merged(pairs: tuple[Column, Column], p: Column, r: Column, low: Column, i: Column) -> Column:
+        none = F.array().cast("array<int>")
+        before = F.when(i > 1, join(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(pairs, F.get(p, i - 2), low)))).otherwise(none)
+        after = F.when(i < F.size(r), join(F.array(rank(pairs, low, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
+        return F.struct(join(F.slice(p, F.lit(1), i - 1), F.array(low), F.slice(p, i + 2, F.size(p))).alias("p"), join(before, after).alias("r"))
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % SLOTS).cast("int")), piece)
-
-    def merged(state: Column, i: Column) -> Column:
-        p, r = state["p"], state["r"]
-        pair = F.concat(F.get(p, i - 1), F.get(p, i))
+    def step(pairs: tuple[Column, Column], state: Column) -> Column:
         return let(
-            pair,
-            lambda x: F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(
-                    F.when(i > 1, F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(F.concat(F.get(p, i - 2), x))))).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                    F.when(i + 1 < F.size(p), F.concat(F.array(rank(F.concat(x, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))).otherwise(
-                        F.array().cast("array<int>")
-                    ),
-                ).alias("r"),
+            F.array_min(state["r"]),
+            lambda low: F.when(low.isNull(), state).otherwise(
+                let(F.array_position(state["r"], low).cast("int"), lambda i: merged(pairs, state["p"], state["r"], low, i))
             ),
         )
 
-    def step(state: Column, _: Column) -> Column:
-        return let(
-            F.array_min(state["r"]),
-            lambda low: F.when(low.isNull(), state).otherwise(let(F.array_position(state["r"], low).cast("int"), lambda i: merged(state, i))),
-        )
+    def folded(pairs: tuple[Column, Column], p: Column) -> Column:
+        rest = F.slice(p, 2, F.greatest(F.size(p), F.lit(1)))
+        first = F.slice(F.zip_with(p, rest, lambda a, b: rank(pairs, a, b)), F.lit(1), F.size(p) - 1)
+        return F.aggregate(rest, F.struct(p.alias("p"), first.alias("r")), lambda state, _: step(pairs, state), lambda state: state["p"])
+
+    return let(begins, lambda begin: let(places, lambda place: F.transform(words, lambda p: folded((begin, place), p))))
 
-    def folded(code: Column) -> Column:
-        letters = F.regexp_extract_all(code, F.lit(".."), F.lit(0))
-        return let(
-            letters,
-            lambda p: F.aggregate(
-                F.slice(p, 2, F.greatest(F.size(p), F.lit(1))),
-                F.struct(
-                    p.alias("p"),
-                    F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: rank(F.concat(a, b))).alias("r"),
-                ),
-                step,
-                lambda s: F.transform(s["p"], rank),
-            ),
-        )
 
-    return let(
-        F.hex(F.encode(word, "UTF-8")),
-        lambda code: let(rank(code), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded(code))),
-    )
+def byte_ids(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of a word's single bytes."""
+    ids = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.get(ids, F.conv(h, 16, 10).cast("int")))
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,7 +140,7 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 MARK = 1 << 31
-ENCODED = "doc_id long, ids binary, rare array<string>"
+ENCODED = "doc_id long, ids binary, rare array<array<int>>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -140,51 +148,63 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """Encode every text: ``doc_id, ids`` (binary, little-endian unsigned 32-bit), ``rare``, ``rare_ids``.
 
     In ``ids`` a value of 2**31 + k stands for the k-th of ``rare_ids``; ``joined`` puts them in place.
-    Null text counts as empty and has no ids. Repeated rows are encoded each for itself; an empty table gives
+    A word that is a piece itself is its id. Null text counts as empty and has no ids. Repeated rows are encoded each for itself; an empty table gives
     an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(ranks_path)
-    table = rank_literal(ranks)
+    table = pair_table(ranks)
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
     split = splitter(pattern)
     texts = docs.select(F.col(text_col).alias("text"))
     counts = checkpointed(count_words(texts, split).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
-    known = frequent(counts, ahead).repartition(4 * spark.sparkContext.defaultParallelism).select("word", fold_merges(F.col("word"), table).alias("ids"))
+    known = frequent(counts, ahead).repartition(4 * spark.sparkContext.defaultParallelism).select("word", fold_merges(F.array(byte_ids(F.col("word"), ranks)), table)[0].alias("ids"))
     pairs = known.toArrow()
     ids = pairs.column("ids").combine_chunks()
     flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
     book = {w: flat[a:b].tobytes() for w, a, b in zip(pairs.column("word").to_pylist(), ends[:-1], ends[1:], strict=True)}
+    whole = {w: ranks[raw].to_bytes(4, "little") for w in book if (raw := w.encode("utf-8", "surrogatepass")) in ranks}
+    book |= whole
     shared, shared_ranks = spark.sparkContext.broadcast(book), spark.sparkContext.broadcast(ranks)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
+        book, ranks = shared.value, shared_ranks.value
         for batch in batches:
-            all_ids, all_rare = [], []
+            all_ids, all_rare, counts = [], [], [0]
             for text in batch.column(1):
                 words = split(text.as_py()) if text.is_valid else []
-                rare: dict[str, bytes] = {}
+                known: dict[str, bytes] = {}
+                rare: list[bytes] = []
                 try:
                     done = b"".join([book[w] for w in words])
                 except KeyError:
                     parts = []
                     for w in words:
-                        x = book.get(w) or rare.get(w)
+                        x = book.get(w) or known.get(w)
                         if x is None:
-                            if len(w) * 4 > LONG_WORD and len(raw := w.encode("utf-8", "surrogatepass")) > LONG_WORD:
-                                x = np.array(heap_merges(raw, shared_ranks.value), "<u4").tobytes()
+                            raw = w.encode("utf-8", "surrogatepass")
+                            if (one := ranks.get(raw)) is not None:
+                                x = one.to_bytes(4, "little")
+                            elif len(raw) > LONG_WORD:
+                                x = np.array(heap_merges(raw, ranks), "<u4").tobytes()
                             else:
-                                rare[w] = x = (MARK + len(rare)).to_bytes(4, "little")
+                                x = (MARK + len(rare)).to_bytes(4, "little")
+                                rare.append(raw)
+                            known[w] = x
                         parts.append(x)
                     done = b"".join(parts)
                 all_ids.append(done)
-                all_rare.append(list(rare))
+                all_rare += rare
+                counts.append(len(rare))
+            flat = pa.array(single[np.frombuffer(b"".join(all_rare), np.uint8)])
+            words_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_rare)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(all_ids, pa.binary()), pa.array(all_rare, pa.list_(pa.string()))], names=["doc_id", "ids", "rare"]
+                [batch.column(0), pa.array(all_ids, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), words_of)], names=["doc_id", "ids", "rare"]
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, ENCODED)
-    return rows.withColumn("rare_ids", F.transform("rare", lambda w: fold_merges(w, table)))
+    return rows.withColumn("rare_ids", fold_merges(F.col("rare"), table))
 
 
 def joined(ids: bytes, rare: pa.ListScalar) -> np.ndarray:
