@@ -112,7 +112,23 @@ def buckets(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts of a set's shingles in 2**j groups by their first bits: ``GROUPS``, or about one group for four shingles of larger sets."""
+    bits = max(GROUPS.bit_length() - 1, len(shingles).bit_length() - 3)
+    return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
+
+
+def coarser(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of the same set in fewer groups."""
+    return counts.reshape(groups, -1).sum(1, dtype=np.int32)
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """Summed minima of two count vectors, in the groups of the shorter one."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    if len(x) != len(y):
+        groups = min(len(x), len(y))
+        x, y = coarser(x, groups), coarser(y, groups)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 class RTree:
@@ -201,10 +217,6 @@ def _sets(k: int, seed: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, GROUPS)
-
-
 def _bounded(num: int, den: int):
     """Rows (a, b, na, nb, va, vb) whose summed minima allow the similarity."""
 
@@ -212,7 +224,8 @@ def _bounded(num: int, den: int):
         for batch in batches:
             if batch.num_rows:
                 na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                fits = (num + den) * np.minimum(_matrix(batch.column(4)), _matrix(batch.column(5))).sum(1, dtype=np.int64) >= num * (na + nb)
+                bounds = np.array([overlap_bound(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+                fits = (num + den) * bounds >= num * (na + nb)
                 yield batch.select([0, 1, 2, 3]).filter(pa.array(fits))
 
     return run
@@ -230,11 +243,12 @@ def _searched(num: int, den: int):
         right = left if i == j else [r for r in rows if r[3] == j]
         if not left or not right:
             return
-        tree = RTree(np.array([r[6] for r in right]), np.stack([np.frombuffer(r[7], np.int32) for r in right]))
+        point = lambda r: coarser(np.frombuffer(r[7], "<u2"), GROUPS)
+        tree = RTree(np.array([r[6] for r in right]), np.stack([point(r) for r in right]))
         for r in left:
-            for at in tree.search(r[6], np.frombuffer(r[7], np.int32), num, den).tolist():
+            for at in tree.search(r[6], point(r), num, den).tolist():
                 other = right[at]
-                if other[5] != r[5] and (i != j or r[4] < other[4]):
+                if other[5] != r[5] and (i != j or r[4] < other[4]) and (num + den) * overlap_bound(r[7], other[7]) >= num * (r[6] + other[6]):
                     yield min(r[4], other[4]), max(r[4], other[4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .filter("lead != last")
     )
     # buckets with the same members are one
-    met = checkpointed(met.groupBy("members", "lead", "node").agg(F.count(F.lit(1)).alias("times")).drop("times"))
+    met = checkpointed(met.groupBy("members", "lead", "node").agg(F.count(F.lit(1)).alias("times")))
     of_set = Window.partitionBy("members", "lead")
 
     def undecided(labels: DataFrame) -> DataFrame:
@@ -319,7 +333,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # In each round every member is compared with one: the first by a hash that the round sets. A large group of
     # near copies joins up in a few rounds, each linear in its size, and its buckets need no look at their pairs.
-    edges = checkpointed(verified(met.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()))
+    # Before that each set is compared with the one that leads most of its buckets, which mostly settles its component.
+    leads = checkpointed(met.filter("lead != node").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.sum("times").alias("times")))
+    nearest = leads.groupBy("b").agg(F.max(F.struct("times", "a")).alias("most")).select("most.a", "b")
+    edges = checkpointed(verified(nearest))
+    labels = connected_components(edges)
+    comp_of = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+    other = leads.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left")
+    other = other.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    edges = checkpointed(edges.unionByName(verified(other)))
     labels = connected_components(edges)
     for turn in range(1, ROUNDS + 1):
         rows_left = undecided(labels).filter(F.col("size") > SMALL)
