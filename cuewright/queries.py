@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.text import match_key_native
 from cuewright.functions.timecode import srt_time
-from cuewright.operators import activity, intervals, timing
+from cuewright.operators import activity, intervals, onsets, timing
 from cuewright.plans.demo import demo
 from cuewright.sources.lines import split_cues
 
@@ -90,6 +90,19 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return times.select("job_id", F.col("cue_idx").cast("long").alias("cue_idx"), F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"))
 
 
+def onset_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts snapped to onsets, tails and phrase ends of points between the frames of half a second."""
+    mask = _mask(spark, sf_dir)
+    segs = activity.segments(mask, hop=0.5)
+    points = mask.select("job_id", F.col("frame").alias("cue_idx"), (F.col("frame") * 0.5 + 0.125).alias("at"))
+    found = [f(points, segs).drop("at") for f in (onsets.snap_start, onsets.tail_end, onsets.phrase_end)]
+    return found[0].join(found[1], ["job_id", "cue_idx"]).join(found[2], ["job_id", "cue_idx"])
+
+
+def unit_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onsets.unit_gaps(_cues(spark, sf_dir).withColumnRenamed("cue_idx", "unit_idx"))
+
+
 CUES = """cues AS (
     SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS cue_idx,
         epoch_us(ts) / 1e6::DOUBLE AS "start", epoch_us(ts) / 1e6::DOUBLE + value AS "end" FROM events
@@ -158,6 +171,28 @@ SQL = {
         ), filled AS (SELECT job_id, frame, active OR (n <= 1 AND lo > 0 AND hi < top) AS active FROM r1
         ), i2 AS (SELECT *, frame - row_number() OVER (PARTITION BY job_id, active ORDER BY frame) AS g FROM filled)
         SELECT job_id, min(frame) AS "first", max(frame) AS "last", count(*) AS n FROM i2 WHERE active GROUP BY job_id, g HAVING count(*) >= 2""",
+    "onset_times": """
+        WITH m AS (
+            SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value >= 30 AS active FROM events
+        ), i AS (SELECT *, frame - row_number() OVER (PARTITION BY job_id ORDER BY frame) AS g FROM m WHERE active
+        ), s AS (SELECT job_id, min(frame) * 0.5::DOUBLE AS a, (max(frame) + 1) * 0.5::DOUBLE AS b FROM i GROUP BY job_id, g
+        ), k AS (SELECT *, coalesce(a - lag(b) OVER (PARTITION BY job_id ORDER BY a) > 0.8::DOUBLE, true)::INT AS k FROM s
+        ), ph AS (SELECT *, sum(k) OVER (PARTITION BY job_id ORDER BY a) AS p FROM k
+        ), pt AS (SELECT job_id, frame AS cue_idx, frame * 0.5::DOUBLE + 0.125::DOUBLE AS t FROM m
+        ), sn AS (SELECT job_id, cue_idx, arg_min(a, abs(a - t)) AS v FROM pt JOIN s USING (job_id) WHERE a BETWEEN t - 0.25 AND t + 0.3 GROUP BY ALL
+        ), tl AS (SELECT job_id, cue_idx, arg_max(greatest(t, least(b, t + 4)), a) AS v FROM pt JOIN s USING (job_id) WHERE a <= t + 0.25 AND b >= t - 0.2 GROUP BY ALL
+        ), fp AS (SELECT job_id, cue_idx, min(p) AS p FROM pt JOIN ph USING (job_id) WHERE b >= t - 0.1 AND a < t + 12 GROUP BY ALL
+        ), pe AS (SELECT job_id, cue_idx, max(greatest(t, least(b, t + 12))) AS v FROM pt JOIN fp USING (job_id, cue_idx) JOIN ph USING (job_id, p) WHERE a < t + 12 GROUP BY ALL)
+        SELECT job_id, cue_idx, coalesce(sn.v, t) AS snapped, coalesce(tl.v, t) AS tail, coalesce(pe.v, t) AS phrase
+        FROM pt LEFT JOIN sn USING (job_id, cue_idx) LEFT JOIN tl USING (job_id, cue_idx) LEFT JOIN pe USING (job_id, cue_idx)""",
+    "unit_gaps": f"""
+        WITH {CUES}, g AS (
+            SELECT job_id, CASE WHEN lead("start") OVER w IS NOT NULL THEN greatest(0.0::DOUBLE, lead("start") OVER w - "end") END AS gap
+            FROM cues WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+        )
+        SELECT job_id, coalesce(max(gap), 0.0::DOUBLE) AS largest_gap,
+            CASE WHEN count(*) FILTER (gap > 0.02::DOUBLE) >= 3 THEN quantile_cont(gap, 0.5) FILTER (gap > 0.02::DOUBLE) ELSE 0.0::DOUBLE END AS typical_gap
+        FROM g GROUP BY job_id""",
     "waveform_peaks": """
         WITH s AS (
             SELECT vec_id AS job_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n FROM embeddings
@@ -180,7 +215,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [demo_srt, split_lines, overlap_bounds, polish_cues, polish_singing_cues, out_of_order, activity_segments, waveform_peaks, overlap_join]
+    found = [demo_srt, split_lines, overlap_bounds, polish_cues, polish_singing_cues, out_of_order, activity_segments, waveform_peaks, overlap_join, onset_times, unit_gaps]
     return {f.__name__: f for f in found}
 
 
