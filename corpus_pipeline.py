@@ -21,9 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site lines stay in the first document alone; a document that held nothing else goes.
 
+    A short line may stand on some sites by chance and needs 10; one of 60 characters or more does not, and needs 3.
     ``n_chars`` counts the text that is left.
     """
-    found = line_dedup(docs)
+    found = line_dedup(docs, min_sites=10, long_sites=3)
     left = found.filter((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return left.select(*[chars.cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

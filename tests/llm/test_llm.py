@@ -187,6 +187,19 @@ def test_lines(spark):
     assert [out[i]["n_removed"] for i in range(5)] == [0, 1, 1, 0, 0] and out[0]["key"] == "k"
 
 
+def test_lines_of_a_hot_source(spark):
+    import corpus_pipeline
+
+    passage, twice = " ".join(f"word{i}" for i in range(55)), " ".join(f"other{i}" for i in range(55))
+    texts = [f"own {i}\n{passage}\nshort one" + (f"\n{twice}" if i in (3, 17) else "") for i in range(30)]
+    docs = table(spark, texts).withColumn("source", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("s"), "doc_id")).otherwise("hot"))
+    out = {r["doc_id"]: r for r in rows(corpus_pipeline.drop_shared_lines(spark, docs, ""))}
+    assert docs.select("source").distinct().count() == 4 and len(out) == 30
+    for i, t in enumerate(texts):
+        left = t if i == 0 else t.replace(f"{passage}\n", "")
+        assert out[i]["text"] == left and out[i]["n_chars"] == (0 if i == 0 else len(left))
+
+
 def test_lattice(spark):
     model = open(P.path("piece_bpe_32k.model"), "rb").read()
     lat, _ = lattice.weighted(model, {}, 3)
