@@ -9,6 +9,7 @@ best path where it has no text on the host's.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,9 +30,10 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe xmp noembed noframes".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym audio b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow mroot msqrt mstyle msub msubsup msup mtext nobr "
+    "object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split()
 )
-SKIPPED = set("nav header footer aside form script style noscript template iframe svg math button select option datalist menu dialog canvas object embed audio video textarea fieldset map head title".split())
+SKIPPED = set("nav header footer aside form script style noscript template iframe svg button select option datalist menu dialog canvas embed textarea fieldset map head title".split())
 #: Words in class or id that mark what is not the article.
 BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
@@ -39,6 +41,8 @@ BOILERPLATE = set(
     "social footer header masthead comment comments disqus respond reply replies newsletter subscribe subscription signup login search pagination pager "
     "toolbar copyright hidden".split()
 )
+#: What stands beside an article that says so in its class: not a mark.
+MODIFIER = re.compile(r"(?<![a-z])(?:has|no|not|with|without)[-_]+[a-z]+")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 LIKELY = set("article content post entry story main body text".split())
 #: Their text counts for the container around them.
@@ -52,13 +56,19 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
+        self.weights: list[float] = []
         self.paths: list[str] = []
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.marked: list[bool] = []
         self.ranges: list[list[int]] = []
         self.scores: list[float] = []
         self._stack: list[tuple[str, int, bool]] = []  # tag, container (-1: inline), skipped
+        self._around: list[tuple[int, int, int]] = []  # the container of a block, the two that it scores
         self._text: list[str] = []
         self._linked = 0
         self._parse(source)
+        self._settle()
 
     def _parse(self, source: str) -> None:
         at, n = 0, len(source)
@@ -99,20 +109,65 @@ class Page:
         text = " ".join("".join(self._text).split())
         if text:
             weight = len(text) * max(0.0, 1 - self._linked / len(text)) + 20 * text.count(",")
-            around = [c for _, c, _ in self._stack if c >= 0]
-            if around and self.paths[around[-1]].rpartition("/")[2].partition(".")[0] in LEAVES:
-                around = around[:-1]
-            for c, share in zip(reversed(around), (1.0, 0.5), strict=False):
-                self.scores[c] += weight * share
+            inner = next((c for _, c, _ in reversed(self._stack) if c >= 0), -1)
+            near = self.parents[inner] if inner >= 0 and self.tags[inner] in LEAVES else inner
+            self._around.append((inner, near, self.parents[near] if near >= 0 else -1))
             self.blocks.append(text)
+            self.weights.append(weight)
         self._text, self._linked = [], 0
 
+    def _settle(self) -> None:
+        """Drop the blocks in marked containers, but for those that hold the article, and score the rest."""
+        weigh = [0.0, *itertools.accumulate(self.weights)]
+        mass = [weigh[stop] - weigh[start] for start, stop in self.ranges]
+        if any(self.marked):
+            near: list[int] = []  # the marked container at or next above each
+            for c, up in enumerate(self.parents):
+                near.append(c if self.marked[c] else near[up] if up >= 0 else -1)
+            direct = dict.fromkeys([-1, *near], 0.0)
+            for (inner, _, _), weight in zip(self._around, self.weights, strict=True):
+                direct[near[inner] if inner >= 0 else -1] += weight
+            clean = direct[-1]
+
+            def keep(c: int) -> None:
+                nonlocal clean
+                self.marked[c] = False
+                clean += direct[c]
+
+            bodies = [c for c, tag in enumerate(self.tags) if tag in ("article", "main") and mass[c]]
+            most = max(bodies, key=mass.__getitem__, default=-1)
+            if most >= 0 and near[most] >= 0 and mass[most] > clean * (10 if self.marked[most] else 1):
+                chain, c = [], near[most]
+                while c >= 0:
+                    chain.append(c)
+                    c = near[self.parents[c]] if self.parents[c] >= 0 else -1
+                for c in chain:
+                    keep(c)
+            elif all(near[c] >= 0 for c in bodies):
+                for c in [c for c, m in enumerate(self.marked) if m]:
+                    above = near[self.parents[c]] if self.parents[c] >= 0 else -1
+                    if (above < 0 or not self.marked[above]) and 2 * mass[c] > weigh[-1] and 10 * clean < mass[c] and self.ranges[c][1] - self.ranges[c][0] > 1:
+                        keep(c)
+            under: list[bool] = []
+            for c, up in enumerate(self.parents):
+                under.append(self.marked[c] or (up >= 0 and under[up]))
+            kept = [inner < 0 or not under[inner] for inner, _, _ in self._around]
+            place = [0, *itertools.accumulate(kept)]
+            self.ranges = [[place[start], place[stop]] for start, stop in self.ranges]
+            self.blocks, self.weights, self._around = ([x for x, k in zip(xs, kept, strict=True) if k] for xs in (self.blocks, self.weights, self._around))
+        for (_, first, second), weight in zip(self._around, self.weights, strict=True):
+            if first >= 0:
+                self.scores[first] += weight
+            if second >= 0:
+                self.scores[second] += weight * 0.5
+
     def _open(self, tag: str, attributes: str) -> None:
         found = {a.lower(): html.unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        marks = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()
-        tokens = set(re.findall(r"[a-z]+", marks))
+        marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()
+        tokens = set(re.findall(r"[a-z]+", MODIFIER.sub(" ", marks)))
+        marked = bool(tokens & BOILERPLATE) and tag not in ("html", "body", "main")
         hides = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        skipped = tag in SKIPPED or hides or found.get("role", "").lower() in ROLES or (bool(tokens & BOILERPLATE) and tag not in ("html", "body", "main"))
+        skipped = tag in SKIPPED or hides or found.get("role", "").lower() in ROLES or (marked and tag in INLINE)
         skipped = skipped or bool(self._stack and self._stack[-1][2])
         if tag in INLINE:
             self._stack.append((tag, -1, skipped))
@@ -132,6 +187,9 @@ class Page:
         above = next((c for _, c, _ in reversed(self._stack) if c >= 0), -1)
         step = ".".join([tag, *sorted(set(re.sub(r"\d+", "#", found.get("class", "").lower()).split()))])
         self.paths.append(f"{self.paths[above]}/{step}" if above >= 0 else step)
+        self.tags.append(tag)
+        self.parents.append(above)
+        self.marked.append(marked)
         self.ranges.append([len(self.blocks), -1])
         self.scores.append(0.0)
         self._stack.append((tag, len(self.paths) - 1, skipped))

@@ -280,6 +280,25 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+BODY = "Some text of the article, more than enough of it. " * 5
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>x y</p></article><div class="sidebar">s</div></div>', "x y"),
+        ('<article class="post no-comments"><p>x y</p></article><div class="related"><article><p>r</p></article></div>', "x y"),
+        ('<div id="page" class="header-fixed"><article><p>x y</p></article><div class="comments"><p>c</p></div></div>', "x y"),
+        (f'<div id="page" class="header-fixed"><h1>x</h1><p>{BODY}</p><div class="comments"><p>c</p></div></div>', f"x {BODY.strip()}"),
+        (f'<div class="content"><p>{BODY}</p></div><div class="comments"><article class="comment"><p>c</p></article></div>', BODY.strip()),
+        ("<article><p>x <math><mi>a</mi></math> <video>film</video></p><object>y</object></article>", "x a film y"),
+        ('<div class="ad">x</div>', ""),
+    ],
+)
+def test_pages_with_marked_containers(source, text):
+    assert html_extract.extract(source, None) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
