@@ -3,7 +3,7 @@
 Each page's containers are scored by the text that stands directly in them; a container's path is the chain of
 tags and classes above it, digits generalised. Spark sums the shares that each path has of its pages' scores
 over a host and takes the winner; then every page is extracted again along its host's path, and along its own
-best path where it has no text on the host's.
+best path where the host's has less than half of the page's weight. A path stands for the article around it.
 """
 
 from __future__ import annotations
@@ -226,24 +226,49 @@ class Page:
         total = sum(found.values())
         return {p: s / total for p, s in found.items()}
 
-    def text(self, path: str | None) -> str:
-        """The blocks inside the containers with this path, each once; all blocks for None."""
+    def spans(self, path: str | None) -> list[tuple[int, int]]:
+        """Ranges of blocks, each once: those of the widened containers with this path; all for None.
+
+        A container is widened to the outermost article or main around it; without one, to the lowest ancestor
+        that holds every block of weight and every main heading.
+        """
         if path is None:
-            return " ".join(self.blocks)
+            return [(0, len(self.blocks))]
+        good = [i for i, w in enumerate(self.weights) if w >= 40 or self._around[i][0] >= 0 and self.tags[self._around[i][0]] == "h1"]
+        wide = []
+        for c, p in enumerate(self.paths):
+            if p != path or self.ranges[c][0] == self.ranges[c][1] or wide and self.ranges[c][1] <= wide[-1][1]:
+                continue
+            found, up = -1, c
+            while up >= 0:
+                found, up = up if self.tags[up] in ("article", "main") else found, self.parents[up]
+            if found < 0:
+                found = c
+                while good and found >= 0 and not (self.ranges[found][0] <= good[0] and good[-1] < self.ranges[found][1]):
+                    found = self.parents[found]
+            wide.append(tuple(self.ranges[found]) if found >= 0 else (0, len(self.blocks)))
         out, done = [], 0
-        for p, (start, stop) in zip(self.paths, self.ranges, strict=True):
-            if p == path and stop > done:
-                out += self.blocks[max(start, done) : stop]
+        for start, stop in wide:
+            if stop > done:
+                out.append((max(start, done), stop))
                 done = stop
-        return " ".join(out)
+        return out
+
+    def text(self, spans: list[tuple[int, int]]) -> str:
+        return " ".join(b for start, stop in spans for b in self.blocks[start:stop])
+
+    def weight(self, spans: list[tuple[int, int]]) -> float:
+        return sum(w for start, stop in spans for w in self.weights[start:stop])
 
 
 def extract(source: str, host_path: str | None) -> str:
     page = Page(source)
-    if host_path and (text := page.text(host_path)):
-        return text
+    hosts = page.spans(host_path) if host_path else []
+    if hosts and 2 * page.weight(hosts) >= sum(page.weights):
+        return page.text(hosts)
     shares = page.shares()
-    return page.text(max(shares, key=lambda p: (shares[p], p)) if shares else None)
+    own = page.spans(max(shares, key=lambda p: (shares[p], p)) if shares else None)
+    return page.text(hosts if hosts and page.weight(hosts) >= page.weight(own) else own)
 
 
 def host_of(url):

@@ -299,6 +299,20 @@ def test_pages_with_marked_containers(source, text):
     assert html_extract.extract(source, None) == text
 
 
+def test_pages_keep_whole_articles(spark):
+    text, other = BODY.strip(), BODY.replace("Some", "Other").strip()
+    lead = f'<article><h1>T</h1><p>lead</p><div class="content"><p>{text}</p></div></article><div class="ad">a</div>'
+    parts = f'<body><div class="w"><div class="a"><section class="x"><p>{text}</p></section></div><div class="b"><section class="y"><p>{other}</p></section></div></div><nav>n</nav></body>'
+    short = f'<body><main><p>{text}</p></main></body>'
+    mixed = f'<body><main><p>Teaser.</p></main><div class="old"><p>{text}</p><p>{other}</p></div></body>'
+    want = {lead: f"T lead {text}", parts: f"{text} {other}", short: text, mixed: f"{text} {other}"}
+    pages = [("lead.org", lead)] * 3 + [("parts.org", parts)] * 3 + [("two.org", short)] * 3 + [("two.org", mixed)]
+    data = [(i, f"http://{host}/{i}", source) for i, (host, source) in enumerate(pages)]
+    for r in rows(html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string"))):
+        got, whole = r["text"], want[pages[r["page_id"]][1]]
+        assert whole in got and got.removeprefix("Teaser. ") == whole
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
