@@ -375,11 +375,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is the smallest of their component.
+    """The rows of ``docs``, with all their columns, less the near copies: one row of each component stays.
 
-    Rows with a null id stay. Rows that share an id are one document here.
+    It is the row with the smallest id; of rows with one id any, and one with a null id only where all have null ids.
+    Rows are judged by their own texts, whatever their ids; rows without shingles all stay. The rows with their numbers
+    are written once, as the join reads them several times.
     """
-    found = jaccard_components(docs, id_col, text_col, k, num, den)
-    gone = checkpointed(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = checkpointed(jaccard_components(numbered, "_row", text_col, k, num, den).select(F.col("doc_id").alias("_row"), "component_id"))
+    groups = found.filter(F.col("_row") != F.col("component_id")).select("component_id").distinct()
+    members = checkpointed(found.join(groups, "component_id", "left_semi").join(numbered.select("_row", F.col(id_col).alias("_id")), "_row"))
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("_row"))
+    gone = checkpointed(members.join(kept, "_row", "left_anti").select("_row"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -138,6 +138,15 @@ def test_jaccard_is_exact(spark, k, num, den):
         assert r["component_id"] == find(r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]])
 
 
+def test_near_copies_go_by_row(spark):
+    copy, own, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    ids = [1, 2, 2, 1, None, None, None, 3, 4, 4]
+    texts = [copy, copy + " x", own, copy, copy, third, third + " x", "", None, None]
+    out = [(r["doc_id"], r["text"]) for r in rows(jaccard.drop_near_copies(table(spark, texts, ids)))]
+    assert len(out) == 6 and sorted(i for i, _ in out if i) == [1, 2, 3, 4, 4]
+    assert (1, copy) in out and (2, own) in out and [t for i, t in out if i is None][0].startswith(third)
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(1)
     points = rng.poisson(3, (500, jaccard.GROUPS)).astype(np.int32)
