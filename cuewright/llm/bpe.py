@@ -22,12 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import checkpointed, let, small_batches
-from cuewright.llm.words import count_words, frequent, splitter
+from cuewright.llm.words import count_words, cut, frequent, splitter
 
 #: A word of more bytes than this goes through a heap instead of the fold, which takes quadratic time.
 LONG_WORD = 400
+#: Values of the fold's state: no pair, the first piece, the edge of the word.
+NONE, PIECE, EDGE = 1 << 20, 1 << 21, 1 << 22
 #: At most this many words are encoded ahead and sent to every worker (some 100 bytes each there).
 AHEAD = 400_000
+#: A worker remembers the ids of so many parts of texts.
+RECENT = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,10 +40,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f))}
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[Column, Column, int]:
-    """The ranks of all joinable pairs as two literals: where the row of a left id begins, and the rows, laid into each other.
+def pair_table(ranks: dict[bytes, int]) -> tuple[Column, Column, Column]:
+    """The ranks of all joinable pairs as three literals: where the row of a left id begins, and the rows, laid into each other.
 
-    The pair of ids a, b is at place begin[a] + b, as a * base + rank; the third value is the base.
+    The pair of ids a, b is at place begin[a] + b: its left id stands in the second literal, its rank in the third. A
+    left id counts from ``PIECE`` here and in the fold.
     """
     base = max(ranks.values()) + 1
     partners: dict[int, dict[int, int]] = {}
@@ -50,62 +55,58 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[Column, Column, int]:
     room = 4 * sum(map(len, partners.values())) + 1
     taken = np.zeros(room + base, bool)
     begin: list[int | None] = [None] * base
-    table: list[int | None] = [None] * (room + base)
+    owner: list[int | None] = [None] * (room + base)
+    found: list[int | None] = [None] * (room + base)
     offset, rng = 0, random.Random(0)
     for left, row in sorted(partners.items(), key=lambda x: -len(x[1])):
         rights = np.fromiter(row, np.int64, len(row))
         while taken[offset + rights].any():
             offset = rng.randrange(room)
         taken[offset + rights] = True
-        begin[left] = offset
+        begin[left] = offset - PIECE
         for right, rank in row.items():
-            table[offset + right] = left * base + rank
+            owner[offset + right], found[offset + right] = left + PIECE, rank
         offset = rng.randrange(room)
-    literal = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-    return literal(begin, "array<int>"), literal(table, "array<bigint>"), base
+    literal = lambda values: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
+    return literal(begin), literal(owner), literal(found)
 
 
-def fold_merges(words: Column, table: tuple[Column, Column, int]) -> Column:
+def fold_merges(words: Column, table: tuple[Column, Column, Column]) -> Column:
     """The ids of each of ``words``, an array of arrays of the ids of single bytes.
 
-    State of a word: its pieces, and the rank of each piece joined with the next (null where there is none). Each
-    step merges the leftmost pair of the lowest rank, which is the new piece's id, and looks up the two ranks that
-    it changes.
+    State of a word: one array in which pieces and the ranks of neighbours' pairs take turns, between two ``EDGE``
+    that pair with nothing. A piece is its id above ``PIECE``, a pair without a rank is ``NONE``, so the least value is
+    the rank to merge while there is one, and is the new piece's id. Each step puts the leftmost pair of that rank
+    together and looks up the two ranks beside it.
     """
-    begins, places, base = table
-
-    def rank(pairs: tuple[Column, Column], left: Column, right: Column) -> Column:
-        begin, place = pairs
-        return let(F.get(place, F.get(begin, left) + right) - left.cast("long") * base, lambda x: F.when((x >= 0) & (x < base), x.cast("int")))
-
-    def join(*parts: Column) -> Column:
-        return F.flatten(F.array(*parts))  # faster than concat
-
-    def merged(pairs: tuple[Column, Column], p: Column, r: Column, low: Column, i: Column) -> Column:
-        none = F.array().cast("array<int>")
-        before = F.when(i > 1, join(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(pairs, F.get(p, i - 2), low)))).otherwise(none)
-        after = F.when(i < F.size(r), join(F.array(rank(pairs, low, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
-        return F.struct(join(F.slice(p, F.lit(1), i - 1), F.array(low), F.slice(p, i + 2, F.size(p))).alias("p"), join(before, after).alias("r"))
-
-    def step(pairs: tuple[Column, Column], state: Column) -> Column:
-        return let(
-            F.array_min(state["r"]),
-            lambda low: F.when(low.isNull(), state).otherwise(
-                let(F.array_position(state["r"], low).cast("int"), lambda i: merged(pairs, state["p"], state["r"], low, i))
-            ),
-        )
-
-    def folded(pairs: tuple[Column, Column], p: Column) -> Column:
+    begins, owners, places = table
+
+    def folded(begin: Column, owner: Column, place: Column, p: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            at = F.get(begin, left - PIECE) + right
+            return F.when(F.get(owner, at) == left, F.get(place, at)).otherwise(NONE)
+
+        def merged(state: Column, low: Column, i: Column) -> Column:
+            new = low + PIECE
+            middle = F.array(rank(F.get(state, i - 4), new), new, rank(new, F.get(state, i + 2)))
+            return F.flatten(F.array(F.slice(state, F.lit(1), i - 3), middle, F.slice(state, i + 3, F.size(state))))
+
+        def step(state: Column) -> Column:
+            place_of = lambda low: F.array_position(state, low).cast("int")
+            return let(F.array_min(state), lambda low: F.when(low >= NONE, state).otherwise(let(place_of(low), lambda i: merged(state, low, i))))
+
         rest = F.slice(p, 2, F.greatest(F.size(p), F.lit(1)))
-        first = F.slice(F.zip_with(p, rest, lambda a, b: rank(pairs, a, b)), F.lit(1), F.size(p) - 1)
-        return F.aggregate(rest, F.struct(p.alias("p"), first.alias("r")), lambda state, _: step(pairs, state), lambda state: state["p"])
+        pairs = F.flatten(F.zip_with(p, rest, lambda a, b: F.array(a, F.when(b.isNull(), F.lit(NONE)).otherwise(rank(a, b)))))
+        start = F.flatten(F.array(F.array(F.lit(EDGE), F.lit(NONE)), pairs, F.array(F.lit(EDGE))))
+        ids = lambda state: F.transform(F.filter(state, lambda x: (x >= PIECE) & (x < EDGE)), lambda x: x - PIECE)
+        return F.aggregate(rest, start, lambda state, _: step(state), ids)
 
-    return let(begins, lambda begin: let(places, lambda place: F.transform(words, lambda p: folded((begin, place), p))))
+    return let(begins, lambda b: let(owners, lambda o: let(places, lambda r: F.transform(words, lambda p: folded(b, o, r, p)))))
 
 
 def byte_ids(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of a word's single bytes."""
-    ids = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+    """A word's single bytes as pieces of the fold."""
+    ids = F.array(*[F.lit(ranks[bytes([b])] + PIECE) for b in range(256)])
     return F.transform(F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.get(ids, F.conv(h, 16, 10).cast("int")))
 
 
@@ -155,10 +156,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     small_batches(spark)
     ranks = read_ranks(ranks_path)
     table = pair_table(ranks)
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    single = np.array([ranks[bytes([b])] + PIECE for b in range(256)], np.int32)
     split = splitter(pattern)
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = checkpointed(count_words(texts, split).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
+    counts = checkpointed(count_words(texts, split, most=250_000, cut=cut).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
     known = frequent(counts, ahead).repartition(4 * spark.sparkContext.defaultParallelism).select("word", fold_merges(F.array(byte_ids(F.col("word"), ranks)), table)[0].alias("ids"))
     pairs = known.toArrow()
     ids = pairs.column("ids").combine_chunks()
@@ -170,31 +171,42 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, ranks = shared.value, shared_ranks.value
+        recent: dict[str, bytes] = {}  # parts of texts that hold several words, none of them rare
+
         for batch in batches:
             all_ids, all_rare, counts = [], [], [0]
             for text in batch.column(1):
-                words = split(text.as_py()) if text.is_valid else []
+                parts = cut(text.as_py()) if text.is_valid else []
                 known: dict[str, bytes] = {}
                 rare: list[bytes] = []
-                try:
-                    done = b"".join([book[w] for w in words])
-                except KeyError:
-                    parts = []
-                    for w in words:
-                        x = book.get(w) or known.get(w)
-                        if x is None:
-                            raw = w.encode("utf-8", "surrogatepass")
-                            if (one := ranks.get(raw)) is not None:
-                                x = one.to_bytes(4, "little")
-                            elif len(raw) > LONG_WORD:
-                                x = np.array(heap_merges(raw, ranks), "<u4").tobytes()
-                            else:
-                                x = (MARK + len(rare)).to_bytes(4, "little")
-                                rare.append(raw)
-                            known[w] = x
-                        parts.append(x)
-                    done = b"".join(parts)
-                all_ids.append(done)
+
+                def of_word(w: str) -> bytes:
+                    x = book.get(w) or known.get(w)
+                    if x is None:
+                        raw = w.encode("utf-8", "surrogatepass")
+                        if (one := ranks.get(raw)) is not None:
+                            x = one.to_bytes(4, "little")
+                        elif len(raw) > LONG_WORD:
+                            x = np.array(heap_merges(raw, ranks), "<u4").tobytes()
+                        else:
+                            x = (MARK + len(rare)).to_bytes(4, "little")
+                            rare.append(raw)
+                        known[w] = x
+                    return x
+
+                out = []
+                for part in parts:
+                    x = book.get(part) or recent.get(part) or known.get(part)
+                    if x is None:
+                        before = len(rare)
+                        words = split(part)
+                        x = b"".join([of_word(w) for w in words])
+                        if len(rare) == before and len(part) <= LONG_WORD and not any(w in known for w in words):
+                            if len(recent) >= RECENT:
+                                recent.clear()
+                            recent[part] = x
+                    out.append(x)
+                all_ids.append(b"".join(out))
                 all_rare += rare
                 counts.append(len(rare))
             flat = pa.array(single[np.frombuffer(b"".join(all_rare), np.uint8)])

@@ -32,24 +32,48 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
+CUT, WIDE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
+
+
+def cut(text: str) -> list[str]:
+    """Parts of a text that the tokenizers' pattern may cut each for itself: the words of the parts are those of the text.
+
+    A space before anything but white space always begins a word, and the pattern looks at nothing before a word
+    and, at the end of white space, only for more of it.
+    """
+    if "\0" in text:
+        first, *rest = CUT.split(text)
+        return [first, *[" " + r for r in rest]]
+    return (CUT.sub("\0 ", text) if WIDE.search(text) else text.replace(" ", "\0 ")).split("\0")
+
+
 COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
-def count_words(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000) -> DataFrame:
-    """(word, n) over the first column of ``texts``: summed in each worker, flushed at ``most`` words, then by Spark."""
+def count_words(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(word, n) over the first column of ``texts``: summed in each worker, flushed at ``most`` words, then by Spark.
+
+    With ``cut`` the parts of texts are counted first, and ``split`` sees each of them once.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=COUNTS)
+            words = seen
+            if cut is not None:
+                words = Counter()
+                for part, n in seen.items():
+                    for word in split(part):
+                        words[word] += n
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=COUNTS)
             seen.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    seen.update(split(text.as_py()))
+                    seen.update((cut or split)(text.as_py()))
                 if len(seen) >= most:
                     yield flush()
         yield flush()

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.llm import bpe, fingerprint, html_extract, jaccard, lattice, license_scan, packing, toxicity
+from cuewright.llm import bpe, fingerprint, html_extract, jaccard, lattice, license_scan, packing, toxicity, words
 from cuewright.llm.components import connected_components
 from cuewright.llm.exact_dedup import DigestIndex, exact_dedup
 from cuewright.llm.line_dedup import line_dedup
@@ -109,6 +110,14 @@ def shingles(text, k):
     return frozenset(zip(*(w[i:] for i in range(k)))) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
+def test_texts_are_cut_between_words():
+    split, rng = words.splitter(P.PATTERN), random.Random(3)
+    letters = " \n\t\x0b\x1c\x85\xa0\u3000\0ab'st'reÀé1²½٣_-.,!\U0001d7d8\U00010400日   "
+    for _ in range(20_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
+        assert [w for part in words.cut(text) for w in split(part)] == split(text), text
+
+
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 8, 10)])
 def test_jaccard_is_exact(spark, k, num, den):
     import random
