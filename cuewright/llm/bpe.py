@@ -3,7 +3,7 @@
 Merges are folded by Spark's higher-order functions over the bytes of distinct words, with the ranks of pairs as
 a literal map. The words that make up most of the corpus are counted over all documents and encoded once; this
 bounded table goes to the workers, which replace words by ids. Words that are not in it are encoded by the
-same fold where they stand, once for each document, so texts are never shuffled. Decoding concatenates the
+same fold where they stand, once for each block of documents, so texts are never shuffled. Decoding concatenates the
 binary pieces of the ids.
 """
 
@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import checkpointed, let, small_batches
-from cuewright.llm.words import count_words, cut, frequent, splitter
+from cuewright.llm.words import PLAIN, count_pieces, cut_all, frequent, splitter
 
 #: A word of more bytes than this goes through a heap instead of the fold, which takes quadratic time.
 LONG_WORD = 400
@@ -30,8 +31,6 @@ LONG_WORD = 400
 NONE, PIECE, EDGE = 1 << 20, 1 << 21, 1 << 22
 #: At most this many words are encoded ahead and sent to every worker (some 100 bytes each there).
 AHEAD = 400_000
-#: A worker remembers the ids of so many parts of texts.
-RECENT = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -141,16 +140,37 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 MARK = 1 << 31
-ENCODED = "doc_id long, ids binary, rare array<array<int>>"
+BLOCKS = "docs array<long>, stops array<long>, ids binary, rare array<array<int>>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ahead: int = AHEAD) -> DataFrame:
-    """Encode every text: ``doc_id, ids`` (binary, little-endian unsigned 32-bit), ``rare``, ``rare_ids``.
+def gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranges of ``source`` one after another."""
+    ends = np.cumsum(lengths)
+    return source[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Book:
+    """Words with their ids, for many words at once."""
+
+    def __init__(self, words: pa.Array, ids: pa.ListArray):
+        self.words, self.flat = words, ids.values.to_numpy().astype("<u4")
+        self.ends = ids.offsets.to_numpy().astype(np.int64)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
 
-    In ``ids`` a value of 2**31 + k stands for the k-th of ``rare_ids``; ``joined`` puts them in place.
-    A word that is a piece itself is its id. Null text counts as empty and has no ids. Repeated rows are encoded each for itself; an empty table gives
-    an empty result; further columns are ignored.
+    def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of the ids of the words at ``places``; nothing for -1."""
+        starts, lengths = self.ends[places], self.ends[places + 1] - self.ends[places]
+        return np.where(places < 0, 0, starts), np.where(places < 0, 0, lengths)
+
+
+def _blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, ahead: int) -> DataFrame:
+    """Blocks of encoded texts: their ids, where each text's stop, and the ids of the rare words of the block.
+
+    In ``ids`` a value of 2**31 + k stands for the k-th of ``rare_ids``.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -159,79 +179,99 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     single = np.array([ranks[bytes([b])] + PIECE for b in range(256)], np.int32)
     split = splitter(pattern)
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = checkpointed(count_words(texts, split, most=250_000, cut=cut).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
+    counts = checkpointed(count_pieces(texts, split).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
     known = frequent(counts, ahead).repartition(4 * spark.sparkContext.defaultParallelism).select("word", fold_merges(F.array(byte_ids(F.col("word"), ranks)), table)[0].alias("ids"))
-    pairs = known.toArrow()
-    ids = pairs.column("ids").combine_chunks()
-    flat, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-    book = {w: flat[a:b].tobytes() for w, a, b in zip(pairs.column("word").to_pylist(), ends[:-1], ends[1:], strict=True)}
-    whole = {w: ranks[raw].to_bytes(4, "little") for w in book if (raw := w.encode("utf-8", "surrogatepass")) in ranks}
-    book |= whole
-    shared, shared_ranks = spark.sparkContext.broadcast(book), spark.sparkContext.broadcast(ranks)
+    pairs = known.toArrow().combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in pairs.columns]
+    shared, shared_ranks = spark.sparkContext.broadcast(Book(*columns)), spark.sparkContext.broadcast(ranks)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, ranks = shared.value, shared_ranks.value
-        recent: dict[str, bytes] = {}  # parts of texts that hold several words, none of them rare
-
         for batch in batches:
-            all_ids, all_rare, counts = [], [], [0]
-            for text in batch.column(1):
-                parts = cut(text.as_py()) if text.is_valid else []
-                known: dict[str, bytes] = {}
-                rare: list[bytes] = []
-
-                def of_word(w: str) -> bytes:
-                    x = book.get(w) or known.get(w)
-                    if x is None:
-                        raw = w.encode("utf-8", "surrogatepass")
-                        if (one := ranks.get(raw)) is not None:
-                            x = one.to_bytes(4, "little")
-                        elif len(raw) > LONG_WORD:
-                            x = np.array(heap_merges(raw, ranks), "<u4").tobytes()
-                        else:
-                            x = (MARK + len(rare)).to_bytes(4, "little")
-                            rare.append(raw)
-                        known[w] = x
-                    return x
-
-                out = []
-                for part in parts:
-                    x = book.get(part) or recent.get(part) or known.get(part)
-                    if x is None:
-                        before = len(rare)
-                        words = split(part)
-                        x = b"".join([of_word(w) for w in words])
-                        if len(rare) == before and len(part) <= LONG_WORD and not any(w in known for w in words):
-                            if len(recent) >= RECENT:
-                                recent.clear()
-                            recent[part] = x
-                    out.append(x)
-                all_ids.append(b"".join(out))
-                all_rare += rare
-                counts.append(len(rare))
-            flat = pa.array(single[np.frombuffer(b"".join(all_rare), np.uint8)])
-            words_of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_rare)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(all_ids, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), words_of)], names=["doc_id", "ids", "rare"]
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, ENCODED)
-    return rows.withColumn("rare_ids", fold_merges(F.col("rare"), table))
-
-
-def joined(ids: bytes, rare: pa.ListScalar) -> np.ndarray:
-    """All ids of a text, with those of its rare words in place."""
-    found = np.frombuffer(ids, "<u4")
-    places = np.flatnonzero(found >= MARK)
-    if not len(places):
-        return found
-    flat, ends = rare.values.values.to_numpy(zero_copy_only=False).astype("<u4"), rare.values.offsets.to_numpy()
-    parts, at = [], 0
-    for place in places.tolist():
-        k = int(found[place]) - MARK
-        parts += [found[at:place], flat[ends[k] : ends[k + 1]]]
-        at = place + 1
-    return np.concatenate([*parts, found[at:]])
+            parts, stops = cut_all(batch.column(1))
+            places = book.find(parts)
+            missed = np.flatnonzero(places < 0)
+            unlike = parts.take(pa.array(missed)).dictionary_encode()
+            found = pc.extract_regex(unlike.dictionary, PLAIN)
+            core, tail = (book.find(found.field(k)) for k in range(2))
+            no_tail = pc.fill_null(pc.equal(found.field(1), ""), False).to_numpy(zero_copy_only=False)
+            plain = found.is_valid().to_numpy(zero_copy_only=False) & (core >= 0) & ((tail >= 0) | no_tail)
+
+            rare: list[bytes] = []
+            seen: dict[str, bytes] = {}
+
+            def of_word(word: str) -> bytes:
+                if (ids := seen.get(word)) is None:
+                    raw = word.encode("utf-8", "surrogatepass")
+                    if (one := ranks.get(raw)) is not None:
+                        ids = one.to_bytes(4, "little")
+                    elif len(raw) > LONG_WORD:
+                        ids = np.array(heap_merges(raw, ranks), "<u4").tobytes()
+                    else:
+                        ids = (MARK + len(rare)).to_bytes(4, "little")
+                        rare.append(raw)
+                    seen[word] = ids
+                return ids
+
+            others = unlike.dictionary.filter(pa.array(~plain)).to_pylist()
+            own = [b"".join(map(of_word, split(part))) for part in others]
+            # Two ranges of ids for each part: those of a plain one's word and of the marks after it, else all in the first.
+            n = len(plain)
+            starts, lengths = np.zeros((n + 1, 2), np.int64), np.zeros((n + 1, 2), np.int64)
+            for k, at in enumerate((core, tail)):
+                starts[:n, k], lengths[:n, k] = book.ranges(np.where(plain, at, -1))
+            own_lengths = np.array([len(x) // 4 for x in own], np.int64)
+            starts[:n, 0][~plain] = len(book.flat) + np.cumsum(own_lengths) - own_lengths
+            lengths[:n, 0][~plain] = own_lengths
+            all_starts, all_lengths = np.zeros((len(places), 2), np.int64), np.zeros((len(places), 2), np.int64)
+            all_starts[:, 0], all_lengths[:, 0] = book.ranges(places)
+            which = unlike.indices.to_numpy()
+            all_starts[missed], all_lengths[missed] = starts[which], lengths[which]
+            ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), all_starts.ravel(), all_lengths.ravel())
+            ends = np.concatenate([[0], np.cumsum(all_lengths.sum(1))])[stops]
+            flat = pa.array(single[np.frombuffer(b"".join(rare), np.uint8)])
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
+            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            row = [whole(batch.column(0)), whole(pa.array(ends, pa.int64())), pa.array([ids.tobytes()], pa.binary()), whole(words)]
+            yield pa.RecordBatch.from_arrays(row, names=["docs", "stops", "ids", "rare"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, BLOCKS)
+    return rows.select("docs", "stops", "ids", fold_merges(F.col("rare"), table).alias("rare_ids"))
+
+
+def joined(ids: np.ndarray, stops: np.ndarray, rare: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a block, with those of its rare words in place, and where each text's stop."""
+    marked = ids >= MARK
+    if not marked.any():
+        return ids, stops
+    flat, ends = rare.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(rare).to_numpy())])
+    k = np.where(marked, ids - MARK, 0).astype(np.int64)
+    lengths = np.where(marked, ends[k + 1] - ends[k], 1)
+    starts = np.where(marked, len(ids) + ends[k], np.arange(len(ids)))
+    return gather(np.concatenate([ids, flat]), starts, lengths), np.concatenate([[0], np.cumsum(lengths)])[stops]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The ids of the documents of each block, and those of their texts' tokens."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            docs, stops, ids, rare = (batch.column(k)[row] for k in range(4))
+            found, ends = joined(np.frombuffer(ids.as_py(), "<u4"), stops.values.to_numpy(), rare.values)
+            yield docs.values, [found[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ahead: int = AHEAD) -> DataFrame:
+    """``doc_id, ids`` of every text: its ids as little-endian unsigned 32-bit integers.
+
+    A word that is a piece itself is its id. Null text counts as empty and has no ids. Repeated rows are encoded each
+    for itself; an empty table gives an empty result; further columns are ignored.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
+
+    return _blocks(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(rows, "doc_id long, ids binary")
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -248,13 +288,10 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(pieces)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = [], [], []
-            for raw, rare in zip(batch.column(1), batch.column(2), strict=True):
-                ids = joined(raw.as_py(), rare)
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                b.append(hashlib.sha256(decode(ids, shared.value)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs, ranks_path, pattern, id_col, text_col, ahead).select("doc_id", "ids", "rare_ids").mapInArrow(digested, DIGESTS)
+        for ids, texts in _texts(batches):
+            a = [hashlib.sha256(t.tobytes()).hexdigest() for t in texts]
+            b = [hashlib.sha256(decode(t, shared.value)).hexdigest() for t in texts]
+            columns = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _blocks(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(digested, DIGESTS)

@@ -7,7 +7,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,33 +49,89 @@ def cut(text: str) -> list[str]:
     return (CUT.sub("\0 ", text) if WIDE.search(text) else text.replace(" ", "\0 ")).split("\0")
 
 
+#: Texts that only ``cut`` cuts right: with a NUL, or a space before white space or the end.
+UNEVEN = "\\x00| (?:[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|$)"
+#: A word of letters and the ASCII marks after it: two matches of the pattern, or one.
+PLAIN = r"^(?P<word> ?\p{L}+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+
+
+def cut_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of many texts, as ``cut`` gives them, and the number of parts up to the end of each text. Null is empty."""
+    texts = pc.fill_null(texts, "")
+    uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+    parts, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+    if not uneven.any():
+        return parts, np.cumsum(sizes, dtype=np.int64)
+    rows = np.flatnonzero(uneven).tolist()
+    own = [cut(texts[k].as_py()) for k in rows]
+    ends = np.cumsum(sizes)
+    pieces, at, sizes = [], 0, sizes.copy()
+    for k, mine in zip(rows, own, strict=True):
+        pieces += [parts[at : ends[k] - sizes[k]], pa.array(mine, parts.type)]
+        at, sizes[k] = int(ends[k]), len(mine)
+    return pa.concat_arrays([*pieces, parts[at:]]), np.cumsum(sizes, dtype=np.int64)
+
+
 COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
-def count_words(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """(word, n) over the first column of ``texts``: summed in each worker, flushed at ``most`` words, then by Spark.
+def _summed(table: pa.Table) -> pa.Table:
+    return table.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    With ``cut`` the parts of texts are counted first, and ``split`` sees each of them once.
+
+def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000) -> DataFrame:
+    """(word, n) of the matches of the tokenizers' pattern over the first column of ``texts``.
+
+    Each worker counts parts of texts, cuts each different part once, and flushes at ``most`` of them; Spark sums.
     """
 
+    def words_of(parts: pa.Table) -> pa.Table:
+        word, n = parts.column("word").combine_chunks(), parts.column("n").combine_chunks()
+        found = pc.extract_regex(word, PLAIN)
+        plain, marks = found.is_valid(), pc.fill_null(pc.greater(pc.binary_length(found.field(1)), 0), False)
+        counts = {"word": [], "n": []}
+        others = pc.invert(plain)
+        for part, k in zip(word.filter(others).to_pylist(), n.filter(others).to_pylist(), strict=True):
+            mine = split(part)
+            counts["word"] += mine
+            counts["n"] += [k] * len(mine)
+        tables = [pa.table([found.field(0).filter(plain), n.filter(plain)], schema=COUNTS), pa.table([found.field(1).filter(marks), n.filter(marks)], schema=COUNTS)]
+        return _summed(pa.concat_tables([*tables, pa.table(counts, schema=COUNTS)]))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            found = cut_all(batch.column(0))[0].value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], schema=COUNTS))
+            rows += len(found)
+            if rows >= 2 * most:
+                held = [_summed(pa.concat_tables(held))]
+                rows = held[0].num_rows
+                if rows >= most:
+                    yield from words_of(held[0]).to_batches(100_000)
+                    held, rows = [], 0
+        if held:
+            yield from words_of(_summed(pa.concat_tables(held))).to_batches(100_000)
+
+    return texts.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_words(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000) -> DataFrame:
+    """(word, n) over the first column of ``texts``: summed in each worker, flushed at ``most`` words, then by Spark."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def flush():
-            words = seen
-            if cut is not None:
-                words = Counter()
-                for part, n in seen.items():
-                    for word in split(part):
-                        words[word] += n
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=COUNTS)
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=COUNTS)
             seen.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
                 if text.is_valid:
-                    seen.update((cut or split)(text.as_py()))
+                    seen.update(split(text.as_py()))
                 if len(seen) >= most:
                     yield flush()
         yield flush()

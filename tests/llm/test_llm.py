@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,9 +114,13 @@ def shingles(text, k):
 def test_texts_are_cut_between_words():
     split, rng = words.splitter(P.PATTERN), random.Random(3)
     letters = " \n\t\x0b\x1c\x85\xa0\u3000\0ab'st'reÀé1²½٣_-.,!\U0001d7d8\U00010400日   "
-    for _ in range(20_000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
-        assert [w for part in words.cut(text) for w in split(part)] == split(text), text
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    parts, ends = words.cut_all(pa.array([*texts, None]))
+    parts, at = parts.to_pylist(), 0
+    for text, end in zip([*texts, ""], ends.tolist(), strict=True):
+        assert parts[at:end] == words.cut(text), text
+        assert [w for part in parts[at:end] for w in split(part)] == split(text), text
+        at = end
 
 
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 8, 10)])
