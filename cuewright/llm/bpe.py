@@ -140,6 +140,8 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 MARK = 1 << 31
+#: A block of texts ends after about so many ids.
+BLOCK = 1 << 15
 BLOCKS = "docs array<long>, stops array<long>, ids binary, rare array<array<int>>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -229,10 +231,22 @@ def _blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
             all_starts[missed], all_lengths[missed] = starts[which], lengths[which]
             ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), all_starts.ravel(), all_lengths.ravel())
             ends = np.concatenate([[0], np.cumsum(all_lengths.sum(1))])[stops]
-            flat = pa.array(single[np.frombuffer(b"".join(rare), np.uint8)])
-            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
-            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            row = [whole(batch.column(0)), whole(pa.array(ends, pa.int64())), pa.array([ids.tobytes()], pa.binary()), whole(words)]
+            yield from blocks(batch.column(0), ids, ends, rare)
+
+    def blocks(docs: pa.Array, ids: np.ndarray, ends: np.ndarray, rare: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The texts of a batch dealt out in blocks, each with the rare words that stand in it."""
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        begins = np.concatenate([[0], ends[:-1]])
+        firsts = np.flatnonzero(np.diff(begins // BLOCK, prepend=-1)) if len(ends) else np.zeros(0, np.int64)
+        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(ends)], strict=True):
+            a, b = int(begins[first]), int(ends[last - 1])
+            mine = ids[a:b].copy()
+            marked = np.flatnonzero(mine >= MARK)
+            used, local = np.unique(mine[marked], return_inverse=True)
+            mine[marked] = MARK + local
+            here = [rare[k] for k in (used - MARK).tolist()]
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, here)]), pa.int32()), pa.array(single[np.frombuffer(b"".join(here), np.uint8)]))
+            row = [whole(docs[first:last]), whole(pa.array(ends[first:last] - a, pa.int64())), pa.array([mine.tobytes()], pa.binary()), whole(words)]
             yield pa.RecordBatch.from_arrays(row, names=["docs", "stops", "ids", "rare"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, BLOCKS)
