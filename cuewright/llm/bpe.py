@@ -3,7 +3,7 @@
 Merges are folded by Spark's higher-order functions over the bytes of distinct words, with the ranks of pairs as
 a literal map. The words that make up most of the corpus are counted over all documents and encoded once; this
 bounded table goes to the workers, which replace words by ids. Words that are not in it are encoded by the
-same fold where they stand, once for each block of documents, so texts are never shuffled. Decoding concatenates the
+same fold where they stand, once for each document, so texts are never shuffled. Decoding concatenates the
 binary pieces of the ids.
 """
 
@@ -140,9 +140,7 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 MARK = 1 << 31
-#: A block of texts ends after about so many ids.
-BLOCK = 1 << 15
-BLOCKS = "docs array<long>, stops array<long>, ids binary, rare array<array<int>>"
+ENCODED = "doc_id long, ids binary, rare array<array<int>>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -169,8 +167,8 @@ class Book:
         return np.where(places < 0, 0, starts), np.where(places < 0, 0, lengths)
 
 
-def _blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, ahead: int) -> DataFrame:
-    """Blocks of encoded texts: their ids, where each text's stop, and the ids of the rare words of the block.
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, ahead: int) -> DataFrame:
+    """``doc_id, ids, rare_ids`` of every text: the ids of its rare words apart.
 
     In ``ids`` a value of 2**31 + k stands for the k-th of ``rare_ids``.
     """
@@ -231,47 +229,38 @@ def _blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
             all_starts[missed], all_lengths[missed] = starts[which], lengths[which]
             ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), all_starts.ravel(), all_lengths.ravel())
             ends = np.concatenate([[0], np.cumsum(all_lengths.sum(1))])[stops]
-            yield from blocks(batch.column(0), ids, ends, rare)
-
-    def blocks(docs: pa.Array, ids: np.ndarray, ends: np.ndarray, rare: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """The texts of a batch dealt out in blocks, each with the rare words that stand in it."""
-        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        begins = np.concatenate([[0], ends[:-1]])
-        firsts = np.flatnonzero(np.diff(begins // BLOCK, prepend=-1)) if len(ends) else np.zeros(0, np.int64)
-        for first, last in zip(firsts.tolist(), [*firsts[1:].tolist(), len(ends)], strict=True):
-            a, b = int(begins[first]), int(ends[last - 1])
-            mine = ids[a:b].copy()
-            marked = np.flatnonzero(mine >= MARK)
-            used, local = np.unique(mine[marked], return_inverse=True)
-            mine[marked] = MARK + local
-            here = [rare[k] for k in (used - MARK).tolist()]
-            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, here)]), pa.int32()), pa.array(single[np.frombuffer(b"".join(here), np.uint8)]))
-            row = [whole(docs[first:last]), whole(pa.array(ends[first:last] - a, pa.int64())), pa.array([mine.tobytes()], pa.binary()), whole(words)]
-            yield pa.RecordBatch.from_arrays(row, names=["docs", "stops", "ids", "rare"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, BLOCKS)
-    return rows.select("docs", "stops", "ids", fold_merges(F.col("rare"), table).alias("rare_ids"))
-
-
-def joined(ids: np.ndarray, stops: np.ndarray, rare: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a block, with those of its rare words in place, and where each text's stop."""
-    marked = ids >= MARK
-    if not marked.any():
-        return ids, stops
-    flat, ends = rare.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(rare).to_numpy())])
-    k = np.where(marked, ids - MARK, 0).astype(np.int64)
-    lengths = np.where(marked, ends[k + 1] - ends[k], 1)
-    starts = np.where(marked, len(ids) + ends[k], np.arange(len(ids)))
-    return gather(np.concatenate([ids, flat]), starts, lengths), np.concatenate([[0], np.cumsum(lengths)])[stops]
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """The ids of the documents of each block, and those of their texts' tokens."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            docs, stops, ids, rare = (batch.column(k)[row] for k in range(4))
-            found, ends = joined(np.frombuffer(ids.as_py(), "<u4"), stops.values.to_numpy(), rare.values)
-            yield docs.values, [found[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield placed(batch.column(0), ids, ends, rare)
+
+    def placed(docs: pa.Array, ids: np.ndarray, ends: np.ndarray, rare: list[bytes]) -> pa.RecordBatch:
+        """A row for each text of a batch, with the rare words that stand in it."""
+        marked = np.flatnonzero(ids >= MARK)
+        text = np.searchsorted(ends, marked, side="right")
+        used, local = np.unique((text << 32) + (ids[marked] - MARK).astype(np.int64), return_inverse=True)
+        sizes = np.bincount(used >> 32, minlength=len(ends))
+        stops = np.cumsum([0, *sizes])
+        ids[marked] = MARK + local - stops[text]
+        here = [rare[k] for k in (used & 0xFFFFFFFF).tolist()]
+        words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, here)]), pa.int32()), pa.array(single[np.frombuffer(b"".join(here), np.uint8)]))
+        offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+        return pa.RecordBatch.from_arrays([docs, texts, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), words)], names=["doc_id", "ids", "rare"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encoded, ENCODED)
+    return rows.select("doc_id", "ids", fold_merges(F.col("rare"), table).alias("rare_ids"))
+
+
+def joined(ids: pa.Array, rare: pa.Array) -> list[np.ndarray]:
+    """All ids of each text, with those of its rare words in place."""
+    found, ends = np.frombuffer(b"".join(ids.to_pylist()), "<u4"), np.cumsum(pc.binary_length(ids).to_numpy() // 4, dtype=np.int64)
+    words = rare.flatten()
+    bases = np.concatenate([[0], np.cumsum(pc.list_value_length(rare).to_numpy())])
+    flat, stops = words.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+    marked = np.flatnonzero(found >= MARK)
+    k = bases[np.searchsorted(ends, marked, side="right")] + (found[marked] - MARK).astype(np.int64)
+    starts, lengths = np.arange(len(found)), np.ones(len(found), np.int64)
+    starts[marked], lengths[marked] = len(found) + stops[k], stops[k + 1] - stops[k]
+    out, ends = gather(np.concatenate([found, flat]), starts, lengths), np.concatenate([[0], np.cumsum(lengths)])[ends].tolist()
+    return [out[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ahead: int = AHEAD) -> DataFrame:
@@ -282,10 +271,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
+        for batch in batches:
+            texts = joined(batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in texts], pa.binary())], names=["doc_id", "ids"])
 
-    return _blocks(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(rows, "doc_id long, ids binary")
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(rows, "doc_id long, ids binary")
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -302,10 +292,11 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(pieces)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for batch in batches:
+            texts = joined(batch.column(1), batch.column(2))
             a = [hashlib.sha256(t.tobytes()).hexdigest() for t in texts]
             b = [hashlib.sha256(decode(t, shared.value)).hexdigest() for t in texts]
-            columns = [ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _blocks(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(digested, DIGESTS)
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, ahead).mapInArrow(digested, DIGESTS)
