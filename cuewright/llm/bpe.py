@@ -29,8 +29,8 @@ from cuewright.llm.words import PLAIN, count_pieces, cut_all, frequent, splitter
 LONG_WORD = 400
 #: Values of the fold's state: no pair, the first piece, the edge of the word.
 NONE, PIECE, EDGE = 1 << 20, 1 << 21, 1 << 22
-#: At most this many words are encoded ahead and sent to every worker (some 100 bytes each there).
-AHEAD = 400_000
+#: At most this many words are encoded ahead and sent to every worker (some 50 bytes each there).
+AHEAD = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -150,16 +150,45 @@ def gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return source[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+#: Words of the book by their bytes: up to 8, up to 16, up to 32. Longer ones and those with a NUL are not in it.
+WIDTHS = ((0, 8), (8, 16), (16, 32))
+
+
 class Book:
-    """Words with their ids, for many words at once."""
+    """Words with their ids: sorted keys of fixed width, searched for many words at once."""
 
     def __init__(self, words: pa.Array, ids: pa.ListArray):
-        self.words, self.flat = words, ids.values.to_numpy().astype("<u4")
-        self.ends = ids.offsets.to_numpy().astype(np.int64)
+        self.flat, self.ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+        self.shelves = []
+        for _, places, keys in self._by_width(words):
+            order = np.argsort(keys, kind="stable")
+            self.shelves.append((keys[order], places[order].astype(np.int32)))
+
+    @staticmethod
+    def _by_width(words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        sizes = pc.fill_null(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        for k, (above, width) in enumerate(WIDTHS):
+            places = np.flatnonzero((sizes > above) & (sizes <= width))
+            mine = words.take(pa.array(places))
+            _, offsets, data = mine.buffers()
+            raw = np.frombuffer(data, np.uint8)[: int(sizes[places].sum())] if len(places) else np.zeros(0, np.uint8)
+            padded = np.zeros((len(places), width), np.uint8)
+            padded[np.arange(width) < sizes[places][:, None]] = raw
+            if not raw.all():  # a NUL, which padding would hide
+                clean = ~pc.match_substring(mine, "\0").to_numpy(zero_copy_only=False)
+                places, padded = places[clean], padded[clean]
+            yield k, places, padded.view(">u8").astype(np.uint64).ravel() if width == 8 else padded.view(f"S{width}").ravel()
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The place of each word, or -1."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1, np.int64)
+        for k, places, keys in self._by_width(words):
+            known, where = self.shelves[k]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                same = known[at] == keys
+                out[places[same]] = where[at[same]]
+        return out
 
     def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of the ids of the words at ``places``; nothing for -1."""
@@ -173,13 +202,13 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
     In ``ids`` a value of 2**31 + k stands for the k-th of ``rare_ids``.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 300, "2m")
     ranks = read_ranks(ranks_path)
     table = pair_table(ranks)
     single = np.array([ranks[bytes([b])] + PIECE for b in range(256)], np.int32)
     split = splitter(pattern)
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = checkpointed(count_pieces(texts, split).filter((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD)))
+    counts = checkpointed(count_pieces(texts, split).filter((F.col("n") > 1) & (F.octet_length("word") <= WIDTHS[-1][1])))
     known = frequent(counts, ahead).repartition(4 * spark.sparkContext.defaultParallelism).select("word", fold_merges(F.array(byte_ids(F.col("word"), ranks)), table)[0].alias("ids"))
     pairs = known.toArrow().combine_chunks()
     columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in pairs.columns]
@@ -189,10 +218,11 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
         book, ranks = shared.value, shared_ranks.value
         for batch in batches:
             parts, stops = cut_all(batch.column(1))
-            places = book.find(parts)
+            unlike = parts.dictionary_encode()
+            places = book.find(unlike.dictionary)
             missed = np.flatnonzero(places < 0)
-            unlike = parts.take(pa.array(missed)).dictionary_encode()
-            found = pc.extract_regex(unlike.dictionary, PLAIN)
+            apart = unlike.dictionary.take(pa.array(missed))
+            found = pc.extract_regex(apart, PLAIN)
             core, tail = (book.find(found.field(k)) for k in range(2))
             no_tail = pc.fill_null(pc.equal(found.field(1), ""), False).to_numpy(zero_copy_only=False)
             plain = found.is_valid().to_numpy(zero_copy_only=False) & (core >= 0) & ((tail >= 0) | no_tail)
@@ -213,22 +243,18 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
                     seen[word] = ids
                 return ids
 
-            others = unlike.dictionary.filter(pa.array(~plain)).to_pylist()
+            others = apart.filter(pa.array(~plain)).to_pylist()
             own = [b"".join(map(of_word, split(part))) for part in others]
             # Two ranges of ids for each part: those of a plain one's word and of the marks after it, else all in the first.
-            n = len(plain)
-            starts, lengths = np.zeros((n + 1, 2), np.int64), np.zeros((n + 1, 2), np.int64)
+            starts, lengths = np.zeros((len(places), 2), np.int64), np.zeros((len(places), 2), np.int64)
+            starts[:, 0], lengths[:, 0] = book.ranges(places)
             for k, at in enumerate((core, tail)):
-                starts[:n, k], lengths[:n, k] = book.ranges(np.where(plain, at, -1))
-            own_lengths = np.array([len(x) // 4 for x in own], np.int64)
-            starts[:n, 0][~plain] = len(book.flat) + np.cumsum(own_lengths) - own_lengths
-            lengths[:n, 0][~plain] = own_lengths
-            all_starts, all_lengths = np.zeros((len(places), 2), np.int64), np.zeros((len(places), 2), np.int64)
-            all_starts[:, 0], all_lengths[:, 0] = book.ranges(places)
+                starts[missed[plain], k], lengths[missed[plain], k] = book.ranges(at[plain])
+            sizes = np.array([len(x) // 4 for x in own], np.int64)
+            starts[missed[~plain], 0], lengths[missed[~plain], 0] = len(book.flat) + np.cumsum(sizes) - sizes, sizes
             which = unlike.indices.to_numpy()
-            all_starts[missed], all_lengths[missed] = starts[which], lengths[which]
-            ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), all_starts.ravel(), all_lengths.ravel())
-            ends = np.concatenate([[0], np.cumsum(all_lengths.sum(1))])[stops]
+            ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), starts[which].ravel(), lengths[which].ravel())
+            ends = np.concatenate([[0], np.cumsum(lengths.sum(1)[which])])[stops]
             yield placed(batch.column(0), ids, ends, rare)
 
     def placed(docs: pa.Array, ids: np.ndarray, ends: np.ndarray, rare: list[bytes]) -> pa.RecordBatch:
