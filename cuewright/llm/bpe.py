@@ -215,6 +215,7 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
     shared, shared_ranks = spark.sparkContext.broadcast(Book(*columns)), spark.sparkContext.broadcast(ranks)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         book, ranks = shared.value, shared_ranks.value
         for batch in batches:
             parts, stops = cut_all(batch.column(1))

@@ -77,10 +77,10 @@ COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    return table.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    return table.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
-def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int = 400_000) -> DataFrame:
+def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int = 150_000) -> DataFrame:
     """(word, n) of the matches of the tokenizers' pattern over the first column of ``texts``.
 
     Each worker counts parts of texts, cuts each different part once, and flushes at ``most`` of them; Spark sums.
@@ -100,6 +100,7 @@ def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int
         return _summed(pa.concat_tables([*tables, pa.table(counts, schema=COUNTS)]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back, which the default one keeps for itself
         held, rows = [], 0
         for batch in batches:
             found = cut_all(batch.column(0))[0].value_counts()
