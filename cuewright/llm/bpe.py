@@ -30,7 +30,7 @@ LONG_WORD = 400
 #: Values of the fold's state: no pair, the first piece, the edge of the word.
 NONE, PIECE, EDGE = 1 << 20, 1 << 21, 1 << 22
 #: At most this many words are encoded ahead and sent to every worker (some 50 bytes each there).
-AHEAD = 1_000_000
+AHEAD = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,11 +158,16 @@ class Book:
     """Words with their ids: sorted keys of fixed width, searched for many words at once."""
 
     def __init__(self, words: pa.Array, ids: pa.ListArray):
-        self.flat, self.ends = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-        self.shelves = []
+        flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+        self.shelves, order = [], [np.zeros(0, np.int64)]
         for _, places, keys in self._by_width(words):
-            order = np.argsort(keys, kind="stable")
-            self.shelves.append((keys[order], places[order].astype(np.int32)))
+            rank = np.argsort(keys, kind="stable")
+            self.shelves.append((keys[rank], sum(map(len, order))))
+            order.append(places[rank])
+        order = np.concatenate(order)
+        sizes = ends[order + 1] - ends[order]
+        self.flat = gather(flat, ends[order], sizes).astype(np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.uint32)
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
 
     @staticmethod
     def _by_width(words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,16 +188,17 @@ class Book:
         """The place of each word, or -1."""
         out = np.full(len(words), -1, np.int64)
         for k, places, keys in self._by_width(words):
-            known, where = self.shelves[k]
+            known, first = self.shelves[k]
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 same = known[at] == keys
-                out[places[same]] = where[at[same]]
+                out[places[same]] = first + at[same]
         return out
 
     def ranges(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of the ids of the words at ``places``; nothing for -1."""
-        starts, lengths = self.ends[places], self.ends[places + 1] - self.ends[places]
+        starts = self.ends[places].astype(np.int64)
+        lengths = self.ends[places + 1] - starts
         return np.where(places < 0, 0, starts), np.where(places < 0, 0, lengths)
 
 
@@ -246,16 +252,19 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_c
 
             others = apart.filter(pa.array(~plain)).to_pylist()
             own = [b"".join(map(of_word, split(part))) for part in others]
-            # Two ranges of ids for each part: those of a plain one's word and of the marks after it, else all in the first.
+            # Two ranges of ids in the book: those of a part's word and of the marks after it. Other parts' ids come after all of them.
             starts, lengths = np.zeros((len(places), 2), np.int64), np.zeros((len(places), 2), np.int64)
             starts[:, 0], lengths[:, 0] = book.ranges(places)
             for k, at in enumerate((core, tail)):
                 starts[missed[plain], k], lengths[missed[plain], k] = book.ranges(at[plain])
+            flat = np.concatenate([gather(book.flat, starts.ravel(), lengths.ravel()).astype("<u4"), np.frombuffer(b"".join(own), "<u4")])
+            lengths = lengths.sum(1)
+            starts = np.cumsum(lengths) - lengths
             sizes = np.array([len(x) // 4 for x in own], np.int64)
-            starts[missed[~plain], 0], lengths[missed[~plain], 0] = len(book.flat) + np.cumsum(sizes) - sizes, sizes
+            starts[missed[~plain]], lengths[missed[~plain]] = len(flat) - sizes.sum() + np.cumsum(sizes) - sizes, sizes
             which = unlike.indices.to_numpy()
-            ids = gather(np.concatenate([book.flat, np.frombuffer(b"".join(own), "<u4")]), starts[which].ravel(), lengths[which].ravel())
-            ends = np.concatenate([[0], np.cumsum(lengths.sum(1)[which])])[stops]
+            ids = gather(flat, starts[which], lengths[which])
+            ends = np.concatenate([[0], np.cumsum(lengths[which])])[stops]
             yield placed(batch.column(0), ids, ends, rare)
 
     def placed(docs: pa.Array, ids: np.ndarray, ends: np.ndarray, rare: list[bytes]) -> pa.RecordBatch:

@@ -80,7 +80,7 @@ def _summed(table: pa.Table) -> pa.Table:
     return table.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
 
-def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int = 150_000) -> DataFrame:
+def count_pieces(texts: DataFrame, split: Callable[[str], list[str]], most: int = 60_000) -> DataFrame:
     """(word, n) of the matches of the tokenizers' pattern over the first column of ``texts``.
 
     Each worker counts parts of texts, cuts each different part once, and flushes at ``most`` of them; Spark sums.
