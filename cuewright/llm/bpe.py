@@ -30,7 +30,7 @@ LONG_WORD = 400
 #: Values of the fold's state: no pair, the first piece, the edge of the word.
 NONE, PIECE, EDGE = 1 << 20, 1 << 21, 1 << 22
 #: At most this many words are encoded ahead and sent to every worker (some 50 bytes each there).
-AHEAD = 800_000
+AHEAD = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +51,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[Column, Column, Column]:
         for k in range(1, len(piece)):
             if (left := ranks.get(piece[:k])) is not None and (right := ranks.get(piece[k:])) is not None:
                 partners.setdefault(left, {})[right] = rank
-    room = 4 * sum(map(len, partners.values())) + 1
+    room = 3 * sum(map(len, partners.values())) + 1
     taken = np.zeros(room + base, bool)
     begin: list[int | None] = [None] * base
     owner: list[int | None] = [None] * (room + base)

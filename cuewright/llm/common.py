@@ -27,12 +27,14 @@ def held_fold(id_col: Column, folds: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a new one of this machine, on a local master only."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuewright-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
