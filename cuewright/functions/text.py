@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-#: Marks after which a long line is cut first.
-CUT_AFTER = set(",.!?;:，。！？；：、…")
+#: Fixed values. Marks after which a long line is cut first, and marks that end a sentence.
+CUT_AFTER = ",.!?;:，。！？；：…~、)]}〉》」』"
+SENTENCE_END = ".!?;:。！？；：…"
 
 
 def squeeze(text: Column) -> Column:
@@ -36,30 +38,40 @@ def match_key_native(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
 
 
-def cut_line(line: str, most: int) -> list[str]:
-    """Cut a line into parts of at most ``most`` code points: after punctuation, else at a space, else hard; as late as it goes."""
-    parts = []
-    while len(line) > most:
-        ranked = []
-        for at in range(max(1, int(0.55 * most)), min(most, len(line) - 1) + 1):
-            rank = 3 if line[at - 1] in CUT_AFTER else 2 if line[at - 1].isspace() else 1 if line[at].isspace() else 0
-            if rank:
-                ranked.append((rank, at))
-        at = max(ranked)[1] if ranked else most
-        parts.append(line[:at].strip())
-        line = line[at:].strip()
-    return [p for p in (*parts, line) if p]
-
-
 def cut_lines(line: Column, most: int) -> Column:
+    """Parts of at most ``most`` code points of a line in normal form: one regular expression, matched again and again.
+
+    The first 0.55 of a part stays uncut. What is left is taken whole if it fits; else the longest part that ends in a
+    mark of ``CUT_AFTER`` is, else the longest that ends in a space, else the longest before a space, else all that fit.
+    """
     if most < 1:
         raise ValueError("max_chars must be at least 1")
-    return F.pandas_udf(lambda s: s.map(lambda t: [] if t is None else cut_line(t, most)), "array<string>")(line)
+    least = max(1, int(0.55 * most))
+    marks = "".join(map(re.escape, CUT_AFTER))
+    head = f".{{{least - 1},{most - 1}}}"
+    pattern = rf"(?s) *+(?:.{{1,{most}}}\z|{head}[{marks}]|{head} |.{{{least},{most}}}(?= )|.{{{most}}})"
+    parts = F.transform(F.regexp_extract_all(F.trim(line), F.lit(pattern), F.lit(0)), lambda part: F.trim(part))
+    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda part: part != "")
+
+
+def tokens(text: Column) -> Column:
+    """Words of a text that hold a letter or number."""
+    return F.filter(F.split(squeeze(text), " "), lambda word: match_key_native(word) != "")
+
+
+def alignment_text(lines: Column) -> Column:
+    """An array of lines as one text: those not blank, in normal form but for compatibility characters, joined by spaces."""
+    return F.array_join(F.filter(F.transform(lines, squeeze), lambda line: line != ""), " ")
+
+
+def speech_rate(text: Column, seconds: Column) -> Column:
+    """Letters and numbers a second, over a hundredth of a second at least."""
+    return F.char_length(match_key_native(text)) / F.greatest(F.lit(0.01), seconds)
 
 
-def char_limit(rate: Column) -> Column:
-    """Characters a cue may have at a speech rate: 30 up to 4 a second, 50 from 7, rounded half-even between."""
-    return F.when(rate <= 4, 30).when(rate >= 7, 50).otherwise(F.rint(30 + (rate - 4) / 3 * 20)).cast("int")
+def char_limit(rate: Column, preferred: int = 30, hard: int = 50) -> Column:
+    """Characters a cue may have at a speech rate: ``preferred`` up to 4 a second, ``hard`` from 7, rounded half-even between."""
+    return F.when(rate <= 4, preferred).when(rate >= 7, hard).otherwise(F.rint(preferred + (hard - preferred) * ((rate - 4) / 3))).cast("int")
 
 
 def safe_file_name(name: Column) -> Column:

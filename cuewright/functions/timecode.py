@@ -38,3 +38,17 @@ def marked_range(start: Column, end: Column, audio: Column, video: Column) -> Co
     return F.struct(
         F.coalesce(start + mark["in"], start).alias("start"), F.coalesce(start + mark["out"], end).alias("end"), mark.isNotNull().alias("used_marks")
     )
+
+
+def live_marks(start: Column, end: Column, audio: Column, video: Column) -> Column:
+    """struct(audio, video) without marks (struct in, out) over the whole range, unless there are no others."""
+    given = lambda mark: mark["in"].isNotNull() | mark["out"].isNotNull()
+    part = lambda mark: given(mark) & ~F.coalesce((mark["in"] == 0) & (mark["out"] == end - start), F.lit(False))
+    some = part(audio) | part(video)
+    keep = lambda mark: F.when(given(mark) & (part(mark) | ~some), mark)
+    return F.struct(keep(audio).alias("audio"), keep(video).alias("video"))
+
+
+def position_time(x: Column, width: Column, duration: Column) -> Column:
+    """The time at a place of a waveform's picture, within its duration."""
+    return F.least(F.greatest(F.lit(0.0), x / width * duration), duration)

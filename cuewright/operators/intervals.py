@@ -1,10 +1,13 @@
-"""Character spans and interval-overlap joins. Every join has the job as an equality key."""
+"""Character spans and interval-overlap joins. Joins meet on the job and a slice of characters, so a long job is no product."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a slice.
+SLICE = 256
+
 
 def char_spans(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """Adds ``lo`` and ``hi``: the range of the row's key in the job's joined keys."""
@@ -13,6 +16,17 @@ def char_spans(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return rows.withColumn("hi", F.sum(n).over(w)).withColumn("lo", F.col("hi") - n)
 
 
+def _slices(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    return rows.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(lo) / SLICE), F.floor(F.greatest(F.col(lo), F.col(hi) - 1) / SLICE))))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of spans lo, hi and ulo, uhi of a job with a character in common, each once: in the slice where that begins."""
+    pairs = _slices(left, "lo", "hi").join(_slices(right, "ulo", "uhi"), ["job_id", "_slice"])
+    low = F.greatest("lo", "ulo")
+    return pairs.filter((low < F.least("hi", "uhi")) & (F.floor(low / SLICE) == F.col("_slice"))).drop("_slice")
+
+
 def overlap_times(cues: DataFrame, units: DataFrame) -> DataFrame:
     """Cues (job_id, cue_idx, lo, hi) with ``start`` and ``end`` from units (job_id, unit_idx, lo, hi, start, end).
 
@@ -20,19 +34,17 @@ def overlap_times(cues: DataFrame, units: DataFrame) -> DataFrame:
     the end. Cues without an overlap have nulls.
     """
     u = units.select("job_id", "unit_idx", F.col("lo").alias("ulo"), F.col("hi").alias("uhi"), F.col("start").alias("us"), F.col("end").alias("ue"))
-    low, high = F.greatest("lo", "ulo"), F.least("hi", "uhi")
-    pieces = cues.select("job_id", "cue_idx", "lo", "hi").join(u, "job_id").filter(low < high)
     rate = (F.col("ue") - F.col("us")) / (F.col("uhi") - F.col("ulo"))
-    pieces = pieces.withColumns({"a": F.col("us") + (low - F.col("ulo")) * rate, "b": F.col("us") + (high - F.col("ulo")) * rate})
+    at = lambda place: F.col("us") + (place - F.col("ulo")) * rate
+    pieces = _met(cues.select("job_id", "cue_idx", "lo", "hi"), u).withColumns({"a": at(F.greatest("lo", "ulo")), "b": at(F.least("hi", "uhi"))})
     times = pieces.groupBy("job_id", "cue_idx").agg(F.min_by("a", "unit_idx").alias("start"), F.max_by("b", "unit_idx").alias("end"))
     return cues.drop("start", "end").join(times, ["job_id", "cue_idx"], "left")
 
 
 def largest_overlap(units: DataFrame, lines: DataFrame) -> DataFrame:
     """(job_id, unit_idx, cue_idx): the line with which a unit shares most characters, the first of equals."""
-    line = lines.select("job_id", "cue_idx", F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    shared = F.least("hi", "chi") - F.greatest("lo", "clo")
-    met = units.join(line, "job_id").withColumn("shared", shared).filter("shared > 0")
+    unit = units.select("job_id", "unit_idx", F.col("lo").alias("ulo"), F.col("hi").alias("uhi"))
+    met = _met(lines.select("job_id", "cue_idx", "lo", "hi"), unit).withColumn("shared", F.least("hi", "uhi") - F.greatest("lo", "ulo"))
     return met.groupBy("job_id", "unit_idx").agg(F.max_by("cue_idx", F.struct("shared", -F.col("cue_idx"))).alias("cue_idx"))
 
 

@@ -28,29 +28,45 @@ def align(source: str, heard: str) -> np.ndarray:
     """For each source character the place of its partner in ``heard``, or -1.
 
     Global in ``source``; what ``heard`` has before and after is free. Of equal ways a pair comes before a gap in
-    ``heard``, and that before one in ``source``. A row is one pass: gaps within it are a running maximum.
+    ``heard``, and that before one in ``source``. A row is one pass: gaps within it are a running maximum. Only each
+    r-th row is kept, r the root of the number of rows; on the way back the moves of r rows at a time are found again, so memory
+    grows with that root times the length of ``heard``.
     """
     s, h = (np.array([ord(c) for c in x], np.int64) for x in (source, heard))
     drift = -GAP * np.arange(len(h) + 1)
-    row = np.zeros(len(h) + 1, np.int64)
-    moves = np.full((len(s), len(h) + 1), 2, np.uint8)
-    for i, c in enumerate(s):
+
+    def advance(row: np.ndarray, c: int, moves: np.ndarray | None = None) -> np.ndarray:
         up, pair = row + GAP, row[:-1] + np.where(h == c, MATCH, MISMATCH)
         best = up.copy()
         np.maximum(best[1:], pair, out=best[1:])
-        row = np.maximum.accumulate(best + drift) - drift
-        moves[i][up == row] = 1
-        moves[i, 1:][pair == row[1:]] = 0
+        after = np.maximum.accumulate(best + drift) - drift
+        if moves is not None:
+            moves[:] = 2
+            moves[up == after] = 1
+            moves[1:][pair == after[1:]] = 0
+        return after
+
+    block = max(1, int(len(s) ** 0.5))
+    row, kept = np.zeros(len(h) + 1, np.int64), []
+    for i, c in enumerate(s):
+        if i % block == 0:
+            kept.append(row.astype(np.int32))
+        row = advance(row, c)
     out, i, j = np.full(len(s), -1, np.int64), len(s) - 1, int(row.argmax())
     while i >= 0:
-        move = moves[i, j]
-        if move == 0 and j:
-            out[i] = j - 1
-            i, j = i - 1, j - 1
-        elif move == 1 or not j:
-            i -= 1
-        else:
-            j -= 1
+        first = i // block * block
+        moves, row = np.empty((i - first + 1, len(h) + 1), np.uint8), kept[first // block].astype(np.int64)
+        for k, c in enumerate(s[first : i + 1]):
+            row = advance(row, c, moves[k])
+        while i >= first:
+            move = moves[i - first, j]
+            if move == 0 and j:
+                out[i] = j - 1
+                i, j = i - 1, j - 1
+            elif move == 1 or not j:
+                i -= 1
+            else:
+                j -= 1
     return out
 
 

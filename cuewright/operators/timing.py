@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.functions.text import SENTENCE_END, match_key_native
+
+
 def by_job():
     return Window.partitionBy("job_id").orderBy("cue_idx")
 
@@ -34,62 +39,63 @@ def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shorte
     """Hold cues over the silence after them, with a soft cap on their length (0: no cap).
 
     Optional columns: ``acoustic_start`` (a snapped onset; only ever moves a start later) and ``vocal_end``
-    (where the voice ends).
+    (where the voice ends; without it, the cue's own end). A cue longer than the cap is not trusted to end where it says, so it neither
+    holds back the next start nor the gap before that.
     """
-    has = set(cues.columns)
-    acoustic = F.greatest(F.lit(0.0), F.col("start"), F.coalesce("acoustic_start", "start")) if "acoustic_start" in has else F.greatest(F.lit(0.0), F.col("start"))
-    raw = F.col("end") - F.col("start")
-    over = (raw > longest) if longest > 0 else F.lit(False)
-    rows = cues.withColumns({"_acoustic": acoustic, "_over": over})
-    early = F.greatest(F.lit(0.0), F.col("_acoustic") - lead)
-    before_end, before_over = F.lag("end").over(by_job()), F.lag("_over").over(by_job())
-    rows = rows.withColumn("_shown", F.when(before_end.isNotNull() & ~F.coalesce(before_over, F.lit(False)), F.greatest(early, before_end)).otherwise(early))
-    after = F.lead("_shown").over(by_job())
-    trusted = F.when(F.col("_over"), F.col("_shown")).otherwise(F.col("end"))
-    voice = F.coalesce(F.col("vocal_end"), trusted) if "vocal_end" in has else trusted
-    want = F.greatest(trusted, voice) + hold
+    heard = lambda name, other: F.coalesce(name, other) if name in cues.columns else F.col(other)
+    long = (F.col("end") - F.col("start") > longest) if longest > 0 else F.lit(False)
+    rows = cues.withColumns({"_voice": heard("vocal_end", "end"), "_long": long})
+    early = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), F.col("start"), heard("acoustic_start", "start")) - lead)
+    trusted_before = F.lag(F.when(~F.col("_long"), F.col("end"))).over(by_job())
+    rows = rows.withColumn("_shown", F.greatest(early, trusted_before))  # greatest passes over nulls
+    rows = rows.withColumns({"_trusted": F.when(F.col("_long"), F.col("_shown")).otherwise(F.col("end")), "_next": F.lead("_shown").over(by_job())})
+    want = F.greatest("_trusted", "_voice") + hold
     if longest > 0:
-        want = F.greatest(F.least(want, F.col("_shown") + longest), voice)
-    want = F.greatest(want, F.col("_shown") + shortest)
-    room = F.when(after - gap > F.col("_shown"), after - gap).otherwise(after)
-    boundary = F.greatest(F.col("_shown"), F.when(F.col("end") <= after - gap, room).otherwise(after))
-    end = F.when(after.isNull(), want).otherwise(F.least(want, boundary))
-    return rows.withColumn("_end", end).withColumns({"start": F.col("_shown"), "end": F.col("_end")}).drop("_acoustic", "_over", "_shown", "_end")
+        want = F.greatest(F.least(want, F.col("_shown") + longest), "_voice")
+    blank = F.when(F.col("_next") - F.col("_trusted") >= gap, gap).otherwise(0.0)
+    boundary = F.greatest("_shown", F.col("_next") - blank)
+    end = F.least(F.greatest(want, F.col("_shown") + shortest), F.when(F.col("_next").isNotNull(), boundary))
+    return rows.withColumn("end", F.greatest("_shown", end)).withColumn("start", F.col("_shown")).drop("_voice", "_long", "_shown", "_trusted", "_next")
 
 
 def reject_out_of_order(cues: DataFrame, source: str = "source_idx", slack: float = 0.25) -> DataFrame:
-    """Adds ``rejected``: a run of cues of one source that starts ``slack`` before any earlier run's start."""
-    new_run = F.when(F.lag(source).over(by_job()).eqNullSafe(F.col(source)), 0).otherwise(1)
-    rows = cues.withColumn("_new", new_run).withColumn("_run", F.sum("_new").over(by_job()))
-    rows = rows.withColumn("_first", F.min("start").over(Window.partitionBy("job_id", "_run")))
-    runs_before = Window.partitionBy("job_id").orderBy("_run").rangeBetween(Window.unboundedPreceding, -1)
-    latest = F.coalesce(F.max("_first").over(runs_before), F.lit(-1.0))
-    return rows.withColumn("rejected", F.col("_first") < latest - slack).drop("_new", "_run", "_first")
+    """Adds ``rejected``: a run of cues of one source whose first cue starts ``slack`` before the first cue of any earlier run."""
+    first = F.when(F.lag(F.struct(source)).over(by_job()).eqNullSafe(F.struct(source)), None).otherwise(F.col("start"))
+    rows = cues.withColumn("_first", first)
+    latest = F.max("_first").over(by_job().rowsBetween(Window.unboundedPreceding, -1))
+    late = F.when(F.col("_first").isNotNull(), F.col("_first") < F.coalesce(latest, F.lit(-1.0)) - slack)
+    return rows.withColumn("_late", late).withColumn("rejected", F.last("_late", True).over(by_job())).drop("_first", "_late")
 
 
-def merge_wrapped(cues: DataFrame, most: int = 30, preferred: int = 30) -> DataFrame:
-    """Join adjacent lines that read as one, greedily from the left; pairs never chain.
+def merge_wrapped(cues: DataFrame, preferred: int = 30, most_gap: float = 0.15) -> DataFrame:
+    """Join adjacent lines that read as one, greedily from the left; pairs never chain. Adds ``merged``.
 
-    Needs ``text`` and ``barrier_before``. A pair joins without a barrier between, over a gap of -0.05 to 0.15
-    seconds, if the left does not end a sentence, both have at most ``most`` characters, and the longer has
-    max(12, 0.65 * preferred) letters and numbers.
+    Needs ``text`` and ``barrier_before``, and rows that are lines; a line in several parts has them under one
+    ``source_idx`` if there is that column, and joins nothing. A pair joins without a barrier between, over a gap of -0.05 to
+    ``most_gap`` seconds, if the left does not end a sentence, both and a space have at most ``preferred`` characters,
+    and the longer has max(12, 0.65 * ``preferred``) letters and numbers.
     """
-    letters = F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
-    rows = cues.withColumn("_letters", letters)
-    after = {c: F.lead(c).over(by_job()) for c in ("start", "text", "barrier_before", "_letters", "end")}
-    gap = after["start"] - F.col("end")
+    has_parts = "source_idx" in cues.columns
+    line = F.col("source_idx") if has_parts else F.col("cue_idx")
+    single = (F.count(F.lit(1)).over(Window.partitionBy("job_id", "source_idx")) == 1) if has_parts else F.lit(True)
+    rows = cues.withColumns({"_letters": F.char_length(match_key_native(F.col("text"))), "_single": single, "_line": line})
+    after = {c: F.lead(c).over(by_job()) for c in ("start", "text", "barrier_before", "_letters", "end", "_single", "_line")}
+    both = F.trim(F.concat_ws(" ", "text", after["text"]))
+    ends = F.col("text").rlike("[" + re.escape(SENTENCE_END) + r"]\z") | (F.col("text") == "")
     fits = (
-        ~after["barrier_before"]
-        & gap.between(-0.05, 0.15)
-        & ~F.col("text").rlike(r"[.!?。！？…]\s*$")
-        & (F.char_length("text") + F.char_length(after["text"]) + 1 <= most)
+        F.col("_single")
+        & after["_single"]
+        & (after["_line"] == F.col("_line") + 1)
+        & ~after["barrier_before"]
+        & (after["start"] - F.col("end")).between(-0.05, most_gap)
+        & ~ends
+        & (F.char_length(both) <= preferred)
         & (F.greatest("_letters", after["_letters"]) >= max(12, round(0.65 * preferred)))
     )
-    rows = rows.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_text": after["text"], "_end": after["end"]})
+    rows = rows.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_text": both, "_end": F.greatest("end", after["end"])})
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_fits"), 0).otherwise(1)).over(by_job()))
     in_run = Window.partitionBy("job_id", "_run", "_fits").orderBy("cue_idx")
-    rows = rows.withColumn("_left", F.col("_fits") & (F.row_number().over(in_run) % 2 == 1))
-    rows = rows.withColumn("_right", F.coalesce(F.lag("_left").over(by_job()), F.lit(False)))
-    rows = rows.filter(~F.col("_right"))
-    joined = {"text": F.when(F.col("_left"), F.concat_ws(" ", "text", "_text")).otherwise(F.col("text")), "end": F.when(F.col("_left"), F.col("_end")).otherwise(F.col("end")), "merged": F.col("_left")}
+    rows = rows.withColumn("merged", F.col("_fits") & (F.row_number().over(in_run) % 2 == 1))
+    rows = rows.withColumn("_right", F.coalesce(F.lag("merged").over(by_job()), F.lit(False))).filter(~F.col("_right"))
+    joined = {c: F.when(F.col("merged"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("text", "end")}
     return rows.withColumns(joined).drop(*[c for c in rows.columns if c.startswith("_")])

@@ -15,9 +15,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_lines(texts: DataFrame, compatibility: bool = True) -> DataFrame:
-    """(job_id, line_idx, text) of every physical line, normalised; blank lines are kept."""
-    lines = texts.select("job_id", F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line_idx", "line"))
-    return lines.select("job_id", "line_idx", (normalize_line if compatibility else squeeze)(F.col("line")).alias("text"))
+    """(job_id, line_idx, text) of every physical line, normalised; blank lines are kept, and further columns repeated."""
+    others = [c for c in texts.columns if c not in ("job_id", "text")]
+    lines = texts.select("job_id", *others, F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line_idx", "line"))
+    return lines.select("job_id", "line_idx", (normalize_line if compatibility else squeeze)(F.col("line")).alias("text"), *others)
 
 
 def split_cues(texts: DataFrame, max_chars: int | None = 30, hidden_marks: bool = False, compatibility: bool = True) -> DataFrame:
@@ -25,8 +26,10 @@ def split_cues(texts: DataFrame, max_chars: int | None = 30, hidden_marks: bool
 
     A barrier stands before the first cue after blank lines, if there is a cue before them. With
     ``hidden_marks`` a line that is wholly in parentheses, with a letter or number inside, is a hidden cue that is
-    not cut. ``max_chars`` None leaves lines whole and stays in the JVM.
+    not cut. ``max_chars`` None leaves lines whole. All but the compatibility form stays in the JVM. Further columns of
+    the texts are repeated.
     """
+    others = [c for c in texts.columns if c not in ("job_id", "text")]
     by_job = Window.partitionBy("job_id").orderBy("line_idx")
     lines = raw_lines(texts, compatibility).withColumn("solid", F.col("text") != "")
     lines = lines.withColumns(
@@ -39,7 +42,7 @@ def split_cues(texts: DataFrame, max_chars: int | None = 30, hidden_marks: bool
         lines = lines.withColumn("hidden", F.lit(False))
     whole = F.array("text")
     parts = whole if max_chars is None else F.when(F.col("hidden"), whole).otherwise(cut_lines(F.col("text"), max_chars))
-    cues = lines.select("job_id", "line_idx", "hidden", "after_blank", "seen", F.posexplode(parts).alias("part", "text"))
+    cues = lines.select("job_id", *others, "line_idx", "hidden", "after_blank", "seen", F.posexplode(parts).alias("part", "text"))
     order = Window.partitionBy("job_id").orderBy("line_idx", "part")
     return cues.select(
         "job_id",
@@ -47,4 +50,5 @@ def split_cues(texts: DataFrame, max_chars: int | None = 30, hidden_marks: bool
         "text",
         (F.col("after_blank") & F.col("seen") & (F.col("part") == 0)).alias("barrier_before"),
         "hidden",
+        *others,
     )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import cut_line, match_key, normalize_line
+from cuewright.functions.text import match_key, normalize_line
 from cuewright.functions.timecode import srt_time
 from cuewright.operators import activity, intervals, timing
 from cuewright.plans.demo import render_srt
@@ -17,12 +17,6 @@ def times(df):
     return [(round(r.start, 6), round(r.end, 6)) for r in df.orderBy("cue_idx").collect()]
 
 
-def test_cut_line():
-    assert [len(p) for p in cut_line("가" * 31, 30)] == [30, 1]
-    parts = cut_line("this is a moderately long English lyric line", 20)
-    assert all(len(p) <= 20 for p in parts) and " ".join(parts) == "this is a moderately long English lyric line"
-
-
 def test_split_and_barriers(spark):
     df = spark.createDataFrame([(1, "짧아\n\n한 단어\n"), (2, "첫 줄\n둘째 줄\n\n새 절\n마지막 줄"), (3, "보이는 가사\n(흐음)\n다음 가사"), (4, "()\n다음"), (5, ""), (6, None)], "job_id long, text string")
     rows = split_cues(df, 30, hidden_marks=True).orderBy("job_id", "cue_idx").collect()

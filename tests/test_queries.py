@@ -4,7 +4,7 @@ from oracle import same
 from cuewright import queries
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     same(spark, queries.queries()[name], queries.oracle_sql()[name])
 
