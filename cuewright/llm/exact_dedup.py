@@ -1,9 +1,10 @@
 """Exact deduplication over a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by the SHA-256 of the normalised text. A batch is
-reduced to one row per digest (partial aggregation before the shuffle), sort-merge anti-joined with
-the index, and its new digests are appended. The index side of that join is never shuffled or
-re-sorted, whatever its size.
+reduced to one row per digest (partial aggregation before the shuffle); a sort-merge anti-join with the index
+leaves the new digests, which are appended with the batch's name; a second join reads from the index which document
+stays for each digest. The index side of both joins is never shuffled, whatever its size; as a bucket has a
+file for each batch, it is sorted again within the bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """One row per digest seen so far: ``digest`` BINARY, ``keep_id`` BIGINT (the document that stays).
+    """One row per digest seen so far: ``digest`` BINARY, ``keep_id`` BIGINT (the document that stays), ``batch`` STRING (which brought it).
 
     ``path`` lies in a folder all executors share; an existing index there is picked up again, in any
     later session, with the bucket count it was made with.
@@ -32,20 +33,26 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Forget the index: its catalogue entry and its folder."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def append(self, fresh: DataFrame) -> None:
         """Add digests that the index does not hold; one sorted file per bucket."""
-        fresh.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(self.table)
+        fresh.select("digest", "keep_id", "batch").repartition(self.buckets, "digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Deduplicate a batch against itself and the index, then append its new digests.
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+        """Deduplicate a batch against itself and the index, and append its new digests.
 
         Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -54,8 +61,11 @@ class DigestIndex:
           repeated rows with that id exactly one is ``kept``. If an earlier batch holds the text,
           its ``keep_id`` is given and no row of this batch is kept.
         * ``group_size`` counts the rows of this batch with the text.
+        * A batch that was lost after its digests were appended may come again under the same name ``batch``: what
+          it brought itself counts as new. Without a name each call is another batch.
         * An empty table gives an empty result; further columns of the input are ignored.
         """
+        name = batch or uuid.uuid4().hex
         rows = checkpointed(
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
@@ -63,33 +73,26 @@ class DigestIndex:
                 F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"),
             )
         )
-        groups = rows.groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")).alias("first"),
-            F.count(F.lit(1)).alias("group_size"),
-        )
-        held = self.rows().select("digest", F.col("keep_id").alias("held_id"), F.lit(True).alias("held"))
-        groups = checkpointed(
-            groups.join(held.hint("merge"), "digest", "left").select(
-                "digest",
-                "group_size",
-                F.coalesce(F.col("held"), F.lit(False)).alias("held"),
-                F.when(F.col("held"), F.col("held_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
-                F.col("first.row_id").alias("first_row"),
-            )
-        )
-        fresh = groups.filter(~F.col("held"))
-        self.append(fresh.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
-        return rows.join(groups, "digest").select(
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id"))
+        groups = checkpointed(rows.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
+        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        self.append(fresh.select("digest", F.col("first.doc_id").alias("keep_id"), F.lit(name).alias("batch")))
+        held = groups.join(self.rows().hint("merge"), "digest").select("digest", "keep_id", "group_size", F.when(F.col("batch") == name, F.col("first.row_id")).alias("kept_row"))
+        return rows.join(checkpointed(held), "digest").select(
             "doc_id",
             "keep_id",
             "group_size",
-            (~F.col("held") & (F.col("row_id") == F.col("first_row"))).alias("kept"),
+            F.coalesce(F.col("row_id") == F.col("kept_row"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deduplicate ``docs`` against ``index`` (by default a new one in the shared folder)."""
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """Deduplicate ``docs`` against ``index``, or against a new one in the shared folder that goes afterwards; see ``DigestIndex.ingest``."""
+    if index is not None:
+        return index.ingest(docs, id_col, text_col, batch)
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
-    return index.ingest(docs, id_col, text_col)
+    index = DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+    found = index.ingest(docs, id_col, text_col, batch)  # its rows are written; the index is not read again
+    index.drop()
+    return found

@@ -381,11 +381,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are judged by their own texts, whatever their ids; rows without shingles all stay. The rows with their numbers
     are written once, as the join reads them several times.
     """
-    numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = checkpointed(jaccard_components(numbered, "_row", text_col, k, num, den).select(F.col("doc_id").alias("_row"), "component_id"))
-    groups = found.filter(F.col("_row") != F.col("component_id")).select("component_id").distinct()
-    members = checkpointed(found.join(groups, "component_id", "left_semi").join(numbered.select("_row", F.col(id_col).alias("_id")), "_row"))
-    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("_row"))
-    gone = checkpointed(members.join(kept, "_row", "left_anti").select("_row"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = checkpointed(jaccard_components(numbered, row, text_col, k, num, den).select(F.col("doc_id").alias("at"), "component_id"))
+    groups = found.filter(F.col("at") != F.col("component_id")).select("component_id").distinct()
+    ids = numbered.select(F.col(row).alias("at"), F.col(id_col).alias("id"))
+    members = checkpointed(found.join(groups, "component_id", "left_semi").join(ids, "at"))
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))["at"].alias("at"))
+    gone = checkpointed(members.join(kept, "at", "left_anti").select(F.col("at").alias(row)))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

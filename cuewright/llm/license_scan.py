@@ -1,8 +1,8 @@
 """Licence detection by ordered signature rules, as one native projection without a shuffle.
 
 Texts are reduced to their words (ASCII letters lower-cased). A keyword prefilter leaves almost all
-texts alone; where a keyword stands, only the rules gated by a keyword that is there run over the joined
-words. Each detection is an interval of that string with a priority; an interval inside another of at
+texts alone; where a keyword stands, only the rules gated by a keyword that begins a word there run over the joined
+words. Neither changes a result: every match of a rule holds one of its keywords at the start of a word, and a word of ``GATES``. Each detection is an interval of that string with a priority; an interval inside another of at
 least its priority is suppressed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +33,17 @@ FAMILIES = {
     "gpl": ("gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public)"),
     "gpl-2.0": ("gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public)(?: license| licence)? (?:version |v)?2(?: 0)?"),
     "gpl-3.0": ("gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public)(?: license| licence)? (?:version |v)?3(?: 0)?"),
-    "lgpl": ("lgpl|(?:lesser|library) general", r"(?:the )?(?:gnu )?(?:lgpl|(?:lesser|library) general public)"),
+    "lgpl": ("lgpl|lesser general|library general", r"(?:the )?(?:gnu )?(?:lgpl|(?:lesser|library) general public)"),
     "lgpl-2.1": ("lgpl|lesser general", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public)(?: license| licence)? (?:version |v)?2 1"),
     "lgpl-3.0": ("lgpl|lesser general", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public)(?: license| licence)? (?:version |v)?3(?: 0)?"),
     "agpl": ("agpl|affero", r"(?:the )?(?:gnu )?(?:agpl|affero general public)"),
     "agpl-3.0": ("agpl|affero", r"(?:the )?(?:gnu )?(?:agpl|affero general public)(?: license| licence)? (?:version |v)?3(?: 0)?"),
-    "gfdl": ("fdl|free documentation", r"(?:the )?(?:gnu )?(?:gfdl|fdl|free documentation)"),
+    "gfdl": ("fdl|gfdl|free documentation", r"(?:the )?(?:gnu )?(?:gfdl|fdl|free documentation)"),
     "bsd": ("bsd|berkeley", r"(?:the )?(?:bsd|berkeley software distribution)"),
-    "bsd-2-clause": ("bsd", r"(?:the )?(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
+    "bsd-2-clause": ("bsd|freebsd", r"(?:the )?(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
     "bsd-3-clause": ("bsd", r"(?:the )?(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)"),
     "bsd-4-clause": ("bsd", r"(?:the )?(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)"),
-    "isc": ("isc", r"(?:the )?(?:isc|internet systems consortium)"),
+    "isc": ("isc|internet systems", r"(?:the )?(?:isc|internet systems consortium)"),
     "mpl": ("mpl|mozilla", r"(?:the )?(?:mpl|mozilla public)"),
     "mpl-1.1": ("mpl|mozilla", r"(?:the )?(?:mpl|mozilla public)(?: license| licence)? (?:version |v)?1 1"),
     "mpl-2.0": ("mpl|mozilla", r"(?:the )?(?:mpl|mozilla public)(?: license| licence)? (?:version |v)?2(?: 0)?"),
@@ -54,7 +55,7 @@ FAMILIES = {
     "boost": ("boost", r"(?:the )?boost(?: software)?"),
     "zlib": ("zlib", r"(?:the )?(?:zlib|zlib libpng)"),
     "unlicense": ("unlicense", r"(?:the )?unlicense"),
-    "wtfpl": ("wtf", r"(?:the )?(?:wtfpl|do what the fuck you want to public)"),
+    "wtfpl": ("wtf|do what", r"(?:the )?(?:wtfpl|do what the fuck you want to public)"),
     "python": ("psf|python", r"(?:the )?(?:python software foundation|psf|python)"),
     "ruby": ("ruby", r"(?:the )?ruby"),
     "php": ("php", r"(?:the )?php"),
@@ -106,11 +107,73 @@ SENTENCES = [
     ("proprietary", "proprietary", r"proprietary and confidential", 6, 0.8),
     ("proprietary", "permission", r"(?:may not be|no part of this \w+ may be) (?:copied|reproduced|distributed) without (?:the )?(?:prior )?(?:written )?permission", 6, 0.8),
     ("copyright", "copyright", r"copyright (?:c )?\d{4}", 3, 0.4),
+    ("mit", "above copyright", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 9, 1.0),
+    ("mit", "software is", r"the software is provided as is without warranty of any kind express or implied", 7, 0.8),
+    ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", 9, 1.0),
+    ("isc", "permission", r"provided that the above copyright notice and this permission notice appear in all copies", 8, 0.95),
+    ("isc", "software is", r"the software is provided as is and the author disclaims all warranties with regard to this software", 8, 0.95),
+    ("bsd", "redistributions", r"redistributions of source code must retain the (?:above|accompanying) copyright notice", 8, 0.95),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the (?:above|accompanying) copyright notice", 8, 0.95),
+    ("bsd-3-clause", "neither", r"neither the names? of (?:the )?(?:\w+ ){1,8}nor the names of its contributors may be used to endorse or promote products", 9, 1.0),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg\w+", 9, 1.0),
+    ("bsd", "this software is provided", r"this software is provided by the (?:copyright holders? and contributors|regents and contributors|author) as is", 8, 0.95),
+    ("apache-2.0", "licensed", r"licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements", 9, 1.0),
+    ("apache-2.0", "unless", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 9, 1.0),
+    ("apache-2.0", "apache", r"(?:https? )?(?:www )?apache org licenses license 2 0", 9, 1.0),
+    ("gpl", "this program|this library|this file", r"this (?:program|library|file) is free software", 8, 0.9),
+    ("gpl", "you should", r"you should have received a copy of the gnu general public licen[sc]e", 9, 1.0),
+    ("lgpl", "you should", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 9, 1.0),
+    ("agpl", "you should", r"you should have received a copy of the gnu affero general public licen[sc]e", 9, 1.0),
+    ("gpl", "everyone", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed", 8, 0.95),
+    ("gpl-3.0", "gplv3", r"gplv3(?: or later)?(?: licen[sc]ed?)?", 7, 0.95),
+    ("gpl-2.0", "gplv2", r"gplv2(?: or later)?(?: licen[sc]ed?)?", 7, 0.95),
+    ("lgpl-3.0", "lgplv3", r"lgplv3(?: or later)?(?: licen[sc]ed?)?", 7, 0.95),
+    ("lgpl-2.1", "lgplv2", r"lgplv2 1(?: or later)?(?: licen[sc]ed?)?", 7, 0.95),
+    ("agpl-3.0", "agplv3", r"agplv3(?: or later)?(?: licen[sc]ed?)?", 7, 0.95),
+    ("gpl-classpath", "classpath", r"gpl(?:v2)? with (?:the )?classpath exception", 9, 1.0),
+    ("gpl-linking", "special exception", r"as a special exception (?:the copyright holders? )?(?:gives? )?you permission to link", 9, 0.95),
+    ("gfdl", "permission is granted", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 9, 1.0),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e(?: version 1 1)?", 9, 1.0),
+    ("mpl-2.0", "if a copy", r"if a copy of the mpl was not distributed with this file you can obtain one at", 9, 1.0),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 9, 1.0),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 9, 1.0),
+    ("zlib", "permission is granted", r"permission is granted to anyone to use this software for any purpose including commercial applications", 9, 1.0),
+    ("zlib", "origin of", r"the origin of this software must not be misrepresented", 8, 0.95),
+    ("libpng", "libpng", r"(?:the )?libpng licen[sc]e", 8, 0.95),
+    ("boost", "boost", r"distributed under the boost software licen[sc]e version 1 0", 9, 1.0),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software", 9, 1.0),
+    ("wtfpl", "everyone", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document", 8, 0.95),
+    ("python", "psf", r"psf is making python available to licensee on an as is basis", 9, 1.0),
+    ("php", "this product includes php", r"this product includes php software freely available from", 9, 1.0),
+    ("openssl", "this product includes", r"this product includes software developed by the openssl project", 9, 1.0),
+    ("apache-1.1", "this product includes", r"this product includes software developed by the apache software foundation", 8, 0.9),
+    ("postgresql", "permission to use", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 9, 1.0),
+    ("hpnd", "permission to use", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", 9, 1.0),
+    ("ofl", "font software", r"(?:this|the) font software is licensed under the sil open font licen[sc]e", 9, 1.0),
+    ("odbl", "database is", r"this database is made available under the open database licen[sc]e", 9, 1.0),
+    ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e", 9, 1.0),
+    ("cc0", "to the extent", r"to the extent possible under law (?:\w+ ){1,8}(?:has|have) waived all copyright", 9, 1.0),
+    ("cc-by", "creativecommons", r"(?:https? )?creativecommons org licenses by(?: \d \d)?(?! (?:sa|nd|nc))", 8, 0.95),
+    ("cc-by-sa", "creativecommons", r"(?:https? )?creativecommons org licenses by sa(?: \d \d)?", 9, 1.0),
+    ("cc-by-nd", "creativecommons", r"(?:https? )?creativecommons org licenses by nd(?: \d \d)?", 9, 1.0),
+    ("cc-by-nc", "creativecommons", r"(?:https? )?creativecommons org licenses by nc(?: \d \d)?(?! (?:sa|nd))", 8, 0.95),
+    ("cc-by-nc-sa", "creativecommons", r"(?:https? )?creativecommons org licenses by nc sa(?: \d \d)?", 9, 1.0),
+    ("cc-by-nc-nd", "creativecommons", r"(?:https? )?creativecommons org licenses by nc nd(?: \d \d)?", 9, 1.0),
+    ("cc0", "creativecommons", r"(?:https? )?creativecommons org publicdomain zero(?: 1 0)?", 9, 1.0),
+    ("cc-by", "this work is", r"this work is licensed under a creative commons attribution(?: \d \d)? (?:international|unported|generic) licen[sc]e", 9, 1.0),
+    ("ms-rl", "microsoft reciprocal|ms rl", r"(?:microsoft reciprocal|ms rl) licen[sc]e", 8, 0.95),
+    ("eula", "end user", r"end user licen[sc]e agreement", 7, 0.9),
+    ("eula", "by installing", r"by installing (?:copying )?(?:or otherwise )?using (?:this|the) software you agree to (?:be bound by )?the terms of this licen[sc]e", 8, 0.95),
+    ("proprietary", "unauthorized|unauthorised", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:or distribution )?of this (?:file|software|work|material|document)(?: via any medium)? is strictly prohibited", 8, 0.95),
+    ("proprietary", "confidential", r"confidential and proprietary (?:information|to)", 6, 0.8),
+    ("all-rights-reserved", "alle rechte", r"alle rechte vorbehalten", 6, 0.9),
+    ("all-rights-reserved", "tous droits", r"tous droits r\S{1,2}serv\S{1,2}s", 6, 0.9),
+    ("all-rights-reserved", "todos los derechos", r"todos los derechos reservados", 6, 0.9),
 ]
 
 
 def rules() -> list[dict]:
-    """Every family in every form, and the sentences: over 300 patterns, highest priority first."""
+    """Every family in every form, and the sentences: over 400 patterns, highest priority first."""
     found = [
         # a longer name outranks a shorter one in the same form, so "cc by nc" is not also "cc by"
         {"label": label, "key": key, "regex": rf"(?<!\S){form.format(name=name)}(?!\S)", "rank": 100 * rank + min(len(name), 99), "conf": conf}
@@ -120,26 +183,37 @@ def rules() -> list[dict]:
     return sorted(found, key=lambda r: (-r["rank"], r["label"], r["regex"]))
 
 
-RULE_TYPE = "array<struct<label:string,key:string,regex:string,rank:int,conf:double>>"
-#: Every rule and base phrase needs one of these in the lower-cased text.
+RULE_TYPE = "array<struct<keys:array<string>,rules:array<struct<label:string,regex:string,rank:int,conf:double>>>>"
+#: Every match of a rule or base phrase has one of these in its lower-cased text: a word or part of one, never two words,
+#: between which a text may have anything. Of words in one entry all must be there.
 GATES = [
-    "licen", "spdx", "copyright", "permission", "redistribut", "proprietary", "domain", "reserved", "compliance", "encumbered", "warranty",
-    "released", "distributed", "available", "published", "terms", "governed", "covered", "protected",
-    "gpl", "mpl", "apache", "bsd", "general public", "mozilla",
-]
+    "licen", "spdx", "copyright", "permission", "redistribut", "proprietary", "domain", "reserved", "compliance", "encumbered", "warrant",
+    "released", "distributed", "available", "published", "terms", "governed", "covered", "protected", "permitted", "prohibited",
+    "gpl", "mpl", "apache", "bsd", "mozilla", "mit attribution", "general public", "free software", "advertising acknowledg", "endorse contributors",
+    "copyright holders", "misrepresented", "anyone free", "openssl", "php", "vorbehalten", "droits", "derechos", "provided is",
+]
 
 
 def _gated(text: Column) -> Column:
     low = F.lower(text)
-    found = F.contains(low, F.lit(GATES[0]))
-    for word in GATES[1:]:
-        found = found | F.contains(low, F.lit(word))
+    found = F.lit(False)
+    for words in GATES:
+        each = [F.contains(low, F.lit(word)) for word in words.split()]
+        found = found | reduce(lambda a, b: a & b, each)
     return found
 
 
+def _by_key() -> list[dict]:
+    """The rules under their keywords."""
+    found: dict[str, list[dict]] = {}
+    for rule in rules():
+        found.setdefault(rule["key"], []).append({k: rule[k] for k in ("label", "regex", "rank", "conf")})
+    return [{"keys": [f" {k}" for k in key.split("|")], "rules": mine} for key, mine in found.items()]
+
+
 def _detections(joined: Column) -> Column:
-    """array<struct<start, over, rank, label, conf, stop>> of every rule whose keyword is in ``joined``."""
-    table = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
+    """array<struct<start, over, rank, label, conf, stop>> of every rule whose keyword begins a word of ``joined``."""
+    table = F.from_json(F.lit(json.dumps(_by_key())), RULE_TYPE)
 
     def places(rule):
         hits = F.regexp_extract_all(joined, rule["regex"], F.lit(0))
@@ -167,8 +241,10 @@ def _detections(joined: Column) -> Column:
             ),
         )
 
-    gated = F.filter(table, lambda r: F.regexp_like(joined, r["key"]) & F.regexp_like(joined, r["regex"]))
-    return F.array_sort(F.flatten(F.transform(gated, places)))
+    begun = F.concat(F.lit(" "), joined)
+    opened = F.filter(table, lambda group: F.exists(group["keys"], lambda key: F.contains(begun, key)))
+    met = F.filter(F.flatten(F.transform(opened, lambda group: group["rules"])), lambda rule: F.regexp_like(joined, rule["regex"]))
+    return F.array_sort(F.flatten(F.transform(met, places)))
 
 
 def _resolved(joined: Column) -> Column:

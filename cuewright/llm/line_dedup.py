@@ -78,13 +78,14 @@ def line_dedup(
     base = docs.drop("n_lines", "n_removed")
     keep = [c for c in base.columns if c != text_col]
     trimmed = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    rows = base.withColumn("_uid", F.monotonically_increasing_id()).select(
-        "_uid",
+    numbered = base.select(
+        F.monotonically_increasing_id().alias("_uid"),
         F.struct(*[F.col(c) for c in keep]).alias("_row"),
         F.col(id_col).alias("_id"),
         F.col(site_col).alias("_site"),
-        F.posexplode_outer(F.split(F.col(text_col), "\n", -1)).alias("_pos", "line"),
-    ).withColumn("_key", trimmed)
+        F.col(text_col).alias("_text"),
+    )
+    rows = numbered.select("_uid", "_row", "_id", "_site", F.posexplode_outer(F.split("_text", "\n", -1)).alias("_pos", "line")).withColumn("_key", trimmed)
     hashed = rows.withColumns({"h1": F.xxhash64("_key"), "h2": F.xxhash64("_key", F.lit(1))})
     solid = hashed.filter(F.col("_key") != "").select("h1", "h2", F.col("_site").cast("string").alias("site"), F.col("_id").alias("doc_id"), (F.char_length("_key") >= long_chars).alias("long"))
     spread = checkpointed(line_spread(solid, min_sites, min_sites if long_sites is None else long_sites))

@@ -70,10 +70,15 @@ def byte_letters() -> dict[str, int]:
 def merge_ranks(path: str) -> dict[bytes, int] | None:
     """bytes -> id of a byte-level BPE file if its ids are the order of its merges, so that ranks give the same ids."""
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, before = whole["model"], whole.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or whole.get("normalizer") or whole.get("truncation") or before.get("type") != "ByteLevel":
+        return None
+    if before.get("add_prefix_space") or not before.get("use_regex", True) or any(t.get("normalized") for t in whole.get("added_tokens", [])):
+        return None
     letters, vocab = byte_letters(), model["vocab"]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+    if model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
         return None
     if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or any(vocab.get(c, 256) > 255 for c in letters):
         return None

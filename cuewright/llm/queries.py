@@ -95,7 +95,8 @@ SQL = {
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
-        FROM marked GROUP BY doc_id""",
+        FROM marked GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
     "op9_exact_dedup": r"""
         WITH normal AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

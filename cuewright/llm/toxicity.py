@@ -230,11 +230,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``threshold``.
 
-    Texts are scored in their rows (no join back), so repeated and null ids need no care.
+    Texts are scored in their rows (no join back), so repeated and null ids need no care. Null and empty texts have the score of
+    a text without words. Where one of the classes has no labelled rows nothing tells them apart, and all rows stay.
     """
     ratios, weights = train(docs, labels, id_col, text_col)
     if ratios is None:
-        return docs if float(weights) < threshold else docs.limit(0)
+        return docs
     schema = docs.schema
     inner = _scored(ratios, [float(w) for w in weights], False)
     at = docs.columns.index(text_col)

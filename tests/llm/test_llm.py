@@ -5,6 +5,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import string
 import zlib
 
 import numpy as np
@@ -194,13 +196,54 @@ def test_license(spark):
         assert re.compile(rule["regex"])
 
 
+def test_license_against_every_rule(spark):
+    """Neither the gate nor the keywords change what all rules over all texts find."""
+    rng, found = random.Random(8), license_scan.rules()
+    assert len(found) > 400
+
+    def sample(pattern):
+        """A text that the pattern matches."""
+        out = pattern.replace("(?<!\\S)", "").replace("(?!\\S)", "")
+        out = re.sub(r"\(\?![^()]*(?:\([^()]*\))?[^()]*\)", "", out)
+        while m := re.search(r"\(\?:([^()]*)\)(\?|\{\d,?(\d?)\})?", out):
+            choice = rng.choice(m[1].split("|"))
+            times = 1 if not m[2] else rng.choice([0, 1]) if m[2] == "?" else 1
+            out = out[: m.start()] + choice * times + out[m.end() :]
+        out = re.sub(r"\[([^\]])[^\]]*\]", r"\1", out).replace("\\d{4}", "2019").replace("\\d", "3").replace("\\w+", "word").replace("\\S{1,2}", "e")
+        return re.sub(r" ?\?", "", out)
+
+    texts = [x for rule in found for x in [sample(rule["regex"])] if re.search(rule["regex"], x)]
+    assert len(texts) > 0.9 * len(found)
+    words = "the gnu general public license version 3 mit apache bsd cc by sa under terms of licensed copyright 2019 limit commit 2 0".split()
+    texts += [" ".join(rng.choice([rng.choice(words), rng.choice(texts[: len(found) // 2])]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    breaks = [" ", "\n", "-", ", ", " / "]
+    texts = ["".join(w if w != " " else rng.choice(breaks) for w in re.split("( )", t)) for t in texts]
+    texts = [t.title() if rng.random() < 0.3 else t for t in texts]
+    got = {r["doc_id"]: r for r in rows(license_scan.license_scan(table(spark, texts)))}
+    for i, text in enumerate(texts):
+        joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))))
+        hits = sorted((m.start(), -m.end(), -r["rank"], r["label"], r["conf"]) for r in found for m in re.finditer(r["regex"], joined, re.ASCII) if m.end() > m.start())
+        kept = []
+        for start, over, rank, label, conf in hits:
+            if not any(s <= start and over >= o and rank >= k for s, o, k, _, _ in kept):
+                kept.append((start, over, rank, label, conf))
+        base = {x for p, x in license_scan.BASE if f" {p} " in f" {joined} "}
+        assert got[i]["labels"] == ",".join(sorted(base | {k[3] for k in kept})), text
+        assert got[i]["n_detections"] == len(kept) and got[i]["score"] == pytest.approx(1.0 if base else max((k[4] for k in kept), default=0.0)), text
+
+
 def test_exact_dedup_over_batches(spark, tmp_path):
     index = DigestIndex(spark, str(tmp_path / "index"), 4)
     first = rows(exact_dedup(table(spark, ["a  b", "a b", "a\tb ", None, ""], [3, 2, 4, 9, 8]), index))
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in first} == {3: (2, 2, False), 2: (2, 2, True), 4: (4, 1, True), 9: (8, 2, False), 8: (8, 2, True)}
-    again = rows(exact_dedup(table(spark, ["a b", "new", "new"], [1, 5, 5]), DigestIndex(spark, str(tmp_path / "index"), 4)))
-    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again) == [(1, 2, False), (5, 5, False), (5, 5, True)]
-    assert index.rows().count() == 4
+    for _ in range(2):  # the second time as after a crash
+        again = rows(exact_dedup(table(spark, ["a b", "new", "new"], [1, 5, 5]), DigestIndex(spark, str(tmp_path / "index"), 4), batch="second"))
+        assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again) == [(1, 2, False), (5, 5, False), (5, 5, True)]
+        assert index.rows().count() == 4
+    later = rows(exact_dedup(table(spark, ["new"], [4]), index))
+    assert [(r["keep_id"], r["kept"]) for r in later] == [(5, False)]
+    index.drop()
+    assert not (tmp_path / "index").exists()
 
 
 def test_lines(spark):
@@ -249,6 +292,30 @@ def test_lattice(spark):
             assert r["n_known"] == sum(c[a] > 0 for a in w) + 1 and r["held_out"] == held[r["doc_id"]] and r["score"] < 0
 
 
+def test_columns_that_clash(spark):
+    docs = table(spark, ["keep\nshared line", "shared line \nown", "other\nshared line"])
+    for name in ("_uid", "_id", "_row", "_text", "_gone"):
+        named = docs.withColumn(name, F.lit("mine"))
+        assert {r[name] for r in rows(line_dedup(named, min_sites=3))} == {"mine"}
+        assert {r[name] for r in rows(jaccard.drop_near_copies(named))} == {"mine"}
+
+
+def test_one_class_of_labels_keeps_all(spark):
+    docs = table(spark, ["some text", "other text", None])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs, labels).count() == 3 and toxicity.keep_clean(docs, labels.limit(0)).count() == 3
+
+
+def test_merge_ranks_need_a_plain_file(tmp_path):
+    import json
+
+    plain = json.load(open(P.path("byte_bpe_50k.json")))
+    assert packing.merge_ranks(P.path("byte_bpe_50k.json"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(plain | change))
+        assert packing.merge_ranks(str(tmp_path / "t.json")) is None
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
