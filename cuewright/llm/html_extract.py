@@ -8,9 +8,11 @@ best path where the host's has less than half of the page's weight. A path stand
 
 from __future__ import annotations
 
+import hashlib
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ from cuewright.llm.common import checkpointed, small_batches
 
 #: Hosts up to this many are broadcast with their paths; more are joined by shuffle, with pages salted.
 BROADCAST_HOSTS, SALTS = 100_000, 64
+#: A path longer than this goes on from its hash, so deep pages need no more room than flat ones.
+LONG_PATH = 512
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|[!?/][^>]*+(?:>|\Z))""", re.S)
 #: A tag that the end of the page cuts off.
@@ -63,7 +67,8 @@ class Page:
         self.marked: list[bool] = []
         self.ranges: list[list[int]] = []
         self.scores: list[float] = []
-        self._stack: list[tuple[str, int, bool]] = []  # tag, container (-1: inline), skipped
+        self._stack: list[tuple[str, int, bool, int]] = []  # tag, container (-1: inline), skipped, the innermost container
+        self._open_tags: Counter[str] = Counter()
         self._around: list[tuple[int, int, int]] = []  # the container of a block, the two that it scores
         self._text: list[str] = []
         self._linked = 0
@@ -102,14 +107,18 @@ class Page:
     def _add(self, text: str) -> None:
         if text and not (self._stack and self._stack[-1][2]):
             self._text.append(html.unescape(text))
-            if any(tag == "a" for tag, _, _ in self._stack):
+            if self._open_tags["a"]:
                 self._linked += len(text)
 
+    def _inner(self) -> int:
+        """The innermost open container, or -1."""
+        return self._stack[-1][3] if self._stack else -1
+
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
             weight = len(text) * max(0.0, 1 - self._linked / len(text)) + 20 * text.count(",")
-            inner = next((c for _, c, _ in reversed(self._stack) if c >= 0), -1)
+            inner = self._inner()
             near = self.parents[inner] if inner >= 0 and self.tags[inner] in LEAVES else inner
             self._around.append((inner, near, self.parents[near] if near >= 0 else -1))
             self.blocks.append(text)
@@ -170,33 +179,40 @@ class Page:
         skipped = tag in SKIPPED or hides or found.get("role", "").lower() in ROLES or (marked and tag in INLINE)
         skipped = skipped or bool(self._stack and self._stack[-1][2])
         if tag in INLINE:
-            self._stack.append((tag, -1, skipped))
+            self._open_tags[tag] += 1
+            self._stack.append((tag, -1, skipped, self._inner()))
             return
         self._flush()
-        if any(t == "p" for t, _, _ in self._stack):
+        if self._open_tags["p"]:
             self._close("p")
-        if tag in CLOSES:
+        if tag in CLOSES and any(self._open_tags[t] for t in CLOSES[tag][0]):
             closed, barrier = CLOSES[tag]
-            for t, _, _ in reversed(self._stack):
+            for t, _, _, _ in reversed(self._stack):
                 if t in barrier:
                     break
                 if t in closed:
                     self._close(t)
                     if tag != "tr":
                         break
-        above = next((c for _, c, _ in reversed(self._stack) if c >= 0), -1)
+        above = self._inner()
         step = ".".join([tag, *sorted(set(re.sub(r"\d+", "#", found.get("class", "").lower()).split()))])
-        self.paths.append(f"{self.paths[above]}/{step}" if above >= 0 else step)
+        before = self.paths[above] if above >= 0 else ""
+        if len(before) > LONG_PATH:
+            before = "~" + hashlib.blake2b(before.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        self.paths.append(f"{before}/{step}" if before else step)
         self.tags.append(tag)
         self.parents.append(above)
         self.marked.append(marked)
         self.ranges.append([len(self.blocks), -1])
         self.scores.append(0.0)
-        self._stack.append((tag, len(self.paths) - 1, skipped))
+        self._open_tags[tag] += 1
+        self._stack.append((tag, len(self.paths) - 1, skipped, len(self.paths) - 1))
         if tag in ("article", "main") or tokens & LIKELY:
             self.scores[-1] += 0.001
 
     def _close(self, tag: str) -> None:
+        if not self._open_tags[tag]:
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
                 if tag not in INLINE:
@@ -204,7 +220,8 @@ class Page:
                     while len(self._stack) > i:
                         self._pop()
                 else:  # only inline tags may be left open below
-                    if all(t in INLINE for t, _, _ in self._stack[i:]):
+                    if all(t in INLINE for t, _, _, _ in self._stack[i:]):
+                        self._open_tags.subtract(t for t, _, _, _ in self._stack[i:])
                         del self._stack[i:]
                 return
             if tag in INLINE and self._stack[i][0] not in INLINE:
@@ -212,7 +229,8 @@ class Page:
 
     def _pop(self) -> None:
         self._flush()
-        _, c, _ = self._stack.pop()
+        tag, c, _, _ = self._stack.pop()
+        self._open_tags[tag] -= 1
         if c >= 0:
             self.ranges[c][1] = len(self.blocks)
 
@@ -234,19 +252,19 @@ class Page:
         """
         if path is None:
             return [(0, len(self.blocks))]
-        good = [i for i, w in enumerate(self.weights) if w >= 40 or self._around[i][0] >= 0 and self.tags[self._around[i][0]] == "h1"]
+        enough = 40 if max(self.weights, default=0.0) >= 40 else max(self.weights, default=0.0) / 2
+        good = [i for i, w in enumerate(self.weights) if w >= enough or self._around[i][0] >= 0 and self.tags[self._around[i][0]] == "h1"]
+        article, cover = [], []  # of each container: the outermost article or main around it, the lowest one that holds all of weight
+        for c, up in enumerate(self.parents):
+            outer = article[up] if up >= 0 else -1
+            article.append(outer if outer >= 0 else c if self.tags[c] in ("article", "main") else -1)
+            start, stop = self.ranges[c]
+            cover.append(c if not good or start <= good[0] and good[-1] < stop else cover[up] if up >= 0 else -1)
         wide = []
         for c, p in enumerate(self.paths):
-            if p != path or self.ranges[c][0] == self.ranges[c][1] or wide and self.ranges[c][1] <= wide[-1][1]:
-                continue
-            found, up = -1, c
-            while up >= 0:
-                found, up = up if self.tags[up] in ("article", "main") else found, self.parents[up]
-            if found < 0:
-                found = c
-                while good and found >= 0 and not (self.ranges[found][0] <= good[0] and good[-1] < self.ranges[found][1]):
-                    found = self.parents[found]
-            wide.append(tuple(self.ranges[found]) if found >= 0 else (0, len(self.blocks)))
+            if p == path and self.ranges[c][0] < self.ranges[c][1] and not (wide and self.ranges[c][1] <= wide[-1][1]):
+                found = article[c] if article[c] >= 0 else cover[c]
+                wide.append(tuple(self.ranges[found]) if found >= 0 else (0, len(self.blocks)))
         out, done = [], 0
         for start, stop in wide:
             if stop > done:
@@ -315,6 +333,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     * Null html counts as empty; a page without text has an empty ``text``. Pages whose url is null or has no
       host vote together. ``path`` is the host's, whether or not the page has text there.
+    * Pages of any depth take time and memory in proportion to their length. Of paths with equal shares the last in order wins.
     * Repeated rows are extracted each for itself. An empty table gives an empty result; further columns are
       ignored.
     """

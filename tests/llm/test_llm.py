@@ -403,6 +403,43 @@ def test_pages_keep_whole_articles(spark):
         assert whole in got and got.removeprefix("Teaser. ") == whole
 
 
+def test_pages_of_any_depth_and_columns_of_any_name(spark):
+    deep = "<div>" * 30_000 + "deep text, here" + "</div>" * 30_000
+    docs = spark.createDataFrame(
+        [(1, "http://a.x/1", deep), (1, "http://a.x/1", deep), (2, None, None), (3, "no url", ""), (None, "http://a.x/2", "<p>only this"), (4, "http://b.x", "<li><b><i>" * 20_000 + "x")], "page_id long, url string, html string"
+    )
+    docs = docs.withColumns({c: F.lit("mine") for c in ("host", "path", "salt", "text", "n_chars", "share")})
+    for hosts in (0, 10):
+        out = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in rows(html_extract.extract_pages(docs, broadcast_hosts=hosts)))
+        assert out == [(0, "only this", 9), (1, "deep text, here", 15), (1, "deep text, here", 15), (2, "", 0), (3, "", 0), (4, "x", 1)]
+    assert html_extract.extract_pages(docs.limit(0)).count() == 0
+
+
+def test_pages_against_their_makers(spark):
+    """Articles of known blocks in random templates, with boilerplate around and inside."""
+    rng, pages, wanted = random.Random(12), [], {}
+    word = lambda: "".join(rng.choice("abcdeéß&") for _ in range(rng.randint(2, 9))).replace("&", "&amp;")
+    said = lambda n: " ".join(word() for _ in range(n))
+    plain = lambda t: " ".join(t.replace("&amp;", "&").replace("<b>", "").replace("</b>", "").split())
+    for host in range(6):
+        wrap = rng.choice(["<article class='post'>%s</article>", "<main>%s</main>", "<article><div class='entry-content no-ads'>%s</div></article>", "<div id='page' class='has-sidebar'><article>%s</article></div>"])
+        for page in range(12):
+            blocks, inner = [], ""
+            for _ in range(rng.randint(3, 9)):
+                text = said(rng.randint(12, 40)) + ",\n  " + f"<b>{word()}</b> end"
+                tag = rng.choice(["p", "p", "div", "h2", "blockquote"])
+                blocks.append(plain(text))
+                inner += f"<{tag}>{text}</{tag}>" if rng.random() < 0.7 else f"<section><{tag}>{text}</{tag}></section>"
+                inner += rng.choice(["", "", f"<div class='ad'>{said(4)}</div>", f"<script>var x = '{said(3)}'</script>", f"<aside>{said(5)}</aside>", "<!-- <p>gone</p> -->"])
+            inner += rng.choice(["", f"<div class='comments'><p>{said(25)}</p><p>{said(25)}</p></div>"])
+            body = f"<nav><a href='/'>{said(2)}</a></nav><header>{said(3)}</header>{wrap % inner}<div class='sidebar'>{said(8)}</div><footer>{said(4)}</footer>"
+            key = host * 100 + page
+            wanted[key] = " ".join(blocks)
+            pages.append((key, f"https://h{host}.example/{page}", f"<html><head><title>{said(2)}</title></head><body>{body}</body></html>"))
+    out = {r["page_id"]: r["text"] for r in rows(html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert out == wanted
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
