@@ -154,6 +154,29 @@ def test_jaccard_is_exact(spark, k, num, den):
         assert r["component_id"] == find(r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]])
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """Buckets dealt over blocks, large groups, and long sets whose count vectors have different lengths."""
+    monkeypatch.setattr(jaccard, "TREE", 4)
+    rng, texts = random.Random(5), []
+    for g, (n, members) in enumerate(((1030, 8), (1000, 6), (515, 7), (505, 5), (40, 45), (12, 30))):
+        base = [f"g{g}w{j}" for j in range(n)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.choice((0, 0, 1, n // 40, n // 12))):
+                w[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: n - rng.choice((0, 0, n // 30))]))
+    sets = [shingles(t, 3) for t in texts]
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if x == b else x for x in comp]
+    assert len(set(comp)) < len(comp) - 40
+    for r in rows(jaccard.jaccard_components(table(spark, texts), k=3, num=9, den=10)):
+        assert r["component_id"] == comp[r["doc_id"]]
+
+
 def test_near_copies_go_by_row(spark):
     copy, own, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
     ids = [1, 2, 2, 1, None, None, None, 3, 4, 4]
@@ -284,8 +307,17 @@ def test_lattice(spark):
     for t, h in zip(texts, held):
         c.update([] if h else t.encode().lower().split())
     n, v = sum(c.values()) + ends, len(c) + 1
+    import sentencepiece
+
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_proto=model), collections.Counter()
+    for word, k in c.items():
+        for piece in sp.encode(word.decode("utf-8", "replace")):
+            pieces[piece] += k
+    learned, end = lattice.weighted(model, pieces, ends)
     for ahead in (0, 300_000):
         for r in rows(lattice.lattice_scores(table(spark), P.path("piece_bpe_32k.model"), ahead=ahead)):
+            words_of = [w.decode("utf-8", "replace") for w in texts[r["doc_id"]].encode().lower().split()]
+            assert r["score"] == pytest.approx((sum(map(learned.word, words_of)) + end) / math.log(10), rel=1e-9)
             w = texts[r["doc_id"]].encode().lower().split()
             base = sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in [*(c[a] for a in w), ends])
             assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == n and r["n_tokens"] == len(w) + 1
@@ -337,6 +369,51 @@ def test_packing(spark):
     assert all(sum(n for _, n in f) <= 1024 for f in fill.values())
 
 
+def test_kneser_ney_from_its_definition():
+    words_of = (["abab", "abc", "cab", "ab", "c"] * 3 + ["dab"], ["bad", "bad", "dabb", "ab", "vile"])
+    order, d, begin, stop = toxicity.ORDER, toxicity.DISCOUNT, toxicity.START, toxicity.STOP
+    counts = (collections.Counter(), collections.Counter())
+    for y, group in enumerate(words_of):
+        for w in group:
+            w = begin + w + stop
+            for i in range(1, len(w)):
+                for n in range(1, order + 1):
+                    if i - n + 1 >= 0:
+                        counts[y][w[i - n + 1 : i + 1]] += 1
+    before = collections.defaultdict(set)  # what stands before an n-gram, in either class
+    for gram in counts[0] | counts[1]:
+        if len(gram) > 1:
+            before[gram[1:]].add(gram[0])
+    letters = {g for g in before if len(g) == 1}
+
+    def lower(context, letter):
+        """The backoff distribution that both classes share, from continuation counts."""
+        rest = lower(context[1:], letter) if context else 1 / (1 + len(letters))
+        after = {x: len(before[context + x]) for x in letters if context + x in before}
+        if not sum(after.values()):
+            return rest
+        return (max(after.get(letter, 0) - d, 0) + d * len(after) * rest) / sum(after.values())
+
+    def chance(y, context, letter):
+        after = {x: counts[y][context + x] for x in letters if counts[y][context + x]}
+        rest = lower(context[1:], letter)
+        if not after:
+            return rest
+        return (max(after.get(letter, 0) - d, 0) + d * len(after) * rest) / sum(after.values())
+
+    ratios = toxicity.Ratios((dict(counts[0]), dict(counts[1])))
+    for w in ("ab", "bad", "vile", "abab", "dabbad", "zq", "v"):
+        full, wanted = begin + w + stop, 0.0
+        for i in range(1, len(full)):
+            context = full[max(0, i - order + 1) : i]
+            if not (len(context) == order - 1 or context[0] == begin):
+                continue
+            wanted += math.log10(chance(1, context, full[i]) / chance(0, context, full[i]))
+        assert ratios.word(w.encode()) == pytest.approx(wanted, abs=1e-9)
+    known = sum(chance(1, begin, x) for x in letters)
+    assert known < 1 and known == pytest.approx(1, abs=0.2)  # the rest is for letters that no class has
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
@@ -451,3 +528,86 @@ def test_pipeline(spark):
         assert left.columns == docs.columns
     ids = [r.doc_id for r in left.collect()]
     assert {r["doc_id"] for r in out} == set(ids) and 0 < len(ids) <= docs.count()
+
+
+def save(spark, docs, labels, path):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_on_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert corpus_pipeline.run(spark, save(spark, docs, labels, tmp_path)).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Stage after stage on planted rows: shared passages, near and exact copies, nulls, empty texts, repeated ids."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage, short = say(55), "home about contact"
+    texts = [f"{say(60)}\n{say(50)}" for _ in range(40)]
+    for i in range(0, 12):
+        texts[i] += f"\n{passage}" if i % 2 else f"\n  {passage}\t\n{say(9)}"
+    for i in range(10, 34):
+        texts[i] = f"{short}\n{texts[i]}"
+    texts += [passage, short, None, "", " \n\t", texts[30], texts[31], None]
+    words_of = texts[32].split(" ")
+    texts.append(" ".join(["other", *words_of[1:]]))
+    ids = [*range(len(texts) - 1), 3]
+    sources = [f"s{i % 4}" if i < 12 else f"s{i % 12}" if i % 9 else None for i in range(len(texts))]
+    made = [(i, t, "en", s, len(t or "")) for i, t, s in zip(ids, texts, sources, strict=True)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    path = save(spark, docs, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"), tmp_path)
+
+    stages = dict(corpus_pipeline.STAGES)
+    first = rows(stages["toxicity"](spark, docs, path))
+    assert len(first) == len(made)  # labels of one class reject nothing
+
+    strip = lambda line: line.strip(" \t\n\x0b\x0c\r")
+    sites, first_id = collections.defaultdict(set), {}
+    for i, t, _, s, _ in made:
+        for line in (t or "").split("\n") if t is not None else ():
+            sites[strip(line)] |= {s} - {None}
+            first_id[strip(line)] = min(i, first_id.get(strip(line), i))
+    gone = {k for k, found in sites.items() if k and len(found) >= (3 if len(k) >= 60 else 10)}
+    assert passage in gone and short in gone
+    left = []
+    for i, t, lang, s, n in made:
+        lines = [] if t is None else t.split("\n")
+        stay = [x for x in lines if strip(x) not in gone or first_id[strip(x)] == i]
+        text = None if t is None else "\n".join(stay)
+        if len(stay) == len(lines) or strip(text):
+            left.append((i, text, lang, s, n if len(stay) == len(lines) else len(text)))
+    second = stages["line_dedup"](spark, docs, path)
+    key = lambda r: (r[0], r[1] or "", r[3] or "")
+    assert sorted((tuple(r) for r in second.collect()), key=key) == sorted(left, key=key)
+
+    sets, comp = [shingles(r[1], 5) for r in left], list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((comp[i], comp[j]))
+                comp = [a if x == b else x for x in comp]
+    groups = collections.defaultdict(list)
+    for i, c in enumerate(comp):
+        groups[c].append(i)
+    third = [r[0] for r in stages["ngram_jaccard_join"](spark, second, path).collect()]
+    assert sorted(third) == sorted(min(left[i][0] for i in g) for g in groups.values()) and len(third) < len(left)
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    pieces = rows(corpus_pipeline.run(spark, path))
+    by_doc = collections.Counter()
+    for r in pieces:
+        by_doc[r["doc_id"]] += r["length"]
+    tokens = collections.Counter()
+    for r in stages["ngram_jaccard_join"](spark, second, path).collect():
+        tokens[r["doc_id"]] += len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    assert by_doc == tokens
