@@ -14,7 +14,11 @@ from cuewright.llm.toxicity import keep_clean
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; those whose score is equal to the threshold too.
+
+    Null and empty texts have the score of a text without words; where one class has no labels nothing goes, and an
+    empty table stays empty.
+    """
     return keep_clean(docs, load(spark, sf_dir, "labels"))
 
 
@@ -22,7 +26,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cross-site lines stay in the first document alone; a document that held nothing else goes.
 
     A short line may stand on some sites by chance and needs 10; one of 60 characters or more does not, and needs 3.
-    ``n_chars`` counts the text that is left.
+    ``n_chars`` counts the text that is left. Null and empty texts stay, and so do rows with a null id, without their
+    shared lines; repeated rows keep or lose a line alike.
     """
     found = line_dedup(docs, min_sites=10, long_sites=3)
     left = found.filter((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
@@ -31,12 +36,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more.
+
+    It is the one with the smallest id. Null and empty texts have no shingles, are no copies, and all stay.
+    """
     return drop_near_copies(docs, k=5, num=8, den=10)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens. A null or empty text is its end token; repeated rows are packed each for itself."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
