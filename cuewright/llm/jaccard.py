@@ -27,6 +27,9 @@ from cuewright.llm.common import checkpointed, shuffle_partitions, small_batches
 from cuewright.llm.components import connected_components
 
 GROUPS = 64
+#: Groups of the vectors that bound a pair's overlap beside the tree: so many that few shingles of sets of a hundred share one by
+#: chance, and the pairs of documents with one passage in common, of which a bucket can have very many, are seen to be unlike.
+FINE = 512
 #: Ids up to this many are broadcast when the exact sets of candidates are read; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Points of a bucket that one R-tree holds; larger buckets are searched in blocks of this many.
@@ -112,8 +115,8 @@ def buckets(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def vector(shingles: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in 2**j groups by their first bits: ``GROUPS``, or about one group for four shingles of larger sets."""
-    bits = max(GROUPS.bit_length() - 1, len(shingles).bit_length() - 3)
+    """Counts of a set's shingles in 2**j groups by their first bits: ``FINE``, or about one group for four shingles of larger sets."""
+    bits = max(FINE.bit_length() - 1, len(shingles).bit_length() - 3)
     return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
 
 
