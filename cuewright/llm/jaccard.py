@@ -27,8 +27,8 @@ from cuewright.llm.common import checkpointed, shuffle_partitions, small_batches
 from cuewright.llm.components import connected_components
 
 GROUPS = 64
-#: Groups of the vectors that bound a pair's overlap beside the tree: so many that few shingles of sets of a hundred share one by
-#: chance, and the pairs of documents with one passage in common, of which a bucket can have very many, are seen to be unlike.
+#: Groups of the vectors that bound a pair's overlap for thresholds under 0.9. They leave room for the shingles that share a group by
+#: chance: with few groups all pairs of the documents with one passage in common, of which a bucket can have very many, would pass.
 FINE = 512
 #: Ids up to this many are broadcast when the exact sets of candidates are read; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -114,9 +114,9 @@ def buckets(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def vector(shingles: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles in 2**j groups by their first bits: ``FINE``, or about one group for four shingles of larger sets."""
-    bits = max(FINE.bit_length() - 1, len(shingles).bit_length() - 3)
+def vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Counts of a set's shingles in 2**j groups by their first bits: ``groups``, or about one group for four shingles of larger sets."""
+    bits = max(groups.bit_length() - 1, len(shingles).bit_length() - 3)
     return np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2")
 
 
@@ -162,7 +162,7 @@ class RTree:
         return self.order[at]
 
 
-def _points(k: int, seed: int):
+def _points(k: int, seed: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k, seed)
         for batch in batches:
@@ -173,7 +173,7 @@ def _points(k: int, seed: int):
                 n.append(len(s))
                 h1.append((x >> 64) - (1 << 63) if len(s) else None)
                 h2.append((x & ((1 << 64) - 1)) - (1 << 63))
-                vec.append(vector(s).tobytes())
+                vec.append(vector(s, groups).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(vec, pa.binary())], names=["doc_id", "n", "node", "check", "vec"])
 
     return run
@@ -289,7 +289,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small_batches(docs.sparkSession)
     for seed in range(16):
-        points = checkpointed(rows.mapInArrow(_points(k, seed), "doc_id long, n long, node long, check long, vec binary"))
+        points = checkpointed(rows.mapInArrow(_points(k, seed, GROUPS if 10 * num >= 9 * den else FINE), "doc_id long, n long, node long, check long, vec binary"))
         classes = checkpointed(
             points.filter(F.col("node").isNotNull())
             .groupBy("node")
