@@ -53,10 +53,10 @@ def rasterize(segs: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def level_mask(levels: DataFrame, fill: int = 12, least: int = 8) -> DataFrame:
-    """Frames (job_id, frame, db) above max(-42, p20 + max(6, 0.35 * (p90 - p20))), short gaps filled, short runs removed."""
+    """Frames (job_id, frame, db) of at least max(-42, p20 + max(6, 0.35 * (p90 - p20))), short gaps filled, short runs removed."""
     marks = levels.groupBy("job_id").agg(F.percentile("db", F.lit(0.2)).alias("p20"), F.percentile("db", F.lit(0.9)).alias("p90"))
     limit = F.greatest(F.lit(-42.0), F.col("p20") + F.greatest(F.lit(6.0), 0.35 * (F.col("p90") - F.col("p20"))))
-    mask = levels.join(marks, "job_id").select("job_id", "frame", (F.col("db") > limit).alias("active"))
+    mask = levels.join(marks, "job_id").select("job_id", "frame", F.coalesce(F.col("db") >= limit, F.lit(False)).alias("active"))  # silence has no level
     return remove_short_runs(fill_short_gaps(mask, fill), least)
 
 
