@@ -1,10 +1,17 @@
-"""Places of heard units in known text: a search that goes on from a cursor, as a fold over each job's units.
+"""Places of heard units in known text: a search that goes on from a cursor.
 
-The fold runs inside the JVM over the units of one job (a song) as an array; jobs are dealt over tasks.
+Each step begins where the one before ended, so a job's units go through one task, in time of a little more than their number: a
+positional index of the job's text gives every place of a key, in order, and a binary search the next one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +26,9 @@ def let(value: Column, body) -> Column:
 
 
 def locate(keys: Column, target: Column, back: int = 4, ahead: bool = True, only_forward: bool = False, strict: bool = False) -> Column:
-    """Where each of an array of keys stands in ``target``: struct(failed, spans), spans of (at, lo, hi), ``at`` the key's place in the array.
+    """Where each of a short array of keys stands in ``target``: struct(failed, spans), spans of (at, lo, hi), ``at`` the key's place in the array.
+
+    For the units of a line; those of a whole job go through ``find_all``, as each step here copies the spans so far.
 
     A key is looked for from the cursor on, else from ``back`` characters before it; ``ahead`` bounds that second search
     to max(64, four times the key) characters after the cursor. The cursor goes to the end of what was found
@@ -51,6 +60,57 @@ def locate(keys: Column, target: Column, back: int = 4, ahead: bool = True, only
     return F.aggregate(items, start, step, lambda state: F.struct(state["failed"].alias("failed"), state["spans"].alias("spans")))
 
 
+class Places:
+    """A positional index of a text: its places sorted by their first ``DEPTH`` letters, from which those of any key are found."""
+
+    DEPTH = 12
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+        rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64) + 1
+        for step in (1, 2, 3, 6):  # ranks by the first 2, 4, 7 and 13 letters
+            after = np.zeros_like(rank)
+            after[: max(0, len(rank) - step)] = rank[step:]
+            rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+        self.order = np.argsort(rank, kind="stable")
+
+    def of(self, key: str) -> list[int]:
+        """All places of a key, ascending; found once for each key."""
+        if (found := self.known.get(key)) is None:
+            n, text, order = min(len(key), self.DEPTH), self.text, self.order
+            head = key[:n]
+            low = bisect_left(order, head, key=lambda p: text[p : p + n])
+            high = bisect_left(order, True, lo=low, key=lambda p: text[p : p + n] != head)
+            found = np.sort(order[low:high]).tolist()
+            if len(key) > n:
+                found = [p for p in found if text.startswith(key, p)]
+            self.known[key] = found
+        return found
+
+    def next(self, key: str, low: int, high: int | None = None) -> int | None:
+        """The first place of ``key`` from ``low`` on that ends by ``high``."""
+        places = self.of(key)
+        k = bisect_left(places, low)
+        return places[k] if k < len(places) and (high is None or places[k] + len(key) <= high) else None
+
+
+def find_all(target: str, keys: list[str | None], back: int = 4, ahead: bool = True, only_forward: bool = False, strict: bool = False) -> tuple[list[int | None], int | None]:
+    """What ``locate`` says, as the place of each key (None: passed over) and the place in the list of the one that ended a ``strict`` search."""
+    index, cursor, found = Places(target), 0, []
+    for at, key in enumerate(keys):
+        place = None
+        if key:
+            place = index.next(key, cursor)
+            if place is None:
+                place = index.next(key, max(0, cursor - back), min(len(target), cursor + max(64, 4 * len(key))) if ahead else None)
+            if place is not None:
+                cursor = max(cursor, place + len(key)) if only_forward else place + len(key)
+            elif strict:
+                return found + [None] * (len(keys) - at), at
+        found.append(place)
+    return found, None
+
+
 def line_spans(lines: DataFrame, native: bool = False) -> DataFrame:
     """Lines (job_id, cue_idx, text) with their ``key`` and its range ``lo``, ``hi`` in the job's joined keys."""
     keyed = lines.withColumn("key", (match_key_native if native else match_key)(F.col("text")))
@@ -58,18 +118,31 @@ def line_spans(lines: DataFrame, native: bool = False) -> DataFrame:
 
 
 def unit_spans(lines: DataFrame, units: DataFrame, native: bool = False, **how) -> tuple[DataFrame, DataFrame]:
-    """Units found in the joined keys of their job's lines, with ``lo`` and ``hi``; and (job_id, failed_unit) of all jobs.
+    """Units found in the joined keys of their job's lines, with ``lo`` and ``hi``; and (job_id, failed_unit) of the jobs whose strict search failed.
 
-    ``lines`` come from ``line_spans``; ``how`` goes to ``locate``.
+    ``lines`` come from ``line_spans``; ``how`` goes to ``find_all``. A job's text and units are one row of one task.
     """
     ordered = lambda name, *columns: F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
     target = lines.groupBy("job_id").agg(ordered("all", "cue_idx", "key")).select("job_id", F.array_join(F.transform("all", lambda x: x["key"]), "").alias("target"))
     keyed = units.withColumn("key", (match_key_native if native else match_key)(F.col("text")))
     heard = keyed.groupBy("job_id").agg(ordered("units", "unit_idx", "key", "start", "end"))
-    found = target.join(heard, "job_id").withColumn("found", locate(F.transform("units", lambda u: u["key"]), F.col("target"), **how))
-    rows = found.select("job_id", "units", F.explode("found.spans").alias("span")).select("job_id", F.get("units", F.col("span.at")).alias("u"), "span.lo", "span.hi")
-    failed = found.select("job_id", F.get("units", F.col("found.failed"))["unit_idx"].alias("failed_unit"))
-    return rows.select("job_id", "u.unit_idx", "lo", "hi", "u.start", "u.end"), failed
+    kinds = dict(units.dtypes)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                items = batch.column("units").slice(row, 1).flatten()
+                places, failed = find_all(batch.column("target")[row].as_py(), items.field("key").to_pylist(), **how)
+                keep = [k for k, place in enumerate(places) if place is not None or k == failed]
+                lo = pa.array([places[k] for k in keep], pa.int32())
+                mine = items.take(pa.array(keep, pa.int64()))
+                hi = pc.add(lo, pc.utf8_length(mine.field("key")))
+                job = batch.column("job_id").take(pa.array([row] * len(keep), pa.int64()))
+                yield pa.RecordBatch.from_arrays([job, mine.field("unit_idx"), lo, hi.cast(pa.int32()), mine.field("start"), mine.field("end")], ["job_id", "unit_idx", "lo", "hi", "start", "end"])
+
+    schema = f"job_id {kinds['job_id']}, unit_idx {kinds['unit_idx']}, lo int, hi int, start {kinds['start']}, end {kinds['end']}"
+    rows = target.join(heard, "job_id").select("job_id", "target", "units").mapInArrow(found, schema)
+    return rows.filter("lo IS NOT NULL"), rows.filter("lo IS NULL").select("job_id", F.col("unit_idx").alias("failed_unit"))
 
 
 def strict_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:

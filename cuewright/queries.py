@@ -323,6 +323,47 @@ LINES = r"""parts AS (
     SELECT *, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS match_key FROM lines
 )"""
 
+#: Conversations as texts of a line a turn, their words as units (each ninth misheard), and the lines' keys joined.
+TURNS = r"""texts AS (
+    SELECT conv_id AS job_id, string_agg(translate(text, chr(10) || chr(13), '  '), chr(10) ORDER BY turn, text) AS text FROM conversations WHERE length(trim(text)) > 0 GROUP BY conv_id
+), raw AS (
+    SELECT job_id, generate_subscripts(ls, 1) AS pos, trim(regexp_replace(unnest(ls), '\s+', ' ', 'g')) AS text FROM (SELECT job_id, string_split(text, chr(10)) AS ls FROM texts)
+), lines AS (
+    SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY pos) - 1 AS cue_idx, text, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS key FROM raw WHERE text <> ''
+), spans AS (
+    SELECT *, sum(length(key)) OVER w - length(key) AS lo, sum(length(key)) OVER w AS hi FROM lines WINDOW w AS (PARTITION BY job_id ORDER BY cue_idx)
+), targets AS (SELECT job_id, string_agg(key, '' ORDER BY cue_idx) AS target FROM lines GROUP BY job_id
+), said AS (
+    SELECT job_id, generate_subscripts(ws, 1) - 1 AS unit_idx, unnest(ws) AS text FROM (SELECT job_id, regexp_split_to_array(text, '\s+') AS ws FROM texts)
+), units AS (
+    SELECT job_id, unit_idx, text, regexp_replace(replace(lower(CASE WHEN unit_idx % 9 = 8 THEN 'hm' ELSE text END), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS heard_key,
+        regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS key, unit_idx * 0.5::DOUBLE AS "start", unit_idx * 0.5::DOUBLE + 0.4::DOUBLE - (unit_idx % 3) * 0.1::DOUBLE AS "end" FROM said
+)"""
+
+
+def _search(units: str, key: str, name: str) -> str:
+    """A recursive table (job_id, unit_idx, lo, hi) of units looked for from a cursor, a unit of all jobs a round."""
+    return f"""{name} AS (
+    SELECT job_id, -1::BIGINT AS unit_idx, 0::BIGINT AS cursor, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM targets
+    UNION ALL
+    SELECT job_id, k, CASE WHEN place IS NULL THEN cursor ELSE place + n END, place, place + n FROM (
+        SELECT s.job_id, u.unit_idx AS k, s.cursor, length({key}) AS n, CASE WHEN {key} = '' THEN NULL WHEN strpos(substr(target, s.cursor + 1), {key}) > 0 THEN s.cursor + strpos(substr(target, s.cursor + 1), {key}) - 1
+            WHEN strpos(substr(target, greatest(0, s.cursor - 4) + 1, s.cursor + greatest(64, 4 * length({key})) - greatest(0, s.cursor - 4)), {key}) > 0
+            THEN greatest(0, s.cursor - 4) + strpos(substr(target, greatest(0, s.cursor - 4) + 1, s.cursor + greatest(64, 4 * length({key})) - greatest(0, s.cursor - 4)), {key}) - 1 END AS place
+        FROM {name} s JOIN {units} u ON u.job_id = s.job_id AND u.unit_idx = s.unit_idx + 1 JOIN targets t ON t.job_id = s.job_id)
+)"""
+
+
+def _cue_times(found: str, name: str) -> str:
+    """A table (job_id, cue_idx, start, end) of lines from the units that were found."""
+    return f"""{name} AS (
+    SELECT job_id, cue_idx, arg_min(a, unit_idx) AS "start", arg_max(b, unit_idx) AS "end" FROM (
+        SELECT c.job_id, c.cue_idx, f.unit_idx, u."start" + (greatest(c.lo, f.lo) - f.lo) * ((u."end" - u."start") / (f.hi - f.lo)) AS a, u."start" + (least(c.hi, f.hi) - f.lo) * ((u."end" - u."start") / (f.hi - f.lo)) AS b
+        FROM spans c JOIN {found} f ON f.job_id = c.job_id AND greatest(c.lo, f.lo) < least(c.hi, f.hi) JOIN units u ON u.job_id = f.job_id AND u.unit_idx = f.unit_idx)
+    GROUP BY ALL
+)"""
+
+
 EVIDENCE = """e AS (
     SELECT job_id, cue_idx, CASE WHEN cue_idx % 7 <> 6 THEN cue_idx * 3.0::DOUBLE + cue_idx % 7 * 0.2::DOUBLE END AS ms, CASE WHEN cue_idx % 7 <> 6 THEN cue_idx * 3.0::DOUBLE + 2.8::DOUBLE END AS me,
         cue_idx % 7 BETWEEN 2 AND 5 AS strong, CASE WHEN cue_idx % 3 <> 0 THEN cue_idx * 3.0::DOUBLE + 0.1::DOUBLE END AS ls, CASE WHEN cue_idx % 3 <> 0 THEN cue_idx * 3.0::DOUBLE + 2.5::DOUBLE END AS le,
@@ -480,6 +521,9 @@ SQL = {
         SELECT job_id, cue_idx, reverse, printf('%02d %-7s ASR %s G %s L %s%s | line %d', cue_idx + 1, CASE WHEN sim >= 0.84::DOUBLE THEN 'match' ELSE 'changed' END,
             CASE WHEN ms IS NULL THEN '-' ELSE printf('%7.2f-%7.2f', ms, me) END, CASE WHEN gs IS NULL THEN '-' ELSE printf('%7.2f-%7.2f', gs, ge) END,
             CASE WHEN ls IS NULL THEN '-' ELSE printf('%7.2f-%7.2f', ls, le) END, CASE WHEN reverse THEN ' REVERSE' ELSE '' END, cue_idx) AS line FROM r""",
+    "unit_places": f"""
+        WITH RECURSIVE {TURNS}, {_search("units", "u.heard_key", "found")}, {_cue_times("found", "timed")}
+        SELECT job_id, cue_idx, text, "start", "end" FROM lines LEFT JOIN timed USING (job_id, cue_idx)""",
     "activity_segments": """
         WITH m AS (
             SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value >= 30 AS active FROM events

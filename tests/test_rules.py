@@ -154,7 +154,40 @@ def test_locate(spark, back, ahead, forward, strict):
     df = spark.createDataFrame(rows, "target string, units array<string>")
     found = df.select("target", "units", locate.locate(F.col("units"), F.col("target"), back, ahead, forward, strict).alias("f")).collect()
     for r in found:
-        assert (r.f.failed, [(s["at"], s.lo, s.hi) for s in r.f.spans]) == fold(r.units, r.target, back, ahead, forward, strict)
+        want = fold(r.units, r.target, back, ahead, forward, strict)
+        assert (r.f.failed, [(s["at"], s.lo, s.hi) for s in r.f.spans]) == want
+        places, failed = locate.find_all(r.target, r.units, back, ahead, forward, strict)
+        assert (failed, [(at, lo, lo + len(r.units[at])) for at, lo in enumerate(places) if lo is not None]) == want
+
+
+def test_places_of_long_keys():
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab") for _ in range(3000)) + "é𝟘" * 40
+    index = locate.Places(text)
+    for _ in range(500):
+        at = rng.randrange(len(text))
+        key = text[at : at + rng.randint(1, 40)] + rng.choice(["", "", "b", "zz"])
+        want = [m.start() for m in re.finditer(f"(?={re.escape(key)})", text)]
+        assert index.of(key) == want
+        low, high = rng.randrange(len(text)), rng.choice([None, rng.randrange(len(text))])
+        assert (index.next(key, low, high) if index.next(key, low, high) is not None else -1) == text.find(key, low, len(text) if high is None else high)
+
+
+def test_units_of_one_long_job(spark):
+    """A job of 100,000 units, a fifth of them misheard: seconds, as no search runs to the end of the text."""
+    import time
+
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    words = [rng.choice(names) for _ in range(100_000)]
+    heard = [w + "zz" if rng.random() < 0.2 else w for w in words]
+    began = time.time()
+    places, _ = locate.find_all("".join(words), heard)
+    assert time.time() - began < 20 and sum(p is not None for p in places) > 20_000
+    lines = spark.createDataFrame([("one", i, " ".join(words[i : i + 10])) for i in range(0, 5000, 10)], "job_id string, cue_idx int, text string")
+    units = spark.createDataFrame([("one", i, w, i * 1.0, i + 0.5) for i, w in enumerate(words[:5000])], "job_id string, unit_idx int, text string, start double, end double")
+    rows = locate.strict_cues(lines, units, native=True).orderBy("cue_idx").collect()
+    assert [(r.start, r.end, r.status) for r in rows] == [(float(i), i + 9.5, "ok") for i in range(0, 5000, 10)]
 
 
 def test_cues_from_units(spark):
