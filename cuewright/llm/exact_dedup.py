@@ -26,17 +26,44 @@ class DigestIndex:
     """One row per digest seen so far: ``digest`` BINARY, ``keep_id`` BIGINT (the document that stays), ``batch`` STRING (which brought it).
 
     ``path`` lies in a folder all executors share; an existing index there is picked up again, in any
-    later session, with the bucket count it was made with.
+    later session, with the bucket count it was made with, which lies beside its data. Another count is refused, and so is
+    a folder with data and no count.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    #: The file of the bucket count; readers of tables pass over names with an underscore.
+    COUNT = "_buckets"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.buckets = buckets = self._buckets(buckets)
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _buckets(self, wanted: int | None) -> int:
+        """The index's own bucket count; a new index gets ``wanted``, or 64."""
+        if wanted is not None and wanted < 1:
+            raise ValueError("an index has at least one bucket")
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        file, fs = jvm.org.apache.hadoop.fs.Path(folder, self.COUNT), folder.getFileSystem(hadoop)
+        if not fs.exists(file):
+            if fs.exists(folder) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(folder)):
+                raise ValueError(f"{self.path} holds data, but no bucket count")
+            count = wanted or 64
+            out = fs.create(file, False)  # of two that make one index at once, one fails here
+            out.writeInt(count)
+            out.close()
+            return count
+        found = fs.open(file)
+        count = found.readInt()
+        found.close()
+        if wanted not in (None, count):
+            raise ValueError(f"{self.path} has {count} buckets, not {wanted}")
+        return count
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -37,7 +37,7 @@ INLINE = set(
     "a abbr acronym audio b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow mroot msqrt mstyle msub msubsup msup mtext nobr "
     "object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split()
 )
-SKIPPED = set("nav header footer aside form script style noscript template iframe svg button select option datalist menu dialog canvas embed textarea fieldset map head title".split())
+SKIPPED = set("nav header footer aside form script style noscript template iframe svg button select option datalist menu dialog canvas embed textarea head title".split())
 #: Words in class or id that mark what is not the article.
 BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
@@ -45,6 +45,9 @@ BOILERPLATE = set(
     "social footer header masthead comment comments disqus respond reply replies newsletter subscribe subscription signup login search pagination pager "
     "toolbar copyright hidden".split()
 )
+#: Those of them that an article may also be about, or be marked with in its own words.
+TOPICS = set("cookie cookies notice notices alert navigation menu menus related share sharing social footer header search copyright pagination banner login respond reply toolbar widget widgets".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: What stands beside an article that says so in its class: not a mark.
 MODIFIER = re.compile(r"(?<![a-z])(?:has|no|not|with|without)[-_]+[a-z]+")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -67,11 +70,14 @@ class Page:
         self.marked: list[bool] = []
         self.ranges: list[list[int]] = []
         self.scores: list[float] = []
-        self._stack: list[tuple[str, int, bool, int]] = []  # tag, container (-1: inline), skipped, the innermost container
+        self._stack: list[tuple[str, int, bool, int, bool]] = []  # tag, container (-1: inline), skipped, the innermost container, inline and marked
         self._open_tags: Counter[str] = Counter()
         self._around: list[tuple[int, int, int]] = []  # the container of a block, the two that it scores
         self._text: list[str] = []
+        self._aside: list[int] = []  # places in _text that a marked inline tag holds
         self._linked = 0
+        self._slugs: dict[int, str] = {}  # containers whose id may be a heading's: the id, until their first heading
+        self._topics: set[int] = set()  # those whose first heading says the same
         self._parse(source)
         self._settle()
 
@@ -106,6 +112,8 @@ class Page:
 
     def _add(self, text: str) -> None:
         if text and not (self._stack and self._stack[-1][2]):
+            if self._stack and self._stack[-1][4]:
+                self._aside.append(len(self._text))
             self._text.append(html.unescape(text))
             if self._open_tags["a"]:
                 self._linked += len(text)
@@ -115,7 +123,16 @@ class Page:
         return self._stack[-1][3] if self._stack else -1
 
     def _flush(self) -> None:
+        if self._aside:  # a marked word stays inside a sentence, and goes where it begins or ends most of the block
+            sizes = [len(t.strip()) for t in self._text]
+            marked, first, last = sum(sizes[k] for k in self._aside), self._aside[0], self._aside[-1]
+            if 2 * marked > sum(sizes) and not (any(sizes[:first]) and any(sizes[last + 1 :])):
+                for k in self._aside:
+                    self._text[k] = " "
+            self._aside = []
         text = " ".join("".join(self._text).split())
+        if text and self._slugs:
+            self._heading(text)
         if text:
             weight = len(text) * max(0.0, 1 - self._linked / len(text)) + 20 * text.count(",")
             inner = self._inner()
@@ -125,10 +142,23 @@ class Page:
             self.weights.append(weight)
         self._text, self._linked = [], 0
 
+    def _heading(self, text: str) -> None:
+        """The first block of a container whose id may come from its heading: a section on cookies is no notice of them."""
+        c = self._inner()
+        is_heading = c >= 0 and self.tags[c] in HEADINGS
+        while c >= 0:
+            if (slug := self._slugs.pop(c, None)) is not None and is_heading and "".join(re.findall(r"\w+", text.lower())) == slug:
+                self._topics.add(c)
+            c = self.parents[c]
+
     def _settle(self) -> None:
         """Drop the blocks in marked containers, but for those that hold the article, and score the rest."""
         weigh = [0.0, *itertools.accumulate(self.weights)]
         mass = [weigh[stop] - weigh[start] for start, stop in self.ranges]
+        for c in self._topics:  # prose under its own heading; lists of links weigh next to nothing
+            start, stop = self.ranges[c]
+            if 2 * mass[c] > sum(map(len, self.blocks[start:stop])) and sum(b.count(" ") for b in self.blocks[start:stop]) >= 20:
+                self.marked[c] = False
         if any(self.marked):
             near: list[int] = []  # the marked container at or next above each
             for c, up in enumerate(self.parents):
@@ -174,20 +204,24 @@ class Page:
         found = {a.lower(): html.unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         marks = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()
         tokens = set(re.findall(r"[a-z]+", MODIFIER.sub(" ", marks)))
-        marked = bool(tokens & BOILERPLATE) and tag not in ("html", "body", "main")
+        marks = tokens & BOILERPLATE if tag not in ("html", "body", "main") and tag not in HEADINGS else set()
+        within = bool(self._open_tags["article"] or self._open_tags["main"])
+        if tag == "p" and within and marks <= TOPICS - {"cookie", "cookies", "share", "sharing", "social", "pagination"}:
+            marks = set()
+        marked = bool(marks)
         hides = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        skipped = tag in SKIPPED or hides or found.get("role", "").lower() in ROLES or (marked and tag in INLINE)
+        skipped = tag in SKIPPED or hides or found.get("role", "").lower() in ROLES
         skipped = skipped or bool(self._stack and self._stack[-1][2])
         if tag in INLINE:
             self._open_tags[tag] += 1
-            self._stack.append((tag, -1, skipped, self._inner()))
+            self._stack.append((tag, -1, skipped, self._inner(), marked or bool(self._stack and self._stack[-1][4])))
             return
         self._flush()
         if self._open_tags["p"]:
             self._close("p")
         if tag in CLOSES and any(self._open_tags[t] for t in CLOSES[tag][0]):
             closed, barrier = CLOSES[tag]
-            for t, _, _, _ in reversed(self._stack):
+            for t, *_ in reversed(self._stack):
                 if t in barrier:
                     break
                 if t in closed:
@@ -206,7 +240,9 @@ class Page:
         self.ranges.append([len(self.blocks), -1])
         self.scores.append(0.0)
         self._open_tags[tag] += 1
-        self._stack.append((tag, len(self.paths) - 1, skipped, len(self.paths) - 1))
+        self._stack.append((tag, len(self.paths) - 1, skipped, len(self.paths) - 1, False))
+        if marked and within and tag in ("section", "div") and marks <= TOPICS and not set(re.findall(r"[a-z]+", found.get("class", "").lower())) & BOILERPLATE:
+            self._slugs[len(self.paths) - 1] = "".join(re.findall(r"\w+", found.get("id", "").lower()))
         if tag in ("article", "main") or tokens & LIKELY:
             self.scores[-1] += 0.001
 
@@ -220,8 +256,8 @@ class Page:
                     while len(self._stack) > i:
                         self._pop()
                 else:  # only inline tags may be left open below
-                    if all(t in INLINE for t, _, _, _ in self._stack[i:]):
-                        self._open_tags.subtract(t for t, _, _, _ in self._stack[i:])
+                    if all(t in INLINE for t, *_ in self._stack[i:]):
+                        self._open_tags.subtract(t for t, *_ in self._stack[i:])
                         del self._stack[i:]
                 return
             if tag in INLINE and self._stack[i][0] not in INLINE:
@@ -229,7 +265,7 @@ class Page:
 
     def _pop(self) -> None:
         self._flush()
-        tag, c, _, _ = self._stack.pop()
+        tag, c, *_ = self._stack.pop()
         self._open_tags[tag] -= 1
         if c >= 0:
             self.ranges[c][1] = len(self.blocks)

@@ -480,6 +480,66 @@ def test_pages_keep_whole_articles(spark):
         assert whole in got and got.removeprefix("Teaser. ") == whole
 
 
+PROSE = "Words that speak of it at some length, and then of the rest. " * 4
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<h2 id="cookies">Cookies</h2>', "Cookies"),
+        ('<h2 id="search">Search</h2><p>How it works.</p>', "Search How it works."),
+        (f'<section id="related-work"><h2>Related work</h2><p>{PROSE}</p></section>', f"Related work {PROSE.strip()}"),
+        (f'<div id="social-media"><h3>Social media</h3><p>{PROSE}</p></div>', f"Social media {PROSE.strip()}"),
+        ('<p>An <em class="notice">important</em> word.</p>', "An important word."),
+        ('<p>Of <span class="search">engines</span> and <a class="related" href="x">others</a> too.</p>', "Of engines and others too."),
+        ('<p class="copyright">Rights of the author are named here.</p>', "Rights of the author are named here."),
+        ("<fieldset><legend>Group</legend><p>of fields</p></fieldset>", "Group of fields"),
+        ('<map name="m"><area href="x"></map>', ""),
+        # and what is none of the article
+        (f'<section id="related-posts"><h2>Related posts</h2>{"<a href=x>One of the other posts of this site</a> " * 9}</section>', ""),
+        (f'<section id="comments"><h2>Comments</h2><p>{PROSE}</p></section>', ""),
+        (f'<section id="cookies" class="cookie-notice"><h2>Cookies</h2><p>{PROSE}</p></section>', ""),
+        (f'<section id="related-work"><h2>More</h2><p>{PROSE}</p></section>', ""),
+        ('<p><span class="ad">Buy this now</span></p>', ""),
+        ('<p><span class="share">Share this on the net</span> now</p>', "now"),
+        ('<p class="ad">Buy.</p>', ""),
+        ('<p>Seen. <span hidden>Not seen.</span></p>', "Seen."),
+    ],
+)
+def test_pages_keep_words_marked_by_chance(inside, kept):
+    page = f"<body><nav>n</nav><article><h1>T</h1><p>{BODY}</p>{inside}<p>{BODY}</p></article><footer>f</footer></body>"
+    assert html_extract.extract(page, None) == " ".join(["T", BODY.strip(), *([kept] if kept else []), BODY.strip()])
+
+
+def test_pages_keep_headings_with_any_id():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = rng.sample(["Cookies", "search", "related", "Menu", "of", "the", "sidebar", "ad", "header", "shares", "comments"], rng.randint(1, 4))
+        title, level = " ".join(words), rng.randint(1, 6)
+        page = f'<main><p>{BODY}</p><h{level} id="{"-".join(words).lower()}">{title}</h{level}><p>{BODY}</p></main>'
+        assert html_extract.extract(page, None) == f"{BODY.strip()} {title} {BODY.strip()}"
+
+
+def test_index_keeps_its_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    first = DigestIndex(spark, path, 4)
+    assert sum(r.kept for r in first.ingest(docs).collect()) == 50
+    spark.sql(f"DROP TABLE {first.table}")  # as in a later session, whose catalogue does not know it
+    for wrong in (64, 3):
+        with pytest.raises(ValueError, match="4 buckets"):
+            DigestIndex(spark, path, wrong)
+    for buckets in (None, 4):
+        again = DigestIndex(spark.newSession(), path, buckets)
+        assert again.buckets == 4 and sum(r.kept for r in again.ingest(docs).collect()) == 0 and again.rows().count() == 50
+        spark.sql(f"DROP TABLE IF EXISTS {again.table}")
+    (tmp_path / "index" / DigestIndex.COUNT).unlink()
+    with pytest.raises(ValueError, match="no bucket count"):
+        DigestIndex(spark, path)
+    with pytest.raises(ValueError, match="at least one"):
+        DigestIndex(spark, path, 0)
+
+
 def test_pages_of_any_depth_and_columns_of_any_name(spark):
     deep = "<div>" * 30_000 + "deep text, here" + "</div>" * 30_000
     docs = spark.createDataFrame(
