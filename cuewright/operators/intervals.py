@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.operators.scan import scan
+
 #: Characters of a slice.
 SLICE = 256
 
 
 def char_spans(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """Adds ``lo`` and ``hi``: the range of the row's key in the job's joined keys."""
-    w = Window.partitionBy("job_id").orderBy(order)
-    n = F.char_length(key)
-    return rows.withColumn("hi", F.sum(n).over(w)).withColumn("lo", F.col("hi") - n)
+    n = F.char_length(key).cast("long")
+    return scan(rows, order, hi=("sum", n)).withColumn("lo", F.col("hi") - n)
 
 
 def _slices(rows: DataFrame, lo: str, hi: str) -> DataFrame:

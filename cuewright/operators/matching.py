@@ -1,73 +1,18 @@
-"""Known lines against heard units: character alignment and the match table.
+"""Known lines against heard units: the match table.
 
-The alignment is sequential within a job and runs as one Arrow-fed kernel for each; a job is one text with its units.
+The lines' keys and the units' keys of a job are aligned letter by letter (``pathways``); what the pairs say of each line is joins and sums.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from difflib import SequenceMatcher
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MATCH, MISMATCH, GAP = 3, -2, -2
-MATCHES = (
-    "job_id long, cue_idx int, source_text string, transcript_text string, start double, end double, "
-    "similarity double, coverage double, exact_characters int, status string"
-)
-
-
-def key_of(text: str | None) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text or "").casefold() if c.isalnum())
-
-
-def align(source: str, heard: str) -> np.ndarray:
-    """For each source character the place of its partner in ``heard``, or -1.
-
-    Global in ``source``; what ``heard`` has before and after is free. Of equal ways a pair comes before a gap in
-    ``heard``, and that before one in ``source``. A row is one pass: gaps within it are a running maximum. Only each
-    r-th row is kept, r the root of the number of rows; on the way back the moves of r rows at a time are found again, so memory
-    grows with that root times the length of ``heard``.
-    """
-    s, h = (np.array([ord(c) for c in x], np.int64) for x in (source, heard))
-    drift = -GAP * np.arange(len(h) + 1)
-
-    def advance(row: np.ndarray, c: int, moves: np.ndarray | None = None) -> np.ndarray:
-        up, pair = row + GAP, row[:-1] + np.where(h == c, MATCH, MISMATCH)
-        best = up.copy()
-        np.maximum(best[1:], pair, out=best[1:])
-        after = np.maximum.accumulate(best + drift) - drift
-        if moves is not None:
-            moves[:] = 2
-            moves[up == after] = 1
-            moves[1:][pair == after[1:]] = 0
-        return after
-
-    block = max(1, int(len(s) ** 0.5))
-    row, kept = np.zeros(len(h) + 1, np.int64), []
-    for i, c in enumerate(s):
-        if i % block == 0:
-            kept.append(row.astype(np.int32))
-        row = advance(row, c)
-    out, i, j = np.full(len(s), -1, np.int64), len(s) - 1, int(row.argmax())
-    while i >= 0:
-        first = i // block * block
-        moves, row = np.empty((i - first + 1, len(h) + 1), np.uint8), kept[first // block].astype(np.int64)
-        for k, c in enumerate(s[first : i + 1]):
-            row = advance(row, c, moves[k])
-        while i >= first:
-            move = moves[i - first, j]
-            if move == 0 and j:
-                out[i] = j - 1
-                i, j = i - 1, j - 1
-            elif move == 1 or not j:
-                i -= 1
-            else:
-                j -= 1
-    return out
+from cuewright.functions.text import match_key, match_key_native
+from cuewright.operators.intervals import char_spans
+from cuewright.operators.pathways import paths
+from cuewright.operators.similarity import similarity
+from cuewright.sources.tables import stored
 
 
 def status_of(similarity: Column, coverage: Column) -> Column:
@@ -80,46 +25,62 @@ def usable(similarity: float = 0.48, coverage: float = 0.45) -> Column:
     return timed & (F.col("exact_characters") >= 2) & (F.col("similarity") >= similarity) & (F.col("coverage") >= coverage)
 
 
-def _job(cues: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
-    cues, units = cues.sort_values("cue_idx"), units.sort_values("unit_idx")
-    keys, heard = [key_of(t) for t in cues["text"]], [key_of(t) for t in units["text"]]
-    texts = [(t or "").strip() for t in units["text"]]
-    sizes = np.array([len(k) for k in heard], np.int64)
-    owner = np.repeat(np.arange(len(heard)), sizes)
-    joined_heard, source = "".join(heard), "".join(keys)
-    found = align(source, joined_heard) if source and joined_heard else None
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begin, length = units["start"].to_numpy(float), np.maximum(0.0, units["end"].to_numpy(float) - units["start"].to_numpy(float))
-    rows, at = [], 0
-    for job, idx, text, key in zip(cues["job_id"], cues["cue_idx"], cues["text"], keys, strict=True):
-        base = (job, idx, text)
-        if found is None:
-            rows.append((*base, "", None, None, 0.0, 0.0, 0, "missing"))
-            continue
-        mine = found[at : at + len(key)]
-        exact = sum(c == joined_heard[m] for c, m in zip(key, mine, strict=True) if m >= 0)
-        at, mine = at + len(key), mine[mine >= 0]
-        if not len(mine):
-            rows.append((*base, "", None, None, 0.0, 0.0, 0, None))
-            continue
-        a, b = int(mine.min()), int(mine.max())
-        first, last = owner[a], owner[b]
-        start = begin[first] + length[first] * within[a] / sizes[first]
-        end = begin[last] + length[last] * (within[b] + 1) / sizes[last]
-        ratio = SequenceMatcher(None, key, "".join(heard[first : last + 1])).ratio()
-        rows.append((*base, " ".join(t for t in texts[first : last + 1] if t), start, end, ratio, len(mine) / len(key), exact, None))
-    return pd.DataFrame(rows, columns=["job_id", "cue_idx", "source_text", "transcript_text", "start", "end", "similarity", "coverage", "exact_characters", "status"])
-
-
-def match_lines(cues: DataFrame, units: DataFrame) -> DataFrame:
+def _keyed(rows: DataFrame, order: str, native: bool) -> DataFrame:
+    key = (match_key_native if native else match_key)(F.coalesce("text", F.lit("")))
+    return char_spans(rows.withColumn("key", key), F.col("key"), order)
+
+
+def _joined(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """(job_id, name): a job's keys in order, as one text."""
+    keys = F.sort_array(F.collect_list(F.struct(order, "key")))
+    return rows.groupBy("job_id").agg(F.array_join(F.transform(keys, lambda x: x["key"]), "").alias(name))
+
+
+def letters(units: DataFrame) -> DataFrame:
+    """A row for each letter of units' keys (lo, hi): its place ``j``, and its share of the unit's time from ``a`` to ``b``."""
+    some = units.filter(F.col("hi") > F.col("lo")).withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)))
+    at, width, seconds = F.col("j") - F.col("lo"), F.col("hi") - F.col("lo"), F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
+    return some.withColumns({"a": F.col("start") + seconds * at / width, "b": F.col("start") + seconds * (at + 1) / width})
+
+
+def match_lines(cues: DataFrame, units: DataFrame, native: bool = False, tile: int | None = None) -> DataFrame:
     """The match table of cues (job_id, cue_idx, text) and units (job_id, unit_idx, text, start, end).
 
-    A job without any source or heard characters has only lines of status ``missing``. Units of no cue's job are left out.
+    A line's heard text is that of all units from the first to the last that one of its letters met. A line that met none is weak; a
+    job without any source or heard letters has only lines of status ``missing``. Units of no cue's job are left out. ``job_id`` may have any type.
     """
-    left = cues.select("job_id", F.col("cue_idx").cast("int").alias("cue_idx"), "text").groupBy("job_id")
-    right = units.select("job_id", "unit_idx", "text", "start", "end").groupBy("job_id")
-    rows = left.cogroup(right).applyInPandas(_job, MATCHES)
-    return rows.withColumn("status", F.coalesce("status", status_of(F.col("similarity"), F.col("coverage"))))
+    key = ["job_id", "cue_idx"]
+    lines = stored(_keyed(cues.select("job_id", F.col("cue_idx").cast("int").alias("cue_idx"), "text"), "cue_idx", native))
+    heard = stored(_keyed(units.select("job_id", "unit_idx", "text", "start", "end"), "unit_idx", native))
+    jobs = stored(_joined(lines, "cue_idx", "source").join(_joined(heard, "unit_idx", "heard"), "job_id"))
+    pairs = paths(jobs, tile)
+    owned = lines.filter(F.col("hi") > F.col("lo")).select(*key, F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)).alias("i"))
+    met = pairs.join(owned, ["job_id", "i"]).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("mapped"), F.sum(F.col("same").cast("int")).cast("int").alias("exact_characters"), F.min("j").alias("first"), F.max("j").alias("last")
+    )
+    place = letters(heard).select("job_id", "j", "unit_idx", "a", "b")
+    side = lambda c, *columns: place.select("job_id", F.col("j").alias(c), *columns)
+    met = met.join(side("first", F.col("unit_idx").alias("u0"), F.col("a").alias("start")), ["job_id", "first"]).join(side("last", F.col("unit_idx").alias("u1"), F.col("b").alias("end")), ["job_id", "last"])
+    met = stored(met)
+    # Ranges of following lines follow each other, so a unit is in two of them at most.
+    ranged = met.select(*key, F.explode(F.sequence("u0", "u1")).alias("unit_idx")).join(heard.select("job_id", "unit_idx", "text", "key"), ["job_id", "unit_idx"])
+    said = ranged.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.trim("text").alias("text"), F.col("key").alias("k")))).alias("all"))
+    texts = F.filter(F.transform("all", lambda x: F.coalesce(x["text"], F.lit(""))), lambda t: t != "")
+    said = said.select(*key, F.array_join(texts, " ").alias("transcript_text"), F.array_join(F.transform("all", lambda x: x["k"]), "").alias("heard"))
+    known = jobs.select("job_id", ((F.col("source") != "") & (F.col("heard") != "")).alias("compared"))
+    rows = lines.join(met.drop("u0", "u1", "first", "last"), key, "left").join(said, key, "left").join(known, "job_id", "left")
+    found = F.col("mapped").isNotNull()
+    zero = F.lit(0.0)
+    rows = rows.withColumns(
+        {
+            "similarity": F.when(found, similarity(F.col("key"), F.col("heard"))).otherwise(zero),
+            "coverage": F.when(found, F.col("mapped") / F.char_length("key")).otherwise(zero),
+            "exact_characters": F.coalesce("exact_characters", F.lit(0)),
+            "transcript_text": F.coalesce("transcript_text", F.lit("")),
+        }
+    )
+    status = F.when(F.coalesce("compared", F.lit(False)), status_of(F.col("similarity"), F.col("coverage"))).otherwise("missing")
+    return rows.select(*key, F.col("text").alias("source_text"), "transcript_text", "start", "end", "similarity", "coverage", "exact_characters", status.alias("status"))
 
 
 def partial_span(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.operators.quantiles import quantiles
+from cuewright.operators.scan import scan
+
 #: Seconds of a slice.
 SLICE = 16.0
 
@@ -53,9 +56,10 @@ def phrase_end(points: DataFrame, segs: DataFrame, search: float = 12.0, bridge:
 def unit_gaps(units: DataFrame, least: float = 0.02) -> DataFrame:
     """(job_id, largest_gap, typical_gap): the largest silence between neighbours, and the median of those over
     ``least`` where there are three or more, else 0."""
-    gap = F.greatest(F.lit(0.0), F.lead("start").over(Window.partitionBy("job_id").orderBy("unit_idx")) - F.col("end"))
-    gaps = units.select("job_id", F.when(F.lead("start").over(Window.partitionBy("job_id").orderBy("unit_idx")).isNotNull(), gap).alias("gap"))
-    wide = F.when(F.col("gap") > least, F.col("gap"))
-    return gaps.groupBy("job_id").agg(
-        F.coalesce(F.max("gap"), F.lit(0.0)).alias("largest_gap"), F.when(F.count(wide) >= 3, F.percentile(wide, F.lit(0.5))).otherwise(0.0).alias("typical_gap")
-    )
+    after = F.col("_after")
+    rows = scan(units, "unit_idx", _after=("lead", F.col("start")))
+    gaps = rows.select("job_id", F.when(after.isNotNull(), F.greatest(F.lit(0.0), after - F.col("end"))).alias("gap"))
+    wide = gaps.withColumn("gap", F.when(F.col("gap") > least, F.col("gap")))
+    largest = gaps.groupBy("job_id").agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("largest_gap"), F.count(F.when(F.col("gap") > least, 1)).alias("_k"))
+    typical = F.when(F.col("_k") >= 3, F.col("_middle")).otherwise(0.0).alias("typical_gap")
+    return largest.join(quantiles(wide, "gap", _middle=0.5), "job_id").select("job_id", "largest_gap", typical)

@@ -1,4 +1,4 @@
-"""Cue timing rules. Tables have job_id, cue_idx, start, end; one window specification serves each rule."""
+"""Cue timing rules. Tables have job_id, cue_idx, start, end. Neighbours and running values come from ``scan``, so a long job fills many tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import SENTENCE_END, match_key_native
+from cuewright.operators.scan import scan
+from cuewright.sources.tables import stored
 
 
 def by_job():
@@ -16,23 +18,26 @@ def by_job():
 
 def even_slots(cues: DataFrame, duration: str = "duration") -> DataFrame:
     """Cue i of n gets [i * d / n, min(d, (i + 1) * d / n)]."""
-    n, d, i = F.count(F.lit(1)).over(Window.partitionBy("job_id")), F.col(duration), F.row_number().over(by_job()) - 1
-    return cues.withColumns({"start": i * d / n, "end": F.least(d, (i + 1) * d / n)})
+    one, d = F.lit(1).cast("long"), F.col(duration)
+    rows = scan(cues, "cue_idx", _n=("total", one), _i=("sum", one))
+    n, i = F.col("_n"), F.col("_i") - 1
+    return rows.withColumns({"start": i * d / n, "end": F.least(d, (i + 1) * d / n)}).drop("_n", "_i")
 
 
 def bound_overlaps(cues: DataFrame) -> DataFrame:
     """A cue ends where the next one starts, if that is earlier, but not before its own start."""
-    after = F.lead("start").over(by_job())
-    return cues.withColumn("end", F.when(F.col("end") > after, F.greatest("start", after)).otherwise(F.col("end")))
+    after = F.col("_after")
+    rows = scan(cues, "cue_idx", _after=("lead", F.col("start")))
+    return rows.withColumn("end", F.when(F.col("end") > after, F.greatest("start", after)).otherwise(F.col("end"))).drop("_after")
 
 
 def polish(cues: DataFrame, lead: float = 0.08, pad: float = 0.3, shortest: float = 0.5, gap: float = 0.02) -> DataFrame:
     """Earlier starts, padded ends, a least length, and a gap before the next start."""
     early = cues.withColumn("_start", F.greatest(F.lit(0.0), F.col("start") - lead))
-    after = F.lead("_start").over(by_job())
+    early, after = scan(early, "cue_idx", _after=("lead", F.col("_start"))), F.col("_after")
     want = F.greatest(F.col("end") + pad, F.col("_start") + shortest)
     end = F.when(after.isNull(), want).otherwise(F.least(want, F.greatest(F.col("_start"), after - gap)))
-    return early.withColumn("end", end).withColumn("start", F.col("_start")).drop("_start")
+    return early.withColumn("end", end).withColumn("start", F.col("_start")).drop("_start", "_after")
 
 
 def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shortest: float = 0.5, longest: float = 10.0, gap: float = 0.08) -> DataFrame:
@@ -46,25 +51,29 @@ def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shorte
     long = (F.col("end") - F.col("start") > longest) if longest > 0 else F.lit(False)
     rows = cues.withColumns({"_voice": heard("vocal_end", "end"), "_long": long})
     early = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), F.col("start"), heard("acoustic_start", "start")) - lead)
-    trusted_before = F.lag(F.when(~F.col("_long"), F.col("end"))).over(by_job())
-    rows = rows.withColumn("_shown", F.greatest(early, trusted_before))  # greatest passes over nulls
-    rows = rows.withColumns({"_trusted": F.when(F.col("_long"), F.col("_shown")).otherwise(F.col("end")), "_next": F.lead("_shown").over(by_job())})
+    # What shows the next cue is its own early start and this cue's trusted end, so neighbours say all.
+    own_end = F.when(~F.col("_long"), F.col("end"))
+    rows = scan(rows.withColumn("_early", early), "cue_idx", _before=("lag", own_end), _after=("lead", F.col("_early")))
+    rows = rows.withColumn("_shown", F.greatest("_early", "_before"))  # greatest passes over nulls
+    following = F.when(F.col("_after").isNotNull(), F.greatest(F.col("_after"), own_end))
+    rows = rows.withColumns({"_trusted": F.when(F.col("_long"), F.col("_shown")).otherwise(F.col("end")), "_next": following})
     want = F.greatest("_trusted", "_voice") + hold
     if longest > 0:
         want = F.greatest(F.least(want, F.col("_shown") + longest), "_voice")
     blank = F.when(F.col("_next") - F.col("_trusted") >= gap, gap).otherwise(0.0)
     boundary = F.greatest("_shown", F.col("_next") - blank)
     end = F.least(F.greatest(want, F.col("_shown") + shortest), F.when(F.col("_next").isNotNull(), boundary))
-    return rows.withColumn("end", F.greatest("_shown", end)).withColumn("start", F.col("_shown")).drop("_voice", "_long", "_shown", "_trusted", "_next")
+    return rows.withColumn("end", F.greatest("_shown", end)).withColumn("start", F.col("_shown")).drop("_voice", "_long", "_early", "_before", "_after", "_shown", "_trusted", "_next")
 
 
 def reject_out_of_order(cues: DataFrame, source: str = "source_idx", slack: float = 0.25) -> DataFrame:
     """Adds ``rejected``: a run of cues of one source whose first cue starts ``slack`` before the first cue of any earlier run."""
-    first = F.when(F.lag(F.struct(source)).over(by_job()).eqNullSafe(F.struct(source)), None).otherwise(F.col("start"))
-    rows = cues.withColumn("_first", first)
-    latest = F.max("_first").over(by_job().rowsBetween(Window.unboundedPreceding, -1))
-    late = F.when(F.col("_first").isNotNull(), F.col("_first") < F.coalesce(latest, F.lit(-1.0)) - slack)
-    return rows.withColumn("_late", late).withColumn("rejected", F.last("_late", True).over(by_job())).drop("_first", "_late")
+    rows = stored(scan(cues, "cue_idx", _source=("lag", F.struct(F.col(source).alias("s")))))
+    leads = F.col("_source").isNull() | ~F.col("_source.s").eqNullSafe(F.col(source))
+    leaders = scan(rows.filter(leads).select("job_id", "cue_idx", "start"), "cue_idx", _latest=("max_before", F.col("start")))
+    late = leaders.select("job_id", "cue_idx", (F.col("start") < F.coalesce("_latest", F.lit(-1.0)) - slack).alias("_late"))
+    judged = stored(rows.drop("_source").join(late, ["job_id", "cue_idx"], "left"))
+    return scan(judged, "cue_idx", rejected=("last", F.col("_late"))).drop("_late")
 
 
 def merge_wrapped(cues: DataFrame, preferred: int = 30, most_gap: float = 0.15) -> DataFrame:

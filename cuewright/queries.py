@@ -73,7 +73,7 @@ def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = activity.runs(activity.remove_short_runs(activity.fill_short_gaps(_mask(spark, sf_dir), 1), 2))
+    runs = activity.drop_short(activity.fill_gaps(activity.runs(_mask(spark, sf_dir)), 1), 2)
     return runs.filter("active").select("job_id", "first", "last", "n")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import CUT_AFTER, SENTENCE_END, cut_lines
-from cuewright.operators import activity, evidence, locate, matching, onsets, segments, timing
+from cuewright.operators import activity, evidence, locate, matching, onsets, pathways, segments, timing
 from cuewright.plans import diagnostics
 from cuewright.plans.align import Policy, align, with_activity
 from cuewright.plans.demo import render_srt
@@ -440,4 +440,4 @@ def test_blocks_of_alignment():
 
     for _ in range(150):
         s, h = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(2))
-        assert matching.align(s, h).tolist() == slow(s, h)
+        assert pathways.align(s, h).tolist() == slow(s, h)
