@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.intervals import prefer
 from cuewright.operators.locate import strict_cues
+from cuewright.operators.meeting import meeting
+from cuewright.operators.onsets import SLICE
 
 #: Columns of ``adjustments`` and where they come from.
 TIMES = {
@@ -137,7 +139,7 @@ def windows_to_cues(windows: DataFrame, segments: DataFrame, native: bool = Fals
     loose = loose.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("seg_idx", "k")) - 1).alias("unit_idx"), "u.text", "u.start", "u.end")
     found = strict_cues(other, loose, native).filter("status = 'ok'").select("job_id", "cue_idx", "start", "end")
     times = found.select("job_id", "cue_idx", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    met = loose.join(times, "job_id").filter((F.col("end") >= F.col("_a")) & (F.col("start") <= F.col("_b")))
+    met = meeting(loose, times, ("start", "end"), ("_a", "_b"), SLICE)
     return cues.unionByName(found), zipped.unionByName(met.select(*zipped.columns))
 
 

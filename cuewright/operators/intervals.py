@@ -1,13 +1,14 @@
-"""Character spans and interval-overlap joins. Joins meet on the job and a slice of characters, so a long job is no product."""
+"""Character spans and interval-overlap joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.operators.meeting import meeting
 from cuewright.operators.scan import scan
 
-#: Characters of a slice.
+#: Characters of the smallest blocks on which spans meet.
 SLICE = 256
 
 
@@ -17,15 +18,10 @@ def char_spans(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return scan(rows, order, hi=("sum", n)).withColumn("lo", F.col("hi") - n)
 
 
-def _slices(rows: DataFrame, lo: str, hi: str) -> DataFrame:
-    return rows.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(lo) / SLICE), F.floor(F.greatest(F.col(lo), F.col(hi) - 1) / SLICE))))
-
-
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of spans lo, hi and ulo, uhi of a job with a character in common, each once: in the slice where that begins."""
-    pairs = _slices(left, "lo", "hi").join(_slices(right, "ulo", "uhi"), ["job_id", "_slice"])
-    low = F.greatest("lo", "ulo")
-    return pairs.filter((low < F.least("hi", "uhi")) & (F.floor(low / SLICE) == F.col("_slice"))).drop("_slice")
+    """Pairs of spans lo, hi and ulo, uhi of a job with a character in common, each once."""
+    last = {"_last": F.col("hi") - 1}, {"_ulast": F.col("uhi") - 1}
+    return meeting(left.withColumns(last[0]), right.withColumns(last[1]), ("lo", "_last"), ("ulo", "_ulast"), SLICE).drop("_last", "_ulast")
 
 
 def overlap_times(cues: DataFrame, units: DataFrame) -> DataFrame:

@@ -1,26 +1,22 @@
-"""Points in time against activity segments, and gaps between units. Joins meet on the job and a slice of time, so one
-job with many points is dealt over many tasks."""
+"""Points in time against activity segments, and gaps between units."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.operators.meeting import meeting
 from cuewright.operators.quantiles import quantiles
 from cuewright.operators.scan import scan
 
-#: Seconds of a slice.
+#: Seconds of the smallest blocks on which points and segments meet.
 SLICE = 16.0
 
 
-def _slices(low: Column, high: Column) -> Column:
-    return F.explode(F.sequence(F.floor(low / SLICE), F.floor(high / SLICE)))
-
-
 def _met(points: DataFrame, segs: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Pairs of a point and a segment whose slices meet; a pair may come more than once."""
-    left = points.select("job_id", "cue_idx", "at").withColumn("_slice", _slices(low, high))
-    return left.join(segs.withColumn("_slice", _slices(F.col("seg_start"), F.col("seg_end"))), ["job_id", "_slice"])
+    """Pairs of a point and a segment that meets the range around it, each once."""
+    left = points.select("job_id", "cue_idx", "at").withColumns({"_low": low, "_high": high})
+    return meeting(left, segs, ("_low", "_high"), ("seg_start", "seg_end"), SLICE).drop("_low", "_high")
 
 
 def _result(points: DataFrame, found: DataFrame, name: str) -> DataFrame:

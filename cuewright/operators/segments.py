@@ -1,10 +1,7 @@
-"""Cutting aligned lines at pauses and by pace. A line's words and units are arrays of one row; only the search for the
-best cuts of a range runs in Arrow-fed Python."""
+"""Cutting aligned lines at pauses and by pace. A line's words and units are arrays of one row, and all rules are expressions over them."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +13,12 @@ CUT_MARKS = ",.!?;:，。！？；：…"
 UNIT = "struct<unit_idx: long, text: string, start: double, end: double>"
 
 
+def prefix_sums(values: Column) -> Column:
+    """0, then the sums of an array's first values."""
+    zero = F.array(F.lit(0))
+    return F.aggregate(values, zero, lambda sums, v: F.concat(sums, F.array((F.element_at(sums, -1) + v).cast("int"))))
+
+
 def timed_words(cue: Column, units: Column) -> Column:
     """Words (text, start, end) of a cue (struct text, start, end) from its units in order (array of struct text, start, end).
 
@@ -25,25 +28,24 @@ def timed_words(cue: Column, units: Column) -> Column:
     none = F.array().cast("array<struct<text: string, start: double, end: double>>")
 
     def words(found: Column, keys: Column) -> Column:
-        ends = F.transform(keys, lambda _, i: F.aggregate(F.slice(keys, F.lit(1), i + 1), F.lit(0), lambda a, k: a + F.char_length(k)))
+        ends = prefix_sums(F.transform(keys, F.char_length))
         spans = locate(F.transform(units, lambda u: match_key_native(u["text"])), F.array_join(keys, ""), back=3, ahead=False, only_forward=True)["spans"]
 
         def word(token: Column, i: Column, ends: Column, spans: Column) -> Column:
-            hi = F.get(ends, i)
-            lo = hi - F.char_length(F.get(keys, i))
-            met = F.filter(spans, lambda s: F.greatest(s["lo"], lo) < F.least(s["hi"], hi))
-
-            def time(span: Column, place: Column) -> Column:
-                unit = F.get(units, span["at"])
-                return unit["start"] + F.greatest(F.lit(0.0), unit["end"] - unit["start"]) * ((place - span["lo"]) / (span["hi"] - span["lo"]))
-
-            first, last = F.get(met, F.lit(0)), F.element_at(met, -1)
-            timed = F.struct(
-                token.alias("text"),
-                F.greatest(cue["start"], time(first, F.greatest(first["lo"], lo))).alias("start"),
-                F.least(cue["end"], time(last, F.least(last["hi"], hi))).alias("end"),
-            )
-            return F.when(F.size(met) > 0, timed)
+            def timed(met: Column, lo: Column, hi: Column) -> Column:
+                def time(span: Column, place: Column) -> Column:
+                    unit = F.get(units, span["at"])
+                    return unit["start"] + F.greatest(F.lit(0.0), unit["end"] - unit["start"]) * ((place - span["lo"]) / (span["hi"] - span["lo"]))
+
+                start = let(F.get(met, F.lit(0)), lambda first: F.greatest(cue["start"], time(first, F.greatest(first["lo"], lo))))
+                end = let(F.element_at(met, -1), lambda last: F.least(cue["end"], time(last, F.least(last["hi"], hi))))
+                return F.when(F.size(met) > 0, F.struct(token.alias("text"), start.alias("start"), end.alias("end")))
+
+            def within(place: Column) -> Column:
+                met = F.filter(spans, lambda s: (s["lo"] < place["hi"]) & (s["hi"] > place["lo"]) & (s["lo"] < s["hi"]) & (place["lo"] < place["hi"]))
+                return let(met, lambda m: timed(m, place["lo"], place["hi"]))
+
+            return let(F.struct(F.get(ends, i).alias("lo"), F.get(ends, i + 1).alias("hi")), within)
 
         return let(ends, lambda e: let(spans, lambda s: F.transform(found, lambda token, i: word(token, i, e, s))))
 
@@ -61,50 +63,61 @@ def largest_gap(units: Column) -> Column:
     return F.when(F.size(units) < 2, 0.0).otherwise(F.coalesce(F.array_max(gaps), F.lit(0.0)))
 
 
-def cuts_of(words: pd.DataFrame, long_gap: float, preferred: int, hard: int, slow: float) -> list[int]:
-    """Places at which a range of timed words (text, letters, start, end) is cut further, in ascending order.
+def best_cut(words: Column, chars: Column, letters: Column, a: Column, b: Column, long_gap: Column, preferred: int, hard: int, slow: float) -> Column:
+    """Where words ``a`` to ``b`` (exclusive) are cut in two, or null if they stay together.
 
-    A range is cut in two while it is longer than its pace allows, or slow: over ``slow`` seconds, with 18 letters or
-    0.6 ``preferred``, under 6.5 a second. The best cut is near the middle of text and time, after a mark, in a pause.
+    They are cut while they are longer than their pace allows, or slow: over ``slow`` seconds, with 18 letters or
+    0.6 ``preferred``, under 6.5 a second. The best cut is near the middle of text and time, after a mark, in a pause. ``chars`` and ``letters``
+    are prefix sums over the words.
     """
-    sizes, starts, ends = words["text"].str.len().to_numpy(), words["start"].to_numpy(float), words["end"].to_numpy(float)
-    chars, letters = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(words["letters"].to_numpy())])
-    marked = words["text"].str[-1:].isin(list(CUT_MARKS)).to_numpy()
-    open_ranges, found = [(0, len(words))], []
-    while open_ranges:
-        a, b = open_ranges.pop()
-        if b - a < 2:
-            continue
-        length, seconds = chars[b] - chars[a] + b - a - 1, max(0.01, ends[b - 1] - starts[a])
-        pace = (letters[b] - letters[a]) / seconds
-        allowed = round(preferred + (hard - preferred) * min(1.0, max(0.0, (pace - 4.0) / 3.0)))
-        drags = seconds > slow and letters[b] - letters[a] >= max(18, round(0.6 * preferred)) and pace < 6.5
-        if length <= allowed and not drags:
-            continue
-        at = np.arange(a + 1, b)
-        left, right = chars[at] - chars[a] + at - a - 1, chars[b] - chars[at] + b - at - 1
-        pause = np.maximum(0.0, starts[at] - ends[at - 1])
-        score = np.abs(left / max(1, length) - 0.5) * 0.65 + np.abs((starts[at] - starts[a]) / seconds - 0.5) * 0.35
-        score += np.where(np.minimum(left, right) < 3, 0.5, 0.0)
-        score -= np.where(marked[at - 1], 0.18, 0.0) + np.minimum(0.35, pause / max(long_gap, 0.1) * 0.35)
-        cut = int(at[np.argmin(score)])
-        found.append(cut)
-        open_ranges += [(a, cut), (cut, b)]
-    return sorted(found)
-
-
-def _cuts(preferred: int, hard: int, slow: float):
-    @F.pandas_udf("array<int>")
-    def cuts(words: pd.Series, forced: pd.Series, long_gap: pd.Series) -> pd.Series:
-        out = []
-        for row, breaks, gap in zip(words, forced, long_gap, strict=True):
-            table, at = pd.DataFrame(list(row), columns=["text", "letters", "start", "end"]), [int(x) for x in breaks]
-            for a, b in zip([0, *at], [*at, len(table)], strict=True):
-                at += [a + cut for cut in cuts_of(table.iloc[a:b], gap, preferred, hard, slow)]
-            out.append(sorted(at))
-        return pd.Series(out)
-
-    return cuts
+    at = lambda array, i: F.get(array, i)
+    # What a cut is judged by, bound once for each range.
+    facts = F.struct(
+        (at(chars, b) - at(chars, a) + b - a - 1).alias("length"),
+        F.greatest(F.lit(0.01), at(words, b - 1)["end"] - at(words, a)["start"]).alias("seconds"),
+        (at(letters, b) - at(letters, a)).alias("letters"),
+    )
+
+    def place(f: Column) -> Column:
+        pace = f["letters"] / f["seconds"]
+        allowed = F.rint(F.lit(preferred) + F.lit(hard - preferred) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (pace - 4.0) / 3.0)))
+        drags = (f["seconds"] > slow) & (f["letters"] >= max(18, round(0.6 * preferred))) & (pace < 6.5)
+
+        def score(i: Column) -> Column:
+            left, right = at(chars, i) - at(chars, a) + i - a - 1, at(chars, b) - at(chars, i) + b - i - 1
+            pause = F.greatest(F.lit(0.0), at(words, i)["start"] - at(words, i - 1)["end"])
+            off = F.abs(left / F.greatest(F.lit(1), f["length"]) - 0.5) * 0.65 + F.abs((at(words, i)["start"] - at(words, a)["start"]) / f["seconds"] - 0.5) * 0.35
+            off = off + F.when(F.least(left, right) < 3, 0.5).otherwise(0.0)
+            mark = F.when(F.contains(F.lit(CUT_MARKS), F.right(at(words, i - 1)["text"], F.lit(1))), 0.18).otherwise(0.0)
+            return off - (mark + F.least(F.lit(0.35), pause / F.greatest(long_gap, F.lit(0.1)) * 0.35))
+
+        best = F.array_min(F.transform(F.sequence(a + 1, b - 1), lambda i: F.struct(score(i).alias("score"), i.cast("int").alias("at"))))
+        return F.when((f["length"] > allowed) | drags, best["at"])
+
+    return F.when(b - a >= 2, let(facts, place))
+
+
+def pace_cuts(words: Column, chars: Column, letters: Column, forced: Column, long_gap: Column, preferred: int, hard: int, slow: float) -> Column:
+    """All cuts of a line, ascending: the ``forced`` ones, and those that ranges between them need, until none does.
+
+    A range is taken up at a time, of as many as a line can have; cuts of one range do not depend on those of others.
+    """
+    edges = F.concat(F.array(F.lit(0)), forced, F.array(F.size(words)))
+    first = F.transform(forced, lambda x, i: F.struct(F.get(edges, i).alias("a"), F.get(edges, i + 1).alias("b")))
+    ranges = F.concat(first, F.array(F.struct(F.get(edges, F.size(forced)).alias("a"), F.size(words).alias("b"))))
+    state = lambda open_, cuts: F.struct(open_.cast("array<struct<a: int, b: int>>").alias("open"), cuts.cast("array<int>").alias("cuts"))
+
+    def step(now: Column, _: Column) -> Column:
+        def taken(r: Column) -> Column:
+            rest = F.slice(now["open"], F.lit(1), F.size(now["open"]) - 1)
+            halves = lambda cut: F.array(F.struct(r["a"].alias("a"), cut.alias("b")), F.struct(cut.alias("a"), r["b"].alias("b")))
+            found = best_cut(words, chars, letters, r["a"], r["b"], long_gap, preferred, hard, slow)
+            return let(found, lambda cut: F.when(cut.isNull(), state(rest, now["cuts"])).otherwise(state(F.concat(rest, halves(cut)), F.concat(now["cuts"], F.array(cut)))))
+
+        return F.when(F.size(now["open"]) == 0, now).otherwise(let(F.get(now["open"], F.size(now["open"]) - 1), taken))
+
+    most = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) * 2))
+    return F.aggregate(most, state(ranges, F.array()), step, lambda now: F.array_sort(F.concat(forced, now["cuts"])))
 
 
 def split_lines(cues: DataFrame, preferred: int = 30, hard: int = 50, pause: float = 1.7, slow: float = 5.8) -> DataFrame:
@@ -127,8 +140,13 @@ def split_lines(cues: DataFrame, preferred: int = 30, hard: int = 50, pause: flo
     ended = lambda i: F.contains(F.lit(SENTENCE_END), F.right(F.get("_words", i)["text"], F.lit(1)))
     breaks = F.transform("_gaps", lambda g, i: F.when((g >= F.col("_long")) | ((g >= F.least(F.col("_long"), F.lit(1.2))) & ended(i)), i + 1))
     rows = rows.withColumn("_forced", F.filter(breaks, lambda i: i.isNotNull()))
-    known = F.transform(words, lambda w: F.struct(w["text"].alias("text"), F.char_length(match_key_native(w["text"])).alias("letters"), w["start"].alias("start"), w["end"].alias("end")))
-    rows = rows.withColumn("_cuts", _cuts(preferred, hard, slow)(known, F.col("_forced"), F.col("_long")))
+    rows = rows.withColumns(
+        {
+            "_chars": prefix_sums(F.transform(words, lambda w: F.char_length(w["text"]))),
+            "_letters": prefix_sums(F.transform(words, lambda w: F.char_length(match_key_native(w["text"])))),
+        }
+    )
+    rows = rows.withColumn("_cuts", pace_cuts(words, F.col("_chars"), F.col("_letters"), F.col("_forced"), F.col("_long"), preferred, hard, slow))
     edges = F.concat(F.array(F.lit(0)), F.col("_cuts"), F.array(F.size(words)))
     rows = rows.withColumn("_edges", edges)
 

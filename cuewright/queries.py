@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import timecode
-from cuewright.functions.text import alignment_text, char_limit, cut_lines, match_key_native, safe_file_name, speech_rate, tokens
+from cuewright.functions.text import alignment_text, char_limit, cut_lines, match_key_native, safe_file_name, speech_rate, squeeze, tokens
 from cuewright.functions.timecode import srt_time
 from cuewright.operators import activity, evidence, intervals, locate, matching, onsets, segments, timing
 from cuewright.plans import diagnostics
@@ -298,6 +298,20 @@ def segmented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.auto_segment(lines.select("job_id", "cue_idx", "text"), cues.select("job_id", "cue_idx", "text", "start", "end", "weak"), whole, nothing).drop("weak")
 
 
+def paced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, cut by the times of their words: a 16th of a second a letter, with pauses by length and after sentences."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("cue_idx"), squeeze(F.col("text")).alias("text")).filter("text <> ''")
+    words = turns.select("job_id", "cue_idx", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    pause = F.when(F.col("w").rlike(r"[.!?]\z"), 1.25).otherwise(0.0) + F.char_length("w") % 5 / 16
+    line = Window.partitionBy("job_id", "cue_idx")
+    sung = F.char_length(match_key_native(F.col("w"))) / 16
+    words = words.withColumns({"sung": sung, "upto": F.sum(sung + pause).over(line.orderBy("i")) - pause})
+    unit = F.struct(F.col("i").cast("long").alias("unit_idx"), F.col("w").alias("text"), (F.col("upto") - F.col("sung")).alias("start"), F.col("upto").alias("end"))
+    units = words.groupBy("job_id", "cue_idx").agg(F.sort_array(F.collect_list(unit)).alias("units"), F.min(F.col("upto") - F.col("sung")).alias("start"), F.max("upto").alias("end"))
+    parts = segments.split_lines(turns.join(units, ["job_id", "cue_idx"]).select("job_id", "cue_idx", "text", "start", "end", "units"))
+    return parts.select("job_id", F.col("cue_idx").cast("long").alias("cue_idx"), F.col("part_idx").cast("long").alias("part_idx"), "text", "start", "end")
+
+
 def aligned_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitles of conversations from heard and aligned words."""
     texts, heard, whole = _turns(spark, sf_dir)
@@ -524,6 +538,36 @@ SQL = {
     "unit_places": f"""
         WITH RECURSIVE {TURNS}, {_search("units", "u.heard_key", "found")}, {_cue_times("found", "timed")}
         SELECT job_id, cue_idx, text, "start", "end" FROM lines LEFT JOIN timed USING (job_id, cue_idx)""",
+    "paced_lines": r"""
+        WITH RECURSIVE turns AS (SELECT conv_id AS job_id, turn AS cue_idx, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''
+        ), w AS (SELECT job_id, cue_idx, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM turns
+        ), k AS (SELECT *, length(regexp_replace(replace(lower(w), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g')) AS letters, CASE WHEN regexp_matches(w, '[.!?]$') THEN 1.25::DOUBLE ELSE 0 END + length(w) % 5 / 16::DOUBLE AS pause FROM w
+        ), t AS (SELECT *, sum(letters / 16::DOUBLE + pause) OVER (PARTITION BY job_id, cue_idx ORDER BY i) - pause AS e FROM k
+        ), whole AS (SELECT job_id, cue_idx, min(e - letters / 16::DOUBLE) AS s0, max(e) AS e0 FROM t GROUP BY ALL
+        ), l AS (
+            SELECT job_id, cue_idx, count(*) AS n, list(w ORDER BY i) AS ws, list(letters ORDER BY i) AS ks, list(e - letters / 16::DOUBLE ORDER BY i) AS ss, list(e ORDER BY i) AS es
+            FROM t WHERE letters > 0 GROUP BY ALL HAVING count(*) >= 2
+        ), g AS (SELECT *, list_transform(range(1, n), lambda i: greatest(0, ss[i + 1] - es[i])) AS gaps FROM l
+        ), m AS (SELECT *, list_sort(list_filter(gaps, lambda x: x > 0.02::DOUBLE)) AS wide FROM g
+        ), f AS (SELECT *, greatest(1.7::DOUBLE, least(2.2::DOUBLE, 4 * CASE WHEN len(wide) >= 3 THEN (wide[(len(wide) + 1) // 2] + wide[len(wide) // 2 + 1]) / 2 ELSE 0 END)) AS far FROM m
+        ), b AS (SELECT *, list_filter(range(1, n), lambda i: gaps[i] >= far OR (gaps[i] >= least(far, 1.2::DOUBLE) AND strpos('.!?;:。！？；：…', right(ws[i], 1)) > 0)) AS forced FROM f
+        ), r AS (SELECT job_id, cue_idx, unnest(list_prepend(0, forced)) AS a, unnest(list_append(forced, n)) AS z FROM b
+        ), ranges AS (
+            SELECT job_id, cue_idx, a, z, NULL::BIGINT AS parent FROM r
+            UNION ALL
+            SELECT job_id, cue_idx, unnest([a, cut]), unnest([cut, z]), a FROM (
+                SELECT job_id, cue_idx, a, z, a + list_position(scores, list_min(scores)) AS cut FROM (
+                    SELECT *, list_transform(range(a + 1, z), lambda i: abs((list_sum(list_transform(ws[a + 1:i], lambda x: length(x))) + i - a - 1) / greatest(1, size) - 0.5::DOUBLE) * 0.65::DOUBLE + abs((ss[i + 1] - ss[a + 1]) / secs - 0.5::DOUBLE) * 0.35::DOUBLE
+                        + CASE WHEN least(list_sum(list_transform(ws[a + 1:i], lambda x: length(x))) + i - a - 1, list_sum(list_transform(ws[i + 1:z], lambda x: length(x))) + z - i - 1) < 3 THEN 0.5::DOUBLE ELSE 0 END
+                        - (CASE WHEN strpos(',.!?;:，。！？；：…', right(ws[i], 1)) > 0 THEN 0.18::DOUBLE ELSE 0 END + least(0.35::DOUBLE, greatest(0, ss[i + 1] - es[i]) / greatest(far, 0.1::DOUBLE) * 0.35::DOUBLE))) AS scores
+                    FROM (SELECT q.job_id, q.cue_idx, a, z, ws, ss, es, far, list_sum(list_transform(ws[a + 1:z], lambda x: length(x))) + z - a - 1 AS size, list_sum(ks[a + 1:z]) AS ls, greatest(0.01::DOUBLE, es[z] - ss[a + 1]) AS secs
+                        FROM ranges q JOIN b ON b.job_id = q.job_id AND b.cue_idx = q.cue_idx WHERE z - a >= 2)
+                    WHERE size > round_even(30 + 20 * least(1, greatest(0, (ls / secs - 4) / 3)), 0) OR (secs > 5.8::DOUBLE AND ls >= 18 AND ls / secs < 6.5::DOUBLE)))
+        ), leaves AS (SELECT job_id, cue_idx, a, min(z) AS z FROM ranges GROUP BY ALL
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY job_id, cue_idx ORDER BY a) - 1 AS part_idx, count(*) OVER (PARTITION BY job_id, cue_idx) AS parts FROM leaves)
+        SELECT turns.job_id, turns.cue_idx, coalesce(part_idx, 0) AS part_idx, CASE WHEN coalesce(parts, 1) = 1 THEN text ELSE array_to_string(ws[a + 1:z], ' ') END AS text,
+            CASE WHEN coalesce(part_idx, 0) = 0 THEN s0 ELSE greatest(s0, ss[a + 1]) END AS "start", CASE WHEN coalesce(part_idx + 1 = parts, true) THEN e0 ELSE least(e0, es[z]) END AS "end"
+        FROM turns JOIN whole USING (job_id, cue_idx) LEFT JOIN n USING (job_id, cue_idx) LEFT JOIN b USING (job_id, cue_idx)""",
     "activity_segments": """
         WITH m AS (
             SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value >= 30 AS active FROM events
@@ -579,7 +623,7 @@ SQL = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [demo_srt, split_lines, overlap_bounds, polish_cues, polish_singing_cues, out_of_order, activity_segments, waveform_peaks, overlap_join, onset_times, unit_gaps]
     found += [cut_parts, anchored_srt, merged_lines, line_of_unit, start_moves, unresolved_lines, local_windows, span_lines, raster_mask, level_frames, language_codes]
-    found += [scalar_functions, text_rates, loud_frames, segment_units, line_report, unit_places, match_table, segmented_lines, aligned_srt]
+    found += [scalar_functions, text_rates, loud_frames, segment_units, line_report, unit_places, match_table, segmented_lines, paced_lines, aligned_srt]
     return {f.__name__: f for f in found}
 
 
