@@ -71,7 +71,7 @@ def adjustments(refined: DataFrame) -> DataFrame:
 
 def drop_failed_tail(units: DataFrame, duration: str = "duration") -> DataFrame:
     """Units without those of 0.05 s or less in the last quarter of a second, where alignment piles up what it failed to place."""
-    return units.filter(~((F.col("start") >= F.col(duration) - 0.25) & (F.col("end") - F.col("start") <= 0.05)))
+    return units.filter(~F.coalesce((F.col("start") >= F.col(duration) - 0.25) & (F.col("end") - F.col("start") <= 0.05), F.lit(False)))
 
 
 def choose_cues(lines: DataFrame, local: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:

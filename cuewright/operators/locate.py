@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.text import match_key, match_key_native
 from cuewright.operators.intervals import char_spans, largest_overlap, overlap_times
+from cuewright.sources.tables import dealt, stored
 
 FOUND = "array<struct<at: int, lo: int, hi: int>>"
 
@@ -61,22 +62,36 @@ def locate(keys: Column, target: Column, back: int = 4, ahead: bool = True, only
 
 
 class Places:
-    """A positional index of a text: its places sorted by their first ``DEPTH`` letters, from which those of any key are found."""
+    """A positional index of a text: the places of each key, ascending, found once.
+
+    A long text has all its places sorted by their first ``DEPTH`` letters, so that no key needs it read again; a short one is read.
+    """
 
     DEPTH = 12
+    LONG = 20_000
 
     def __init__(self, text: str):
         self.text, self.known = text, {}
+        self.order = self._sorted(text) if len(text) > self.LONG else None
+
+    @staticmethod
+    def _sorted(text: str) -> np.ndarray:
         rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64) + 1
         for step in (1, 2, 3, 6):  # ranks by the first 2, 4, 7 and 13 letters
             after = np.zeros_like(rank)
             after[: max(0, len(rank) - step)] = rank[step:]
             rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        self.order = np.argsort(rank, kind="stable")
+        return np.argsort(rank, kind="stable")
 
     def of(self, key: str) -> list[int]:
-        """All places of a key, ascending; found once for each key."""
-        if (found := self.known.get(key)) is None:
+        """All places of a key, which is not empty, ascending."""
+        if (found := self.known.get(key)) is None and self.order is None:
+            found, at = [], self.text.find(key)
+            while at >= 0:
+                found.append(at)
+                at = self.text.find(key, at + 1)
+            self.known[key] = found
+        elif found is None:
             n, text, order = min(len(key), self.DEPTH), self.text, self.order
             head = key[:n]
             low = bisect_left(order, head, key=lambda p: text[p : p + n])
@@ -120,7 +135,7 @@ def line_spans(lines: DataFrame, native: bool = False) -> DataFrame:
 def unit_spans(lines: DataFrame, units: DataFrame, native: bool = False, **how) -> tuple[DataFrame, DataFrame]:
     """Units found in the joined keys of their job's lines, with ``lo`` and ``hi``; and (job_id, failed_unit) of the jobs whose strict search failed.
 
-    ``lines`` come from ``line_spans``; ``how`` goes to ``find_all``. A job's text and units are one row of one task.
+    ``lines`` come from ``line_spans``; ``how`` goes to ``find_all``. A job's text and units are one row of one task, and the search is made once, here.
     """
     ordered = lambda name, *columns: F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
     target = lines.groupBy("job_id").agg(ordered("all", "cue_idx", "key")).select("job_id", F.array_join(F.transform("all", lambda x: x["key"]), "").alias("target"))
@@ -141,14 +156,14 @@ def unit_spans(lines: DataFrame, units: DataFrame, native: bool = False, **how)
                 yield pa.RecordBatch.from_arrays([job, mine.field("unit_idx"), lo, hi.cast(pa.int32()), mine.field("start"), mine.field("end")], ["job_id", "unit_idx", "lo", "hi", "start", "end"])
 
     schema = f"job_id {kinds['job_id']}, unit_idx {kinds['unit_idx']}, lo int, hi int, start {kinds['start']}, end {kinds['end']}"
-    rows = target.join(heard, "job_id").select("job_id", "target", "units").mapInArrow(found, schema)
+    rows = stored(dealt(target.join(heard, "job_id").select("job_id", "target", "units"), "job_id").mapInArrow(found, schema))
     return rows.filter("lo IS NOT NULL"), rows.filter("lo IS NULL").select("job_id", F.col("unit_idx").alias("failed_unit"))
 
 
 def strict_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:
     """Lines with times from units, and ``status``: a job with a unit that is not in its text, a line without a
     key, or a line that no unit meets has null times in all lines and says so."""
-    spans = line_spans(lines, native)
+    spans = stored(line_spans(lines, native))
     found, failed = unit_spans(spans, units, native, strict=True)
     timed = overlap_times(spans, found).join(failed, "job_id", "left")
     by_job = timed.groupBy("job_id").agg(F.bool_or(F.col("key") == "").alias("blank"), F.bool_or(F.col("start").isNull()).alias("unmet"), F.max(F.col("failed_unit").isNotNull()).alias("differs"))
@@ -160,12 +175,12 @@ def strict_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> Dat
 
 def optional_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:
     """Lines with times from units; null where no unit meets the line. Units that are not in the text are passed over."""
-    spans = line_spans(lines, native)
+    spans = stored(line_spans(lines, native))
     return overlap_times(spans, unit_spans(spans, units, native)[0]).drop("key", "lo", "hi")
 
 
 def units_of_lines(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:
     """Units with ``cue_idx``: the line of the job that holds most of the unit's characters. Units not in the text are left out."""
-    spans = line_spans(lines, native)
+    spans = stored(line_spans(lines, native))
     found = unit_spans(spans, units, native, only_forward=True)[0]
     return units.join(largest_overlap(found, spans), ["job_id", "unit_idx"])

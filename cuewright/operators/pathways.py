@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.sources.tables import stored
+from cuewright.sources.tables import dealt, stored
 
 MATCH, MISMATCH, GAP = 3, -2, -2
 #: Letters of a tile's sides: two tables of a bit less than 17 MB.
@@ -119,7 +119,7 @@ def paths(jobs: DataFrame, tile: int | None = None) -> DataFrame:
     n, m = F.char_length("source"), F.char_length("heard")
     some = jobs.select("job_id", "source", "heard").filter((n > 0) & (m > 0))
     small = (n <= size) & (m <= size)
-    done = some.filter(small).mapInArrow(_whole, f"job_id {kind}, {PAIRS}")
+    done = dealt(some.filter(small), "job_id").mapInArrow(_whole, f"job_id {kind}, {PAIRS}")
     large = some.filter(~small)
     if large.isEmpty():
         return done
@@ -157,7 +157,7 @@ def _tiled(jobs: DataFrame, size: int, kind: str) -> DataFrame:
     now = sizes.select("job_id", F.lit(0).alias("ti"), F.lit(0).alias("tj"), none.alias("top"), none.alias("left"))
     tables = []
     for k in range(rounds):
-        found = stored(texts(now).join(sizes, "job_id").mapInArrow(forward, schema))
+        found = stored(dealt(texts(now).join(sizes, "job_id"), "job_id", "ti", "tj").mapInArrow(forward, schema))
         tables.append(found)
         if k + 1 < rounds:
             below = found.select("job_id", (F.col("ti") + 1).alias("ti"), "tj", F.col("bottom").alias("top"))

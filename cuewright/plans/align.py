@@ -19,9 +19,16 @@ from cuewright.sources.tables import stored
 
 @dataclass(frozen=True)
 class Policy:
-    """Settings of a run; times in seconds."""
+    """Settings of a run; times in seconds.
+
+    Only the sound from ``range_start`` to ``range_end`` (or its end) is aligned: units' times count from the former, subtitles' from the sound's
+    beginning. ``language`` is a code or name as users write it, or auto.
+    """
 
     max_chars: int = 30
+    language: str = "auto"
+    range_start: float = 0.0
+    range_end: float | None = None
     auto_segment: bool = False
     partial_range: bool = False
     offset: float = 0.0
@@ -33,6 +40,34 @@ class Policy:
     gap: float = 0.08
 
 
+def settings(policy: Policy) -> dict[str, object]:
+    """A run's settings as its document has them, times in whole milliseconds where the command line has such."""
+    ms = lambda seconds: round(seconds * 1000)
+    return {
+        "auto_segment": policy.auto_segment,
+        "timeline_anchor": policy.anchor,
+        "max_chars": policy.max_chars,
+        "auto_preferred_chars": 30,
+        "auto_hard_chars": 50,
+        "lead_ms": ms(policy.lead),
+        "end_hold_ms": ms(policy.hold),
+        "min_duration_ms": ms(policy.shortest),
+        "max_duration_ms": ms(policy.longest),
+        "min_gap_ms": ms(policy.gap),
+        "range_start_seconds": max(0.0, policy.range_start),
+        "range_end_seconds": policy.range_end,
+    }
+
+
+def in_range(texts: DataFrame, policy: Policy) -> DataFrame:
+    """Texts with the ``duration`` of the range that is aligned; a null duration is unknown, and stays so."""
+    start = max(0.0, policy.range_start)
+    if policy.range_end is not None and policy.range_end <= start:
+        raise ValueError("a range ends after it starts")
+    end = F.col("duration") if policy.range_end is None else F.least("duration", F.lit(float(policy.range_end)))
+    return texts.withColumn("duration", F.when(F.col("duration").isNotNull(), F.greatest(F.lit(0.0), end - start)))
+
+
 @dataclass(frozen=True)
 class Aligned:
     """Tables of a run: those that others build on are written once, the rest is lazy."""
@@ -82,6 +117,7 @@ def align(texts: DataFrame, transcript_units: DataFrame, global_units: DataFrame
     have (job_id, unit_idx, text, start, end). Jobs that fail have no subtitles and say why in ``status``.
     """
     key = ["job_id", "cue_idx"]
+    texts = in_range(texts, policy)
     given = lines = stored(lines_of(texts, policy))
     matches, span = stored(matching.match_lines(lines, transcript_units)), None
     if policy.partial_range:
@@ -111,5 +147,5 @@ def align(texts: DataFrame, transcript_units: DataFrame, global_units: DataFrame
     timed = stored(timed)
     status = evidence.job_status(texts, given, timed, span)
     shown = timed.filter(~F.col("hidden")).select("job_id", "cue_idx", "source_idx", "text", "start", "end")
-    srt = render_srt(shown, policy.offset, policy.anchor)
+    srt = render_srt(shown, policy.offset + max(0.0, policy.range_start), policy.anchor)
     return Aligned(lines, matches, whole, unresolved, moves, ordered.filter("rejected"), shown, srt, status)

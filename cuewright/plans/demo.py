@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cuewright.functions.timecode import srt_time
 from cuewright.operators.timing import even_slots
 from cuewright.sources.lines import split_cues
+from cuewright.sources.srt import read_srt, write_srt
+
+__all__ = ["demo", "read_srt", "render_srt", "write_srt"]
 
 
 def render_srt(cues: DataFrame, offset: float = 0.0, anchor: bool = False) -> DataFrame:
@@ -25,11 +28,6 @@ def render_srt(cues: DataFrame, offset: float = 0.0, anchor: bool = False) -> Da
     return blocks.select("job_id", F.when(F.col("anchored"), F.concat(lead, text)).otherwise(text).alias("srt"))
 
 
-def write_srt(rendered: DataFrame, path: str) -> None:
-    """One text file per job under job_id=..., with a byte order mark."""
-    rendered.select("job_id", F.concat(F.lit("\uFEFF"), "srt").alias("value")).write.partitionBy("job_id").option("lineSep", "").text(path)
-
-
 def demo(texts: DataFrame, max_chars: int | None = None, compatibility: bool = False) -> DataFrame:
     """Texts (job_id, text, duration) as evenly timed subtitles: the query that needs no model."""
     return render_srt(even_slots(split_cues(texts, max_chars, compatibility=compatibility)))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import LINE_BREAK, cut_lines, match_key, normalize_line, squeeze
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, text): one job per file, a leading byte order mark removed."""
+def read_texts(spark: SparkSession, path: str, lengths: DataFrame | None = None) -> DataFrame:
+    """(job_id, text): one job per file, named as the file is without its ending; a leading byte order mark is removed.
+
+    With ``lengths`` (job_id, duration), as sounds of the same names have them, also ``duration``; null where there is no such sound.
+    """
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("job_id"), F.regexp_replace("value", "^\uFEFF", "").alias("text"))
+    texts = files.select(job_of(F.col("_metadata.file_path")).alias("job_id"), F.regexp_replace("value", "^\uFEFF", "").alias("text"))
+    return texts if lengths is None else texts.join(lengths.select("job_id", "duration"), "job_id", "left")
+
+
+def job_of(path: Column) -> Column:
+    """The name of a file without its folders and its last ending, percent signs of its address resolved."""
+    return F.try_url_decode(F.replace(F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1), F.lit("+"), F.lit("%2B")))
 
 
 def raw_lines(texts: DataFrame, compatibility: bool = True) -> DataFrame:

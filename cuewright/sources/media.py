@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import wave
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def wave_seconds(content: Column) -> Column:
-    """Seconds of a PCM wave file's bytes; null where they are none."""
-
-    def seconds(raw: bytes | None) -> float | None:
-        try:
-            with wave.open(io.BytesIO(raw or b"")) as found:
-                return found.getnframes() / found.getframerate()
-        except (wave.Error, EOFError):
-            return None
-
-    return F.pandas_udf(lambda files: files.map(seconds).astype("float64"), "double")(content)
+from cuewright.sources.lines import job_of
+from cuewright.sources.sound import wave_seconds
 
 
 def read_wave_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, duration): one job per wave file."""
+    """(job_id, duration): one job per wave file, named as the file is without its ending."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("job_id"), wave_seconds(F.col("content")).alias("duration"))
+    return files.select(job_of(F.col("_metadata.file_path")).alias("job_id"), wave_seconds(F.col("content")).alias("duration"))
 
 
 def sample_range(samples: DataFrame, rate: int, duration: float, start: float = 0.0, end: float | None = None) -> DataFrame:

@@ -160,7 +160,9 @@ def test_locate(spark, back, ahead, forward, strict):
         assert (failed, [(at, lo, lo + len(r.units[at])) for at, lo in enumerate(places) if lo is not None]) == want
 
 
-def test_places_of_long_keys():
+@pytest.mark.parametrize("long", [0, 20_000])
+def test_places_of_long_keys(monkeypatch, long):
+    monkeypatch.setattr(locate.Places, "LONG", long)
     rng = random.Random(8)
     text = "".join(rng.choice("ab") for _ in range(3000)) + "é𝟘" * 40
     index = locate.Places(text)
@@ -391,6 +393,78 @@ def test_documents_round_trip(spark, tmp_path):
     assert found.collect() == diagnostics.read_documents(spark, str(tmp_path / "out")).collect()
 
 
+WHOLE = {
+    "audio": "/songs/a.wav", "duration": 9.5, "backend": "b", "model": "small", "language": None, "detected_language": "ko", "device": {"whisper": "cpu", "separation": "cpu", "reason": "none"},
+    "settings": {"auto_segment": True, "max_chars": 30, "range_end_seconds": None, "lead_ms": 0}, "transcript_units": [{"text": "가", "start": 0.0, "end": 1.0}],
+    "transcript_matches": [{"cue_index": 0, "source_text": "가", "transcript_text": "가", "start": 0.0, "end": 1.0, "similarity": 1.0, "coverage": 1.0, "exact_characters": 1, "status": "match"}],
+    "auto_hidden_gaps": [{"after_cue_index": 1, "text": "x", "start": 1.0, "end": 2.0}], "manual_hidden_indices": [1], "global_units": [], "local_cues": {"0": {"text": "가", "start": 0.0, "end": 1.0}},
+    "local_units": {"0": [{"text": "가", "start": 0.0, "end": 1.0}]}, "start_adjustments": [], "hidden_timing_cues": [{"text": "h", "start": 2.0, "end": 3.0}], "raw_cues": [], "cues": [], "messages": ["done"], "of later versions": {"deep": [1, {"x": None}]},
+}
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_whole_documents_survive_and_broken_ones_are_rows(spark, tmp_path, lines):
+    import json
+
+    good, folder = [WHOLE, {**WHOLE, "job_id": "mine", "device": None}, {}], tmp_path / "in"
+    bad = ["{broken", "[1, 2]", json.dumps({**WHOLE, "duration": "long", "cues": 3}), '"text"']
+    folder.mkdir()
+    texts = [json.dumps(d, ensure_ascii=False, indent=None if lines else 2) for d in good] + bad
+    if lines:
+        (folder / "all.json").write_text("\n".join([*texts, ""]))
+    else:
+        for k, text in enumerate(texts):
+            (folder / f"song {k}.json").write_text("\ufeff" + text if k == 0 else text)
+    found, broken = diagnostics.scan_documents(spark, str(folder), lines)
+    rows = {r.job_id: r for r in found.filter("model IS NOT NULL").collect()}
+    first = rows["all" if lines else "song 0"] if not lines else rows["all"]
+    assert "mine" in rows and found.count() == 3
+    assert (first.audio, first.duration, first.device.whisper, first.hidden_timing_cues[0].text, first.auto_hidden_gaps[0].after_cue_index, first.local_units["0"][0].text) == ("/songs/a.wav", 9.5, "cpu", "h", 1, "가")
+    assert first.settings.toPython() == WHOLE["settings"]
+    reasons = sorted(r.reason for r in broken.collect())
+    assert reasons == ["not JSON", "not an object", "not an object", "of another type: duration, cues"]
+    diagnostics.write_documents(found, str(tmp_path / "out"))
+    again = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()), key=str)
+    assert again == sorted(good, key=str)
+
+
+def test_files_to_subtitles(spark, tmp_path):
+    """Texts and sounds as files of one name, a range of the sound, and a document that is read again."""
+    import wave
+
+    from cuewright.plans.align import settings
+    from cuewright.plans.demo import read_srt, write_srt
+    from cuewright.sources.lines import read_texts
+    from cuewright.sources.media import read_wave_lengths
+
+    for name, text in (("one song", "\ufeffhello there\nsecond line"), ("b%c+d", "other words")):
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as out:
+            out.setnchannels(1)
+            out.setsampwidth(2)
+            out.setframerate(100)
+            out.writeframes(b"\0\0" * 1200)
+    texts = read_texts(spark, str(tmp_path / "*.txt"), read_wave_lengths(spark, str(tmp_path / "*.wav")))
+    assert {(r.job_id, r.duration) for r in texts.collect()} == {("one song", 12.0), ("b%c+d", 12.0)}
+    units = spark.createDataFrame([("one song", i, w, i * 1.0, i + 0.8) for i, w in enumerate("hello there second line".split())] + [("b%c+d", 0, "other", 1.0, 1.5), ("b%c+d", 1, "words", 1.6, 2.0)], UNIT.replace("job_id long", "job_id string"))
+    policy = Policy(range_start=2.0, range_end=11.0)
+    run = align(texts, units, units, units.withColumn("cue_idx", F.lit(0)).limit(0), policy=policy)
+    assert {r.status for r in run.status.collect()} == {"ok"}
+    assert "00:00:04,000 --> " in next(r.srt for r in run.srt.collect() if r.job_id == "one song")
+    write_srt(run.srt, str(tmp_path / "out"))
+    assert {(r.job_id, r.text, r.start) for r in read_srt(spark, str(tmp_path / "out")).collect()} == {("one song", "hello there", 2.0), ("one song", "second line", 4.0), ("b%c+d", "other words", 3.0)}
+    jobs = texts.select("job_id", "duration", F.lit("ko").alias("language"), F.lit("small").alias("model"))
+    none = run.adjustments.limit(0)
+    notes = diagnostics.messages(run.unresolved, run.matches, run.lines, none, run.rejected, spark.createDataFrame([], "job_id string, kind string, n long"))
+    made = diagnostics.documents(jobs, units, run.matches, run.lines, units, run.whole, units.withColumn("cue_idx", F.lit(0)), none, run.cues, run.cues, notes, settings(policy))
+    diagnostics.write_documents(made, str(tmp_path / "documents"))
+    again, broken = diagnostics.scan_documents(spark, str(tmp_path / "documents"), lines=True)
+    row = next(r for r in again.collect() if r.job_id == "one song")
+    assert broken.count() == 0 and row.settings.toPython() == settings(policy) and (row.model, row.duration, len(row.cues)) == ("small", 12.0, 2)
+    parts = diagnostics.full_report(diagnostics.report(run.matches, run.whole, run.whole.limit(0)), run.cues, notes).filter("job_id = 'one song'").collect()
+    assert [r.line for r in parts if r.part == "cue"][0].startswith("01    0.00-") and {r.part for r in parts} >= {"line", "cue"}
+
+
 def test_languages(spark):
     rows = spark.createDataFrame([(x,) for x in (None, "", "auto", " Automatic", "Korean", "EN", "Klingon")], "v string").select(language_code(F.col("v")).alias("c")).collect()
     assert [r.c for r in rows] == [None, None, None, None, "ko", "en", "klingon"]
