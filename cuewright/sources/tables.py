@@ -21,7 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written once and read from there: later steps neither repeat the work nor carry its plan. The table goes with the application."""
+    """The rows written once, as a table in the shared folder, and read from there: later steps neither repeat the work nor carry its plan.
+
+    Survives lost executors. Unlike ``checkpoint()`` this forgets the estimated size, which through many joins becomes a number of
+    millions of digits. The table goes with the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
