@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewright.sources.tables import shared_dir
+from cuewright.sources.tables import stored as checkpointed
+
+__all__ = ["ASCII_LOWER", "LOWER", "SPACE", "UPPER", "WORD", "checkpointed", "held_fold", "let", "load", "shared_dir", "shuffle_partitions", "small_batches"]
+
 #: ASCII white space, as Java and Python patterns write it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,33 +28,6 @@ def held_fold(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset, a new one of this machine, on a local master only."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuewright-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written once, as a table in the shared folder, and read from there; survives lost executors.
-
-    Unlike ``checkpoint()`` this forgets the estimated size, which through many joins becomes a number of
-    millions of digits. The table goes when the application's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Smaller Arrow batches for this session: whole texts are large rows, and each task holds some batches twice."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
