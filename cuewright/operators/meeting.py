@@ -44,11 +44,12 @@ def meeting(left: DataFrame, right: DataFrame, of_left: tuple[str, str], of_righ
     """Pairs of rows of one job whose closed intervals (low, high) have a point in common, each once.
 
     The sides' columns must differ but for ``job_id``. ``base`` is the width of the smallest blocks. Intervals that end before they begin meet none.
+    The copies are merged: Spark would judge by the rows they are made of, and send them to all executors.
     """
     used = lambda rows, span: rows.filter(F.col(span[0]) <= F.col(span[1])).agg(F.coalesce(F.bit_or(_bit(level_of(F.col(span[0]), F.col(span[1]), base))), F.lit(0).cast("long")))
     a = _placed(left, *of_left, base, used(right, of_right).scalar(), (HOME, LEFT), RIGHT)
     b = _placed(right, *of_right, base, used(left, of_left).scalar(), (HOME, RIGHT), LEFT)
-    both = a.join(b, ["job_id", "_level", "_kind", "_block"])
+    both = a.join(b.hint("merge"), ["job_id", "_level", "_kind", "_block"])
     first = F.greatest(of_left[0], of_right[0])
     meet = (first <= F.least(of_left[1], of_right[1])) & (F.floor(first / _width(F.col("_level"), base)) == F.col("_block"))
     return both.filter(meet).drop("_level", "_kind", "_block")

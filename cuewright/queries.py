@@ -20,6 +20,7 @@ from cuewright.plans.demo import demo, render_srt
 from cuewright.sources.languages import PAIRS, language_code
 from cuewright.sources.lines import split_cues
 from cuewright.sources.media import flatten_segments, frame_levels, sample_range
+from cuewright.sources.tables import dealt, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,8 +137,8 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_of_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line with which each unit of 40 letters shares most of them."""
-    lines = locate.line_spans(split_cues(_texts(spark, sf_dir), None, compatibility=False), native=True)
-    total = lines.groupBy("job_id").agg(F.max("hi").alias("n")).filter("n > 0")
+    lines = stored(locate.line_spans(split_cues(_texts(spark, sf_dir), None, compatibility=False), native=True).select("job_id", "cue_idx", "lo", "hi"))
+    total = dealt(lines.groupBy("job_id").agg(F.max("hi").alias("n")).filter("n > 0"), "job_id", "n")
     units = total.select("job_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 40) - 1)).alias("unit_idx"))
     units = units.select("job_id", "unit_idx", (F.col("unit_idx") * 40).alias("lo"), F.least(F.col("unit_idx") * 40 + 40, "n").alias("hi"))
     return intervals.largest_overlap(units, lines).select("job_id", "unit_idx", F.col("cue_idx").cast("long").alias("cue_idx"))
