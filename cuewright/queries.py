@@ -87,8 +87,8 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of a text's lines from units of 40 letters each, a second long."""
     texts = _texts(spark, sf_dir)
     lines = split_cues(texts, None, compatibility=False)
-    cues = intervals.char_spans(lines.withColumn("key", match_key_native(F.col("text"))), F.col("key"), "cue_idx")
-    total = cues.groupBy("job_id").agg(F.max("hi").alias("n"))
+    cues = stored(intervals.char_spans(lines.select("job_id", "cue_idx", match_key_native(F.col("text")).alias("key")), F.col("key"), "cue_idx").drop("key"))
+    total = dealt(cues.groupBy("job_id").agg(F.max("hi").alias("n")), "job_id", "n")
     units = total.select("job_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / 40).cast("int") - 1))).alias("unit_idx")).select(
         "job_id", "unit_idx", (F.col("unit_idx") * 40).alias("lo"), F.least(F.col("unit_idx") * 40 + 40, "n").alias("hi"), F.col("unit_idx").cast("double").alias("start"), (F.col("unit_idx") + 1.0).alias("end")
     )
