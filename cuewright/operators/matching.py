@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cuewright.functions.text import match_key, match_key_native
 from cuewright.operators.intervals import char_spans
-from cuewright.operators.pathways import paths
+from cuewright.operators.intervals import met as spans_met
+from cuewright.operators.pathways import pair_runs
 from cuewright.operators.similarity import similarity
 from cuewright.sources.tables import stored
 
@@ -36,13 +37,6 @@ def _joined(rows: DataFrame, order: str, name: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.array_join(F.transform(keys, lambda x: x["key"]), "").alias(name))
 
 
-def letters(units: DataFrame) -> DataFrame:
-    """A row for each letter of units' keys (lo, hi): its place ``j``, and its share of the unit's time from ``a`` to ``b``."""
-    some = units.filter(F.col("hi") > F.col("lo")).withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)))
-    at, width, seconds = F.col("j") - F.col("lo"), F.col("hi") - F.col("lo"), F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
-    return some.withColumns({"a": F.col("start") + seconds * at / width, "b": F.col("start") + seconds * (at + 1) / width})
-
-
 def match_lines(cues: DataFrame, units: DataFrame, native: bool = False, tile: int | None = None) -> DataFrame:
     """The match table of cues (job_id, cue_idx, text) and units (job_id, unit_idx, text, start, end).
 
@@ -53,22 +47,29 @@ def match_lines(cues: DataFrame, units: DataFrame, native: bool = False, tile: i
     lines = stored(_keyed(cues.select("job_id", F.col("cue_idx").cast("int").alias("cue_idx"), "text"), "cue_idx", native))
     heard = stored(_keyed(units.select("job_id", "unit_idx", "text", "start", "end"), "unit_idx", native))
     jobs = stored(_joined(lines, "cue_idx", "source").join(_joined(heard, "unit_idx", "heard"), "job_id"))
-    pairs = paths(jobs, tile)
-    owned = lines.filter(F.col("hi") > F.col("lo")).select(*key, F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)).alias("i"))
-    met = pairs.join(owned, ["job_id", "i"]).groupBy(*key).agg(
-        F.count(F.lit(1)).alias("mapped"), F.sum(F.col("same").cast("int")).cast("int").alias("exact_characters"), F.min("j").alias("first"), F.max("j").alias("last")
+    runs = pair_runs(jobs, tile).select("job_id", F.col("i").alias("ulo"), (F.col("i") + F.col("n")).alias("uhi"), "j", "same")
+    shared = F.least("hi", "uhi") - F.greatest("lo", "ulo")
+    pieces = spans_met(lines.select(*key, "lo", "hi"), runs).select(*key, "same", shared.alias("k"), (F.col("j") + F.greatest("lo", "ulo") - F.col("ulo")).alias("at"))
+    met = pieces.groupBy(*key).agg(
+        F.sum("k").alias("mapped"), F.sum(F.when(F.col("same"), F.col("k")).otherwise(0)).cast("int").alias("exact_characters"), F.min("at").alias("first"), F.max(F.col("at") + F.col("k") - 1).alias("last")
+    )
+    # The units of the first and of the last letter, and the letters' shares of their time.
+    ends = met.withColumn("_end", F.explode(F.array(F.struct(F.lit(0).alias("is"), F.col("first").alias("at")), F.struct(F.lit(1).alias("is"), F.col("last").alias("at")))))
+    ends = ends.select(*key, "mapped", "exact_characters", F.col("_end.is").alias("is"), F.col("_end.at").alias("lo"), (F.col("_end.at") + 1).alias("hi"))
+    place = heard.select("job_id", "unit_idx", F.col("lo").alias("ulo"), F.col("hi").alias("uhi"), F.col("start").alias("us"), F.col("end").alias("ue"))
+    at, width, seconds = F.col("lo") - F.col("ulo"), F.col("uhi") - F.col("ulo"), F.greatest(F.lit(0.0), F.col("ue") - F.col("us"))
+    of = lambda end, value: F.max_by(value, F.when(F.col("is") == end, 1))
+    met = spans_met(ends, place).groupBy(*key, "mapped", "exact_characters").agg(
+        of(0, F.col("unit_idx")).alias("u0"), of(0, F.col("us") + seconds * at / width).alias("start"), of(1, F.col("unit_idx")).alias("u1"), of(1, F.col("us") + seconds * (at + 1) / width).alias("end")
     )
-    place = letters(heard).select("job_id", "j", "unit_idx", "a", "b")
-    side = lambda c, *columns: place.select("job_id", F.col("j").alias(c), *columns)
-    met = met.join(side("first", F.col("unit_idx").alias("u0"), F.col("a").alias("start")), ["job_id", "first"]).join(side("last", F.col("unit_idx").alias("u1"), F.col("b").alias("end")), ["job_id", "last"])
     met = stored(met)
     # Ranges of following lines follow each other, so a unit is in two of them at most.
-    ranged = met.select(*key, F.explode(F.sequence("u0", "u1")).alias("unit_idx")).join(heard.select("job_id", "unit_idx", "text", "key"), ["job_id", "unit_idx"])
+    ranged = met.select(*key, F.explode(F.sequence("u0", "u1")).alias("unit_idx")).hint("merge").join(heard.select("job_id", "unit_idx", "text", "key"), ["job_id", "unit_idx"])
     said = ranged.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("unit_idx", F.trim("text").alias("text"), F.col("key").alias("k")))).alias("all"))
     texts = F.filter(F.transform("all", lambda x: F.coalesce(x["text"], F.lit(""))), lambda t: t != "")
     said = said.select(*key, F.array_join(texts, " ").alias("transcript_text"), F.array_join(F.transform("all", lambda x: x["k"]), "").alias("heard"))
     known = jobs.select("job_id", ((F.col("source") != "") & (F.col("heard") != "")).alias("compared"))
-    rows = lines.join(met.drop("u0", "u1", "first", "last"), key, "left").join(said, key, "left").join(known, "job_id", "left")
+    rows = lines.join(met.drop("u0", "u1"), key, "left").join(said, key, "left").join(known, "job_id", "left")
     found = F.col("mapped").isNotNull()
     zero = F.lit(0.0)
     rows = rows.withColumns(

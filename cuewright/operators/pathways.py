@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from cuewright.sources.tables import dealt, stored
 
 MATCH, MISMATCH, GAP = 3, -2, -2
-#: Letters of a tile's sides: two tables of a bit less than 17 MB.
-TILE = 4096
-PAIRS = "i int, j int, same boolean"
+#: Letters of a tile's sides; bytes of a tile's scores that are all kept, and rows worked out again at a time where they are more.
+TILE, KEPT, ROWS = 16384, 1 << 25, 256
+RUNS = "i int, j int, n int, same boolean"
 
 
 def codes(text: str) -> np.ndarray:
@@ -29,47 +29,85 @@ def codes(text: str) -> np.ndarray:
 
 
 class Tile:
-    """Scores of a tile, with what a gap in the source's way costs by place taken off, so that such gaps cost nothing within a row.
+    """Scores of a tile, with what gaps cost by place taken off both ways, so that a gap costs nothing and a step is three operations on a row.
 
-    ``top`` is the row above from the column before on, ``left`` the column before.
+    ``top`` is the row above from the column before on, ``left`` the column before. With ``moves`` the way back can be found: a small tile
+    keeps its scores, of a large one each ``ROWS``-th row is kept and those between are worked out again where the way comes by.
     """
 
     def __init__(self, source: np.ndarray, heard: np.ndarray, top: np.ndarray, left: np.ndarray, moves: bool):
-        gains = {c: np.where(heard == c, MATCH - GAP, MISMATCH - GAP).astype(np.int32) for c in set(source.tolist())}
-        row, right = top.astype(np.int32), np.empty(len(source), np.int32)
-        if moves:
-            self.paired, self.skipped = np.zeros((len(source), len(top)), bool), np.zeros((len(source), len(top)), bool)
-        for k, c in enumerate(source.tolist()):
-            up, pair = row + np.int32(GAP), row[:-1] + gains[c]
-            best = np.empty_like(row)
-            best[0] = left[k]
-            np.maximum(up[1:], pair, out=best[1:])
-            row = np.maximum.accumulate(best)
-            right[k] = row[-1]
-            if moves:
-                np.equal(pair, row[1:], out=self.paired[k, 1:])
-                np.equal(up, row, out=self.skipped[k])
-        self.bottom, self.right = row, right
+        n, m, self.base = len(source), len(heard), int(top[0])
+        gain = MATCH - 2 * GAP
+        most = max(int((top + gain * np.minimum(n, np.arange(m, -1, -1))).max()), int((left + gain * np.minimum(m, np.arange(n, 0, -1))).max()) + gain) - self.base
+        self.kind = np.int16 if most < 1 << 15 else np.int32
+        self.source, self.heard = source.tolist(), heard
+        self.gains = {c: np.where(heard == c, gain, MISMATCH - 2 * GAP).astype(self.kind) for c in set(self.source)}
+        self.left = (left - self.base).tolist()
+        row = (top - self.base).astype(self.kind)
+        self.step = 0 if not moves else 1 if (n + 1) * (m + 1) * row.itemsize <= KEPT else ROWS
+        right = np.empty(n, np.int64)
+        if self.step == 1:
+            self.rows = np.empty((n + 1, m + 1), self.kind)
+            self.rows[0] = row
+            self._fill(self.rows, 0)
+            row, right[:] = self.rows[n], self.rows[1:, -1]
+        else:
+            self.rows = []
+            for k in range(0, n, ROWS):
+                block = np.empty((min(ROWS, n - k) + 1, m + 1), self.kind)
+                block[0] = row
+                if self.step:
+                    self.rows.append(row)
+                self._fill(block, k)
+                row = block[-1].copy()
+                right[k : k + len(block) - 1] = block[1:, -1]
+        self.bottom, self.right = row.astype(np.int64) + self.base, right + self.base
+
+    def _fill(self, block: np.ndarray, first: int) -> None:
+        """The rows of a block after its first, which is row ``first`` of the tile."""
+        width = block.shape[1]
+        best = np.empty(width, self.kind)
+        inner = best[1:]
+        gains = {c: g[: width - 1] for c, g in self.gains.items()}
+        row = block[0]
+        for new, c, edge in zip(block[1:], self.source[first:], self.left[first:], strict=False):
+            np.add(row[:-1], gains[c], out=inner)
+            np.maximum(inner, row[1:], out=inner)
+            best[0] = edge
+            np.maximum.accumulate(best, out=new)
+            row = new
 
     def back(self, i: int, j: int) -> tuple[list[int], list[int], int, int]:
         """The pairs on the way from a place (counted from 1) to the tile's edge, and the place beyond it where the way leaves."""
         a, b = [], []
+        source, heard = self.source, self.heard.tolist()
+        same, other = MATCH - 2 * GAP, MISMATCH - 2 * GAP
         while i and j:
-            # Of equal ways a pair comes first, then a source letter without a partner.
-            if self.paired[i - 1, j]:
-                i, j = i - 1, j - 1
-                a.append(i)
-                b.append(j)
-            elif self.skipped[i - 1, j]:
-                i -= 1
+            if self.step == 1:
+                low, block = 0, self.rows
             else:
-                j -= 1
+                low = (i - 1) // ROWS * ROWS
+                block = np.empty((i - low + 1, j + 1), self.kind)
+                block[0] = self.rows[low // ROWS][: j + 1]
+                self._fill(block, low)
+            score = block.item
+            while i > low and j:
+                here = score(i - low, j)
+                # Of equal ways a pair comes first, then a source letter without a partner.
+                if here == score(i - low - 1, j - 1) + (same if source[i - 1] == heard[j - 1] else other):
+                    i, j = i - 1, j - 1
+                    a.append(i)
+                    b.append(j)
+                elif here == score(i - low - 1, j):
+                    i -= 1
+                else:
+                    j -= 1
         return a, b, i, j
 
 
-def _edges(n: int, m: int, i: int = 0, j: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _edges(n: int, m: int, j: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The row above the whole table, where all of ``heard`` is free, and the column before it, where the source is lost."""
-    return -GAP * np.arange(j, j + m + 1), GAP * np.arange(i + 1, i + n + 1)
+    return -GAP * np.arange(j, j + m + 1), np.zeros(n, np.int64)
 
 
 def align(source: str, heard: str) -> np.ndarray:
@@ -86,20 +124,26 @@ def align(source: str, heard: str) -> np.ndarray:
     return out
 
 
+def runs_of(i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs in ascending order as runs (i, j, n, same) of pairs that follow each other and are all of one kind."""
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j) != 1) | (same[1:] != same[:-1])))) if len(i) else np.zeros(0, np.int64)
+    return i[first], j[first], np.diff(np.append(first, len(i))), same[first]
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             source, heard = batch.column("source")[row].as_py(), batch.column("heard")[row].as_py()
             found = align(source, heard)
             i = np.flatnonzero(found >= 0)
+            i, j, n, same = runs_of(i, found[i], codes(source)[i] == codes(heard)[found[i]])
             job = batch.column("job_id").take(pa.array([row] * len(i), pa.int64()))
-            same = codes(source)[i] == codes(heard)[found[i]] if len(i) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([job, pa.array(i, pa.int32()), pa.array(found[i], pa.int32()), pa.array(same)], ["job_id", "i", "j", "same"])
+            yield pa.RecordBatch.from_arrays([job, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.bool_())], ["job_id", "i", "j", "n", "same"])
 
 
 def _sides(row: dict, size: int) -> tuple[np.ndarray, ...]:
     s, h = codes(row["source"]), codes(row["heard"])
-    top, left = _edges(len(s), len(h), row["ti"] * size, row["tj"] * size)
+    top, left = _edges(len(s), len(h), row["tj"] * size)
     return s, h, top if row["top"] is None else np.array(row["top"]), left if row["left"] is None else np.array(row["left"])
 
 
@@ -114,12 +158,18 @@ def paths(jobs: DataFrame, tile: int | None = None) -> DataFrame:
 
     Jobs with an empty text have none.
     """
+    pairs = pair_runs(jobs, tile).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return pairs.select("job_id", (F.col("i") + F.col("_k")).alias("i"), (F.col("j") + F.col("_k")).alias("j"), "same")
+
+
+def pair_runs(jobs: DataFrame, tile: int | None = None) -> DataFrame:
+    """(job_id, i, j, n, same): the same as runs of ``n`` pairs that follow each other in both texts."""
     size = tile or TILE
     kind = dict(jobs.dtypes)["job_id"]
     n, m = F.char_length("source"), F.char_length("heard")
     some = jobs.select("job_id", "source", "heard").filter((n > 0) & (m > 0))
     small = (n <= size) & (m <= size)
-    done = dealt(some.filter(small), "job_id").mapInArrow(_whole, f"job_id {kind}, {PAIRS}")
+    done = dealt(some.filter(small), "job_id").mapInArrow(_whole, f"job_id {kind}, {RUNS}")
     large = some.filter(~small)
     if large.isEmpty():
         return done
@@ -174,15 +224,16 @@ def _tiled(jobs: DataFrame, size: int, kind: str) -> DataFrame:
                 s, h, top, left = _sides(row, size)
                 di, dj = row["ti"] * size, row["tj"] * size
                 a, b, i, j = Tile(s, h, top, left, moves=True).back(row["i"] - di, row["j"] - dj)
-                same = (s[a] == h[b]).tolist() if a else []
-                pairs = [{"i": x + di, "j": y + dj, "same": z} for x, y, z in zip(a, b, same, strict=True)]
-                yield _listed(batch.column("job_id"), [[at, i + di, j + dj, pairs]], ["i", "j", "pairs"], [pa.int32(), pa.int32(), pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("same", pa.bool_())]))])
+                a, b = np.array(a[::-1], np.int64), np.array(b[::-1], np.int64)
+                runs = [dict(zip(("i", "j", "n", "same"), run, strict=True)) for run in zip(*(x.tolist() for x in runs_of(a + di, b + dj, s[a] == h[b])), strict=True)]
+                yield _listed(batch.column("job_id"), [[at, i + di, j + dj, runs]], ["i", "j", "runs"], [pa.int32(), pa.int32(), kept])
 
+    kept = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int32()), ("same", pa.bool_())]))
     found = []
     while not place.isEmpty():
         tile_of = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
         here = place.filter("i > 0 AND j > 0").withColumns({"ti": tile_of("i"), "tj": tile_of("j")})
-        step = stored(texts(here.join(tiles, ["job_id", "ti", "tj"])).mapInArrow(back, f"job_id {kind}, i int, j int, pairs array<struct<{PAIRS.replace(' int', ': int').replace(' boolean', ': boolean')}>>"))
-        found.append(step.select("job_id", F.inline("pairs")))
+        step = stored(dealt(texts(here.join(tiles, ["job_id", "ti", "tj"])), "job_id").mapInArrow(back, f"job_id {kind}, i int, j int, runs array<struct<i: int, j: int, n: int, same: boolean>>"))
+        found.append(step.select("job_id", F.inline("runs")))
         place = step.select("job_id", "i", "j").filter("i > 0 AND j > 0")
     return reduce(DataFrame.unionByName, found)
