@@ -128,7 +128,7 @@ def find_all(target: str, keys: list[str | None], back: int = 4, ahead: bool = T
 
 def line_spans(lines: DataFrame, native: bool = False) -> DataFrame:
     """Lines (job_id, cue_idx, text) with their ``key`` and its range ``lo``, ``hi`` in the job's joined keys."""
-    keyed = lines.withColumn("key", (match_key_native if native else match_key)(F.col("text")))
+    keyed = stored(lines.withColumn("key", (match_key_native if native else match_key)(F.col("text"))))  # read twice
     return char_spans(keyed, F.col("key"), "cue_idx")
 
 

@@ -34,3 +34,13 @@ def test_rows_before_an_explode_are_not_broadcast(spark):
     for found in (intervals.met(lines, units), meeting(lines, units, ("lo", "hi"), ("ulo", "uhi"), 256)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_of_lines_are_made_once(spark):
+    """A running sum reads its rows twice; the keys, from Python, were made twice with all that led to them."""
+    from cuewright.operators import locate
+
+    lines = spark.createDataFrame([("j", 0, "Ａ b"), ("j", 1, "Straße")], "job_id string, cue_idx int, text string")
+    spans = locate.line_spans(lines)
+    assert "ArrowEvalPython" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.cue_idx, r.key, r.lo, r.hi) for r in spans.collect()) == [(0, "ab", 0, 2), (1, "strasse", 2, 9)]
