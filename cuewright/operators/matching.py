@@ -28,7 +28,7 @@ def usable(similarity: float = 0.48, coverage: float = 0.45) -> Column:
 
 def _keyed(rows: DataFrame, order: str, native: bool) -> DataFrame:
     key = (match_key_native if native else match_key)(F.coalesce("text", F.lit("")))
-    return char_spans(rows.withColumn("key", key), F.col("key"), order)
+    return char_spans(stored(rows.withColumn("key", key)), F.col("key"), order)  # read twice
 
 
 def _joined(rows: DataFrame, order: str, name: str) -> DataFrame:

@@ -266,7 +266,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     turns = _table(spark, sf_dir, "conversations").filter(F.length(F.trim("text")) > 0)
     order = F.sort_array(F.collect_list(F.struct("turn", F.translate("text", "\n\r", "  ").alias("t"))))
     texts = turns.groupBy(F.col("conv_id").alias("job_id")).agg(F.array_join(F.transform(order, lambda x: x["t"]), "\n").alias("text"))
-    texts = texts.withColumn("duration", F.char_length("text") / 10.0)
+    texts = stored(texts.withColumn("duration", F.char_length("text") / 10.0))
     words = texts.select("job_id", F.posexplode(F.split("text", r"\s+")).alias("unit_idx", "text"))
     whole = words.select("job_id", F.col("unit_idx").cast("long").alias("unit_idx"), "text", (F.col("unit_idx") * 0.5).alias("start"), (F.col("unit_idx") * 0.5 + 0.4 - (F.col("unit_idx") % 3) * 0.1).alias("end"))
     heard = whole.withColumn("text", F.when(F.col("unit_idx") % 9 == 8, "hm").otherwise(F.col("text")))
@@ -293,7 +293,7 @@ def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segmented_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of up to 80 characters cut by the times of their units."""
     texts, _, whole = _turns(spark, sf_dir)
-    lines = split_cues(texts.select("job_id", "text"), 80)
+    lines = stored(split_cues(texts.select("job_id", "text"), 80))
     cues = locate.optional_cues(lines, whole).filter("start IS NOT NULL").withColumn("weak", F.col("cue_idx") % 3 == 0)
     nothing = whole.withColumn("cue_idx", F.lit(0)).limit(0)
     return segments.auto_segment(lines.select("job_id", "cue_idx", "text"), cues.select("job_id", "cue_idx", "text", "start", "end", "weak"), whole, nothing).drop("weak")
