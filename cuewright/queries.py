@@ -98,8 +98,8 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def onset_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts snapped to onsets, tails and phrase ends of points between the frames of half a second."""
-    mask = _mask(spark, sf_dir)
-    segs = activity.segments(mask, hop=0.5)
+    mask = stored(_mask(spark, sf_dir))
+    segs = stored(activity.segments(mask, hop=0.5))
     points = mask.select("job_id", F.col("frame").alias("cue_idx"), (F.col("frame") * 0.5 + 0.125).alias("at"))
     found = [f(points, segs).drop("at") for f in (onsets.snap_start, onsets.tail_end, onsets.phrase_end)]
     return found[0].join(found[1], ["job_id", "cue_idx"]).join(found[2], ["job_id", "cue_idx"])

@@ -44,3 +44,10 @@ def test_keys_of_lines_are_made_once(spark):
     spans = locate.line_spans(lines)
     assert "ArrowEvalPython" not in spans._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.cue_idx, r.key, r.lo, r.hi) for r in spans.collect()) == [(0, "ab", 0, 2), (1, "strasse", 2, 9)]
+
+
+def test_frames_of_onsets_are_numbered_once(spark):
+    """Events were read and numbered anew for each of the points and segments of three joins."""
+    from cuewright import queries
+
+    assert not any("events" in f for f in queries.onset_times(spark, "/root/testdata/sf0.001").inputFiles())
