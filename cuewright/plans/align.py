@@ -126,7 +126,7 @@ def align(texts: DataFrame, transcript_units: DataFrame, global_units: DataFrame
         matches = stored(matching.match_lines(lines, transcript_units))
     placed = evidence.drop_failed_tail(global_units.join(texts.select("job_id", "duration"), "job_id")).drop("duration")
     whole = stored(optional_cues(lines.select(*key, "text"), placed))
-    local = local_times(local_units)
+    local = stored(local_times(local_units))
     chosen, unresolved = evidence.choose_cues(lines, local, whole)
     refined = stored(evidence.refine_starts(evidence.with_evidence(chosen.filter(~F.col("hidden")), matches, local, whole)))
     moves = evidence.adjustments(refined)
