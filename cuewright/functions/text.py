@@ -27,10 +27,17 @@ def normalize_line(text: Column) -> Column:
     return squeeze(nfkc(text))
 
 
-def match_key(text: Column) -> Column:
+def folded(text: str) -> str:
     """Compatibility form, case-folded, letters and numbers only."""
-    fold = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if c.isalnum())
-    return F.pandas_udf(lambda s: s.map(fold), "string")(text)
+    text = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+    return text if text.isalnum() else "".join(filter(str.isalnum, text))
+
+
+def match_key(text: Column) -> Column:
+    """``folded`` texts; null stays."""
+    import pandas as pd
+
+    return F.pandas_udf(lambda s: pd.Series([None if t is None else folded(t) for t in s], dtype="object"), "string")(text)
 
 
 def match_key_native(text: Column) -> Column:

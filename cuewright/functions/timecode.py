@@ -10,7 +10,9 @@ def srt_time(seconds: Column) -> Column:
     """HH:MM:SS,mmm, milliseconds rounded half-even, never below zero."""
     ms = F.greatest(F.lit(0), F.rint(seconds * 1000).cast("bigint"))
     unit = lambda d, m: (F.floor(ms / d) % m).cast("bigint") if m else F.floor(ms / d).cast("bigint")
-    return F.format_string("%02d:%02d:%02d,%03d", unit(3_600_000, 0), unit(60_000, 60), unit(1000, 60), ms % 1000)
+    hours, zeros = unit(3_600_000, 0), lambda n, digits: F.lpad(n.cast("string"), digits, "0")
+    hours = F.when(hours < 10, zeros(hours, 2)).otherwise(hours.cast("string"))
+    return F.concat(hours, F.lit(":"), zeros(unit(60_000, 60), 2), F.lit(":"), zeros(unit(1000, 60), 2), F.lit(","), zeros(ms % 1000, 3))
 
 
 def clock(seconds: Column) -> Column:

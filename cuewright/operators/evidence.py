@@ -36,6 +36,24 @@ def with_evidence(cues: DataFrame, matches: DataFrame, local: DataFrame, whole:
     return cues.join(match, key, "left").join(times(local, "local"), key, "left").join(times(whole, "global"), key, "left")
 
 
+def weighed(lines: DataFrame, matches: DataFrame, local: DataFrame) -> DataFrame:
+    """What ``choose_cues``, ``with_evidence`` and ``refine_starts`` say of lines that carry their whole-text times, joined once.
+
+    ``lines`` has ``start`` and ``end`` of the whole text and ``hidden``; ``matches`` has a row for each. Lines without times are left out, hidden ones stay as they are.
+    """
+    key = ["job_id", "cue_idx"]
+    w = Window.partitionBy("job_id").orderBy("cue_idx")
+    good = strong(F.col("match_start"), F.col("match_end"), F.col("exact_characters"), F.col("similarity"), F.col("coverage"))
+    match = matches.select(*key, F.col("start").alias("match_start"), F.col("end").alias("match_end"), "exact_characters", "similarity", "coverage")
+    near = local.select(*key, F.col("start").alias("local_start"), F.col("end").alias("local_end"), F.lit(True).alias("_near"))
+    rows = lines.withColumnsRenamed({"start": "global_start", "end": "global_end"}).join(match, key, "left").join(near, key, "left").withColumn("match_strong", good)
+    rows = rows.withColumns({"previous_match_end": F.lag("match_end").over(w), "previous_strong": F.lag("match_strong").over(w)}).drop("match_end", "exact_characters", "similarity", "coverage")
+    rows = rows.filter(F.col("_near") | F.col("global_start").isNotNull())
+    rows = rows.withColumns({c: F.when(F.col("_near"), F.col(f"local_{c}")).otherwise(F.col(f"global_{c}")) for c in ("start", "end")})
+    rows = refine_starts(rows.withColumns({"match_strong": F.col("match_strong") & ~F.col("hidden"), "_end": F.col("end")}))
+    return rows.withColumn("end", F.when(F.col("hidden"), F.col("_end")).otherwise(F.col("end"))).drop("_near", "_end")
+
+
 def refine_starts(rows: DataFrame) -> DataFrame:
     """Later starts for rows of ``with_evidence``; adds ``original_start``, ``floor_start`` and ``consensus_start`` (null where the rule says nothing).
 

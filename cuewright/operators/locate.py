@@ -1,7 +1,7 @@
 """Places of heard units in known text: a search that goes on from a cursor.
 
 Each step begins where the one before ended, so a job's units go through one task, in time of a little more than their number: a
-positional index of the job's text gives every place of a key, in order, and a binary search the next one.
+positional index of a long text gives every place of a key, in order, and a binary search the next one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import match_key, match_key_native
-from cuewright.operators.intervals import char_spans, largest_overlap, overlap_times
+from cuewright.operators.intervals import char_spans, overlap_times
+from cuewright.operators.jobs import doubles, ends_of, field, fields, keyed, keys_of, nulls, side_by_side
 from cuewright.sources.tables import dealt, stored
 
 FOUND = "array<struct<at: int, lo: int, hi: int>>"
@@ -104,6 +105,9 @@ class Places:
 
     def next(self, key: str, low: int, high: int | None = None) -> int | None:
         """The first place of ``key`` from ``low`` on that ends by ``high``."""
+        if self.order is None:
+            place = self.text.find(key, low, high)
+            return None if place < 0 else place
         places = self.of(key)
         k = bisect_left(places, low)
         return places[k] if k < len(places) and (high is None or places[k] + len(key) <= high) else None
@@ -173,14 +177,51 @@ def strict_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> Dat
     return rows.withColumns(times).drop("key", "lo", "hi", "failed_unit")
 
 
+def _placed(lines: pa.StructArray, units: pa.StructArray, **how) -> tuple[np.ndarray, ...]:
+    """Pairs (line, unit) that share letters, by unit and then by line, with the ranges lo, hi and ulo, uhi of both."""
+    lines, said = keys_of(lines), keys_of(units)
+    lo, hi = ends_of(lines)
+    places, _ = find_all("".join(lines), said, **how)
+    at = np.array([k for k, place in enumerate(places) if place is not None], np.int64)
+    ulo = np.array([place for place in places if place is not None], np.int64)
+    uhi = ulo + np.fromiter((len(said[k]) for k in at.tolist()), np.int64, len(at))
+    some = np.flatnonzero(hi > lo)
+    first, last = np.searchsorted(hi[some], ulo, "right"), np.searchsorted(lo[some], uhi, "left")
+    n = last - first
+    unit = np.repeat(np.arange(len(at)), n)
+    line = some[np.arange(len(unit)) - np.repeat(np.cumsum(n) - n - first, n)]
+    return line, at[unit], lo[line], hi[line], ulo[unit], uhi[unit]
+
+
 def optional_cues(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:
-    """Lines with times from units; null where no unit meets the line. Units that are not in the text are passed over."""
-    spans = stored(line_spans(lines, native))
-    return overlap_times(spans, unit_spans(spans, units, native)[0]).drop("key", "lo", "hi")
+    """Lines with times from units, as ``overlap_times`` gives them; null where no unit meets the line. Units that are not in the text are passed over."""
+    rest = [f for f in fields(lines) if f.name not in ("job_id", "start", "end")]
+
+    def step(mine: pa.StructArray, said: pa.StructArray) -> list[pa.Array]:
+        line, unit, lo, hi, ulo, uhi = _placed(mine, said)
+        us, ue = doubles(said, "start")[unit], doubles(said, "end")[unit]
+        rate = (ue - us) / (uhi - ulo)
+        times = []
+        for place, pairs in ((np.maximum(lo, ulo), slice(None)), (np.minimum(hi, uhi), slice(None, None, -1))):
+            value, none = us + (place - ulo) * rate, (nulls(said, "start") | nulls(said, "end"))[unit]
+            met, at = np.unique(line[pairs], return_index=True)  # the first of each line, or the last
+            time, unmet = np.zeros(len(mine)), np.ones(len(mine), bool)
+            time[met], unmet[met] = value[pairs][at], none[pairs][at]
+            times.append(pa.array(time, pa.float64(), mask=unmet))
+        return [*(mine.field(f.name) for f in rest), *times]
+
+    lines = keyed(lines.select("job_id", *(f.name for f in rest)), native)
+    return side_by_side(lines, keyed(units.select("job_id", "unit_idx", "text", "start", "end"), native), step, [*rest, field("start"), field("end")])
 
 
 def units_of_lines(lines: DataFrame, units: DataFrame, native: bool = False) -> DataFrame:
-    """Units with ``cue_idx``: the line of the job that holds most of the unit's characters. Units not in the text are left out."""
-    spans = stored(line_spans(lines, native))
-    found = unit_spans(spans, units, native, only_forward=True)[0]
-    return units.join(largest_overlap(found, spans), ["job_id", "unit_idx"])
+    """Units with ``cue_idx``: the line of the job that holds most of the unit's characters, the first of equals. Units not in the text are left out."""
+    rest = [f for f in fields(units) if f.name not in ("job_id", "cue_idx")]
+
+    def step(mine: pa.StructArray, said: pa.StructArray) -> list[pa.Array]:
+        line, unit, lo, hi, ulo, uhi = _placed(mine, said, only_forward=True)
+        order = np.lexsort((line, np.maximum(lo, ulo) - np.minimum(hi, uhi), unit))
+        which, at = np.unique(unit[order], return_index=True)
+        return [*(said.take(pa.array(which)).field(f.name) for f in rest), mine.field("cue_idx").take(pa.array(line[order][at]))]
+
+    return side_by_side(keyed(lines.select("job_id", "cue_idx", "text"), native), keyed(units.select("job_id", *(f.name for f in rest)), native), step, [*rest, *fields(lines, "cue_idx")])

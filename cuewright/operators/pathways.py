@@ -21,6 +21,8 @@ from cuewright.sources.tables import dealt, stored
 MATCH, MISMATCH, GAP = 3, -2, -2
 #: Letters of a tile's sides; bytes of a tile's scores that are all kept, and rows worked out again at a time where they are more.
 TILE, KEPT, ROWS = 16384, 1 << 25, 256
+#: A band is tried first that has room for a LOST-th of the source without partners; it must leave out 1 - NARROW of the table.
+LOST, NARROW = 10, 0.7
 RUNS = "i int, j int, n int, same boolean"
 
 
@@ -110,6 +112,77 @@ def _edges(n: int, m: int, j: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return -GAP * np.arange(j, j + m + 1), np.zeros(n, np.int64)
 
 
+class Band:
+    """The scores of a ``Tile`` over the whole table, of places (i, j) with -``lost`` <= j - i <= ``lost`` + m - n alone.
+
+    A source letter without a partner and a pair of different letters each take MATCH - GAP off the score of n equal pairs, so a way
+    outside of the band, on which more than ``lost`` letters have no partner, takes off more than ``lost`` of these: where the best
+    in the band takes off no more (``needed``), it is the best of all, and all ways as good lie in the band.
+    """
+
+    def __init__(self, source: np.ndarray, heard: np.ndarray, lost: int):
+        n, m = len(source), len(heard)
+        self.lost, width, gain = lost, 2 * lost + m - n + 1, MATCH - 2 * GAP
+        kind = np.int16 if gain * n - 2 * GAP * (m + lost) < 1 << 15 else np.int32
+        outside = 2 * GAP * n - 8
+        padded = np.concatenate((np.zeros(lost, np.uint32), heard, np.zeros(lost, np.uint32)))
+        self.source, self.heard = source.tolist(), heard.tolist()
+        gains = {c: np.where(padded == c, gain, MISMATCH - 2 * GAP).astype(kind) for c in set(self.source)}
+        # Column k of row i is place j = i - lost + k; after the last stands one that no way comes from.
+        self.rows = np.empty((n + 1, width + 1), kind)
+        self.rows[:, width] = outside
+        j = np.arange(width) - lost
+        self.rows[0, :width] = np.where(j < 0, outside, -GAP * j)
+        best = np.empty(width, kind)
+        row = self.rows[0]
+        for at, (c, new) in enumerate(zip(self.source, self.rows[1:], strict=True)):
+            np.add(row[:-1], gains[c][at : at + width], out=best)
+            np.maximum(best, row[1:], out=best)
+            np.maximum.accumulate(best, out=new[:-1])
+            row = new
+        first, last = max(0, n - lost), min(m, m + lost)
+        ends = row[first - n + lost : last - n + lost + 1] + GAP * np.arange(first, last + 1)
+        self.end = int(ends.argmax()) + first
+        self.needed = ((MATCH - GAP) * n - int(ends.max())) // (MATCH - GAP)
+
+    def back(self) -> tuple[list[int], list[int]]:
+        """The pairs on the way back, last first; of equal ways as in ``Tile``."""
+        a, b = [], []
+        source, heard, score = self.source, self.heard, self.rows.item
+        same, other = MATCH - 2 * GAP, MISMATCH - 2 * GAP
+        i, j = len(source), self.end
+        k = j - i + self.lost
+        here = score(i, k)
+        while i and j:
+            before = score(i - 1, k)
+            if here == before + (same if source[i - 1] == heard[j - 1] else other):
+                i, j, here = i - 1, j - 1, before
+                a.append(i)
+                b.append(j)
+            elif here == score(i - 1, k + 1):
+                i, k = i - 1, k + 1
+            else:
+                j, k = j - 1, k - 1
+                here = score(i, k)
+        return a, b
+
+
+def _banded(source: np.ndarray, heard: np.ndarray) -> Band | None:
+    """The band that holds all best ways, if it is much narrower than the table and its scores can be kept."""
+    n, m = len(source), len(heard)
+    lost = n // LOST + max(0, n - m) // 2 + 8
+    for _ in range(2):  # the second is as wide as the first one needs
+        lost = max(lost, n - m)
+        width = 2 * lost + m - n + 1
+        if width > NARROW * m or (n + 1) * (width + 1) * 4 > KEPT:
+            return None
+        band = Band(source, heard, lost)
+        if band.needed <= lost:
+            return band
+        lost = band.needed
+    return None
+
+
 def align(source: str, heard: str) -> np.ndarray:
     """For each source character the place of its partner in ``heard``, or -1.
 
@@ -117,7 +190,10 @@ def align(source: str, heard: str) -> np.ndarray:
     """
     s, h = codes(source), codes(heard)
     out = np.full(len(s), -1, np.int64)
-    if len(s):
+    if len(s) and (band := _banded(s, h)):
+        a, b = band.back()
+        out[a] = b
+    elif len(s):
         tile = Tile(s, h, *_edges(len(s), len(h)), moves=True)
         a, b, _, _ = tile.back(len(s), int((tile.bottom + GAP * np.arange(len(h) + 1)).argmax()))
         out[a] = b

@@ -14,15 +14,39 @@ RANGE = 1 << 16
 KINDS = ("sum", "max_before", "last", "lag", "lead", "total")
 
 
-def scan(rows: DataFrame, order: str, size: int | None = None, **wanted: tuple[str, Column]) -> DataFrame:
+def within_a_range(rows: DataFrame, order: str) -> bool:
+    """Whether all jobs of a stored table lie within the first range."""
+    first, last = rows.agg(F.min(order), F.max(order)).first()
+    return first is None or 0 <= first and last < RANGE
+
+
+def _windows(rows: DataFrame, order: str, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    all_rows = Window.partitionBy("job_id")
+    job = all_rows.orderBy(order)
+    upto, before = (job.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    kinds = {
+        "sum": lambda v: F.sum(v).over(upto),
+        "total": lambda v: F.sum(v).over(all_rows),
+        "max_before": lambda v: F.max(v).over(before),
+        "last": lambda v: F.last(v, True).over(upto),
+        "lag": lambda v: F.lag(v).over(job),
+        "lead": lambda v: F.lead(v).over(job),
+    }
+    return rows.withColumns({name: kinds[kind](value) for name, (kind, value) in wanted.items()})
+
+
+def scan(rows: DataFrame, order: str, size: int | None = None, short: bool = False, **wanted: tuple[str, Column]) -> DataFrame:
     """Rows with a column for each of ``wanted`` (kind, value), over the job's rows in the order of an integer column.
 
     ``sum`` and ``last`` (the last value that is not null) include the row itself; ``max_before`` does not; ``lag`` and ``lead`` are the values of
     the rows next to it; ``total`` is the sum over all rows of the job. Nulls add nothing to a sum and are no maximum.
     The values must come from the row alone. Rows of one job with equal order have no defined order.
+    ``short`` says that all jobs lie ``within_a_range``: then nothing is carried, and scans that follow each other share one shuffle and one sort.
     """
     if unknown := [kind for kind, _ in wanted.values() if kind not in KINDS]:
         raise ValueError(f"no such kind: {unknown}")
+    if short:
+        return _windows(rows, order, wanted)
     at = F.col(order)
     rows = rows.withColumn("_range", F.floor(at / (size or RANGE)))
     adds = {

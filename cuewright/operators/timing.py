@@ -1,4 +1,4 @@
-"""Cue timing rules. Tables have job_id, cue_idx, start, end. Neighbours and running values come from ``scan``, so a long job fills many tasks."""
+"""Cue timing rules. Tables have job_id, cue_idx, start, end. Neighbours and running values come from ``scan``, so a long job fills many tasks; ``short`` is its."""
 
 from __future__ import annotations
 
@@ -24,10 +24,10 @@ def even_slots(cues: DataFrame, duration: str = "duration") -> DataFrame:
     return rows.withColumns({"start": i * d / n, "end": F.least(d, (i + 1) * d / n)}).drop("_n", "_i")
 
 
-def bound_overlaps(cues: DataFrame) -> DataFrame:
+def bound_overlaps(cues: DataFrame, short: bool = False) -> DataFrame:
     """A cue ends where the next one starts, if that is earlier, but not before its own start."""
     after = F.col("_after")
-    rows = scan(cues, "cue_idx", _after=("lead", F.col("start")))
+    rows = scan(cues, "cue_idx", short=short, _after=("lead", F.col("start")))
     return rows.withColumn("end", F.when(F.col("end") > after, F.greatest("start", after)).otherwise(F.col("end"))).drop("_after")
 
 
@@ -40,7 +40,7 @@ def polish(cues: DataFrame, lead: float = 0.08, pad: float = 0.3, shortest: floa
     return early.withColumn("end", end).withColumn("start", F.col("_start")).drop("_start", "_after")
 
 
-def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shortest: float = 0.5, longest: float = 10.0, gap: float = 0.08) -> DataFrame:
+def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shortest: float = 0.5, longest: float = 10.0, gap: float = 0.08, short: bool = False) -> DataFrame:
     """Hold cues over the silence after them, with a soft cap on their length (0: no cap).
 
     Optional columns: ``acoustic_start`` (a snapped onset; only ever moves a start later) and ``vocal_end``
@@ -53,7 +53,7 @@ def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shorte
     early = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), F.col("start"), heard("acoustic_start", "start")) - lead)
     # What shows the next cue is its own early start and this cue's trusted end, so neighbours say all.
     own_end = F.when(~F.col("_long"), F.col("end"))
-    rows = scan(rows.withColumn("_early", early), "cue_idx", _before=("lag", own_end), _after=("lead", F.col("_early")))
+    rows = scan(rows.withColumn("_early", early), "cue_idx", short=short, _before=("lag", own_end), _after=("lead", F.col("_early")))
     rows = rows.withColumn("_shown", F.greatest("_early", "_before"))  # greatest passes over nulls
     following = F.when(F.col("_after").isNotNull(), F.greatest(F.col("_after"), own_end))
     rows = rows.withColumns({"_trusted": F.when(F.col("_long"), F.col("_shown")).otherwise(F.col("end")), "_next": following})
@@ -66,10 +66,15 @@ def polish_singing(cues: DataFrame, lead: float = 0.0, hold: float = 0.5, shorte
     return rows.withColumn("end", F.greatest("_shown", end)).withColumn("start", F.col("_shown")).drop("_voice", "_long", "_early", "_before", "_after", "_shown", "_trusted", "_next")
 
 
-def reject_out_of_order(cues: DataFrame, source: str = "source_idx", slack: float = 0.25) -> DataFrame:
+def reject_out_of_order(cues: DataFrame, source: str = "source_idx", slack: float = 0.25, short: bool = False) -> DataFrame:
     """Adds ``rejected``: a run of cues of one source whose first cue starts ``slack`` before the first cue of any earlier run."""
-    rows = stored(scan(cues, "cue_idx", _source=("lag", F.struct(F.col(source).alias("s")))))
     leads = F.col("_source").isNull() | ~F.col("_source.s").eqNullSafe(F.col(source))
+    rows = scan(cues, "cue_idx", short=short, _source=("lag", F.struct(F.col(source).alias("s"))))
+    if short:
+        rows = scan(rows.withColumn("_leads", leads), "cue_idx", short=True, _latest=("max_before", F.when(F.col("_leads"), F.col("start"))))
+        late = F.when(F.col("_leads"), F.col("start") < F.coalesce("_latest", F.lit(-1.0)) - slack)
+        return scan(rows.withColumn("_late", late), "cue_idx", short=True, rejected=("last", F.col("_late"))).drop("_source", "_leads", "_latest", "_late")
+    rows = stored(rows)
     leaders = scan(rows.filter(leads).select("job_id", "cue_idx", "start"), "cue_idx", _latest=("max_before", F.col("start")))
     late = leaders.select("job_id", "cue_idx", (F.col("start") < F.coalesce("_latest", F.lit(-1.0)) - slack).alias("_late"))
     judged = stored(rows.drop("_source").join(late, ["job_id", "cue_idx"], "left"))

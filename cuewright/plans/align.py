@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators import evidence, matching, onsets, segments, timing
 from cuewright.operators.locate import optional_cues
+from cuewright.operators.scan import within_a_range
 from cuewright.plans.demo import render_srt
 from cuewright.sources.lines import split_cues
 from cuewright.sources.tables import stored
@@ -125,25 +126,27 @@ def align(texts: DataFrame, transcript_units: DataFrame, global_units: DataFrame
         lines = stored(evidence.apply_span(lines, span))
         matches = stored(matching.match_lines(lines, transcript_units))
     placed = evidence.drop_failed_tail(global_units.join(texts.select("job_id", "duration"), "job_id")).drop("duration")
-    whole = stored(optional_cues(lines.select(*key, "text"), placed))
+    timed_lines = stored(optional_cues(lines, placed))
+    whole = timed_lines.select(*key, "text", "start", "end")
     local = stored(local_times(local_units))
-    chosen, unresolved = evidence.choose_cues(lines, local, whole)
-    refined = stored(evidence.refine_starts(evidence.with_evidence(chosen.filter(~F.col("hidden")), matches, local, whole)))
-    moves = evidence.adjustments(refined)
-    cues = refined.select(*chosen.columns).unionByName(chosen.filter("hidden"))
+    _, unresolved = evidence.choose_cues(lines, local, whole)
+    refined = stored(evidence.weighed(timed_lines, matches, local))
+    moves = evidence.adjustments(refined.filter(~F.col("hidden")))
+    cues = refined.select(*timed_lines.columns)
     if policy.auto_segment:
         weak = matches.select(*key, (F.col("status") == "weak").alias("weak"))
         parts = segments.auto_segment(lines.select(*key, "text"), cues.join(weak, key, "left"), placed, local_units).withColumnRenamed("cue_idx", "source_idx")
         order = Window.partitionBy("job_id").orderBy("source_idx", "part_idx")
         parts = parts.withColumn("cue_idx", F.row_number().over(order) - 1).withColumn("barrier_before", F.col("barrier_before") & (F.col("part_idx") == 0))
-        cues = timing.merge_wrapped(parts).drop("part_idx", "weak", "merged")
+        cues = stored(timing.merge_wrapped(parts).drop("part_idx", "weak", "merged"))
     else:
         cues = cues.withColumn("source_idx", F.col("cue_idx"))
-    ordered = timing.reject_out_of_order(stored(cues))
-    kept = timing.bound_overlaps(ordered.filter(~F.col("rejected")))
+    short = within_a_range(cues, "cue_idx")
+    ordered = timing.reject_out_of_order(cues, short=short)
+    kept = timing.bound_overlaps(ordered.filter(~F.col("rejected")), short)
     if activity is not None:
         kept = with_activity(kept, activity, policy.longest)
-    timed = timing.polish_singing(kept, policy.lead, policy.hold, policy.shortest, policy.longest, policy.gap)
+    timed = timing.polish_singing(kept, policy.lead, policy.hold, policy.shortest, policy.longest, policy.gap, short)
     timed = stored(timed)
     status = evidence.job_status(texts, given, timed, span)
     shown = timed.filter(~F.col("hidden")).select("job_id", "cue_idx", "source_idx", "text", "start", "end")

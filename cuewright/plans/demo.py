@@ -20,7 +20,7 @@ def render_srt(cues: DataFrame, offset: float = 0.0, anchor: bool = False) -> Da
     anchored = (first > 0.6) if anchor else F.lit(False)
     number = F.row_number().over(w.orderBy("cue_idx")) + anchored.cast("int")
     time = F.concat(srt_time(F.col("start") + offset), F.lit(" --> "), srt_time(F.col("end") + offset))
-    block = F.format_string("%d\n%s\n%s", number, time, F.col("text"))
+    block = F.concat(number.cast("string"), F.lit("\n"), time, F.lit("\n"), F.coalesce("text", F.lit("null")))
     rows = cues.select("job_id", F.struct(number.alias("n"), block.alias("b")).alias("block"), anchored.alias("anchored"))
     blocks = rows.groupBy("job_id").agg(F.sort_array(F.collect_list("block")).alias("all"), F.first("anchored").alias("anchored"))
     lead = F.concat(F.lit("1\n"), srt_time(F.lit(0.0)), F.lit(" --> "), srt_time(F.lit(0.5)), F.lit("\n\u2800\n\n"))

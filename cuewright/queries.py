@@ -281,7 +281,7 @@ def unit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, heard, _ = _turns(spark, sf_dir)
-    return matching.match_lines(split_cues(texts.select("job_id", "text"), 30), heard)
+    return matching.match_lines(stored(split_cues(texts.select("job_id", "text"), 30)), heard)
 
 
 def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
