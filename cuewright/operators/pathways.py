@@ -2,7 +2,7 @@
 
 The score of a pair of places depends on its three neighbours alone, so the table of all pairs is cut into tiles of bounded size: a tile
 needs the last row of the tile above and the last column of the one before. Tiles of one diagonal are worked out together, for
-all jobs, and their edges are kept; the way back is found again within the tiles it crosses, one of each job a round. A job
+all jobs, but only those that a band about the best ways touches (``Band``), and their edges are kept; the way back is found again within the tiles it crosses, one of each job a round. A job
 whose texts fit one tile, as most do, is done in one step.
 """
 
@@ -220,7 +220,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sides(row: dict, size: int) -> tuple[np.ndarray, ...]:
     s, h = codes(row["source"]), codes(row["heard"])
     top, left = _edges(len(s), len(h), row["tj"] * size)
-    return s, h, top if row["top"] is None else np.array(row["top"]), left if row["left"] is None else np.array(row["left"])
+    # Beside a tile that was left out, scores are those of the ways straight on from the corner, which are no better than the best.
+    top = np.array(row["top"]) if row["top"] is not None else top if row["ti"] == 0 else np.full(len(h) + 1, row["corner"])
+    left = np.array(row["left"]) if row["left"] is not None else left if row["tj"] == 0 else np.full(len(s), top[0])
+    return s, h, top, left
 
 
 def _listed(job: pa.Array, rows: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -254,10 +257,11 @@ def pair_runs(jobs: DataFrame, tile: int | None = None) -> DataFrame:
 
 def _tiled(jobs: DataFrame, size: int, kind: str) -> DataFrame:
     count = lambda c: F.ceil(F.char_length(c) / size).cast("int")
-    sizes = stored(jobs.select("job_id", F.char_length("source").alias("n"), count("source").alias("rows"), count("heard").alias("columns")))
+    n, m = F.char_length("source"), F.char_length("heard")
+    lost = F.greatest(n - m, F.floor(n / LOST) + F.greatest(F.lit(0), F.floor((n - m) / 2)) + 8)
+    sizes = stored(jobs.select("job_id", n.alias("n"), m.alias("m"), count("source").alias("rows"), count("heard").alias("columns"), lost.cast("int").alias("lost")))
     cut = lambda c, name: jobs.select("job_id", F.explode(F.sequence(F.lit(0), count(c) - 1)).alias(name), F.col(c)).withColumn(c, F.substring(F.col(c), F.col(name) * size + 1, F.lit(size)))
     sources, heards = stored(cut("source", "ti")), stored(cut("heard", "tj"))
-    rounds = sizes.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0]
 
     def texts(tiles: DataFrame) -> DataFrame:
         return tiles.join(sources, ["job_id", "ti"]).join(heards, ["job_id", "tj"])
@@ -280,19 +284,33 @@ def _tiled(jobs: DataFrame, size: int, kind: str) -> DataFrame:
 
     schema = f"job_id {kind}, ti int, tj int, top array<int>, left array<int>, bottom array<int>, right array<int>, best int, end int"
     none = F.lit(None).cast("array<int>")
-    now = sizes.select("job_id", F.lit(0).alias("ti"), F.lit(0).alias("tj"), none.alias("top"), none.alias("left"))
-    tables = []
-    for k in range(rounds):
-        found = stored(dealt(texts(now).join(sizes, "job_id"), "job_id", "ti", "tj").mapInArrow(forward, schema))
-        tables.append(found)
-        if k + 1 < rounds:
-            below = found.select("job_id", (F.col("ti") + 1).alias("ti"), "tj", F.col("bottom").alias("top"))
-            after = found.select("job_id", "ti", (F.col("tj") + 1).alias("tj"), F.col("right").alias("left"))
-            now = below.join(after, ["job_id", "ti", "tj"], "full").join(sizes, "job_id").filter("ti < rows AND tj < columns").select("job_id", "ti", "tj", "top", "left")
-    tiles = reduce(DataFrame.unionByName, [t.select("job_id", "ti", "tj", "top", "left") for t in tables])
-    last = reduce(DataFrame.unionByName, [t.select("job_id", "best", "end") for t in tables]).filter("best IS NOT NULL")
-    place = last.groupBy("job_id").agg(F.max(F.struct("best", -F.col("end"))).alias("x")).join(sizes, "job_id")
-    place = stored(place.select("job_id", F.col("n").alias("i"), (-F.col("x")["col2"]).alias("j")))
+    inputs = ["job_id", "ti", "tj", "top", "left", "corner"]
+
+    def scored(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The edges of the tiles that the jobs' bands touch, and where the best way ends, with the band it needs."""
+        rounds = sizes.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0]
+        now = sizes.select("job_id", F.lit(0).alias("ti"), F.lit(0).alias("tj"), none.alias("top"), none.alias("left"), F.lit(None).cast("int").alias("corner"))
+        edges, lasts = [], []
+        for k in range(rounds):
+            found = stored(dealt(texts(now).join(sizes, "job_id"), "job_id", "ti", "tj").mapInArrow(forward, schema))
+            edges.append(now)
+            lasts.append(found.select("job_id", "best", "end"))
+            if k + 1 < rounds:
+                below = found.select("job_id", (F.col("ti") + 1).alias("ti"), "tj", F.col("bottom").alias("top"))
+                after = found.select("job_id", "ti", (F.col("tj") + 1).alias("tj"), F.col("right").alias("left"), F.element_at("top", -1).alias("corner"))
+                touched = f"ti < rows AND tj < columns AND (tj - ti + 1) * {size} >= -lost AND (tj - ti - 1) * {size} <= lost + m - n"
+                now = stored(below.join(after, ["job_id", "ti", "tj"], "full").join(sizes, "job_id").filter(touched).select(*inputs))
+        last = reduce(DataFrame.unionByName, lasts).filter("best IS NOT NULL")
+        place = last.groupBy("job_id").agg(F.max(F.struct("best", -F.col("end"))).alias("x")).join(sizes, "job_id")
+        needed = F.floor(((MATCH - GAP) * F.col("n") - F.col("x.best")) / (MATCH - GAP)).cast("int")
+        return reduce(DataFrame.unionByName, edges), stored(place.select("job_id", F.col("n").alias("i"), (-F.col("x")["col2"]).alias("j"), "lost", needed.alias("needed")))
+
+    tiles, place = scored(sizes)
+    wider = stored(place.filter("needed > lost").select("job_id", "needed"))
+    if not wider.isEmpty():  # as wide as the first one needs
+        again, ends = scored(stored(sizes.join(wider, "job_id").withColumn("lost", F.col("needed")).drop("needed")))
+        tiles, place = tiles.join(wider, "job_id", "left_anti").unionByName(again), place.filter("needed <= lost").unionByName(ends)
+    place = place.select("job_id", "i", "j")
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

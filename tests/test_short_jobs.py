@@ -100,3 +100,12 @@ def test_evidence_joined_once(spark):
     assert rows(got.select(*chosen.columns)) == rows(want) and plan(got).count("Join") == 3
     moves = rows(evidence.adjustments(refined))
     assert rows(evidence.adjustments(got.filter("NOT hidden"))) == moves and len(moves) > 10
+
+
+def test_edges_beside_tiles_outside_of_the_band():
+    """All tiles of a long job were worked out; one beside a tile that is left out goes on from the corner."""
+    row = {"source": "abc", "heard": "ab", "ti": 1, "tj": 2, "top": None, "left": [6, 7, 8], "corner": 5}
+    _, _, top, left = pathways._sides(row, 3)
+    assert top.tolist() == [5, 5, 5] and left.tolist() == [6, 7, 8]
+    _, _, top, left = pathways._sides(row | {"top": [4, 5, 9], "left": None}, 3)
+    assert top.tolist() == [4, 5, 9] and left.tolist() == [4, 4, 4]
